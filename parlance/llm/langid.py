@@ -136,7 +136,7 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 1000, clusters: int = 4, margin: float = 0.6) -> Model:
+def fit(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 1000, clusters: int = 4, margin: float = 0.3) -> Model:
     """Learn from rows where ``learnable`` holds and text and language are not null.
 
     ``sample_rows`` is the expected size of each language's sample, drawn by a hash of the text;
