@@ -1,0 +1 @@
+"""Operators over conversations: parsing, revisions, datasets, evaluation, panels, transcripts."""
