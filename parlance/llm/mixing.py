@@ -43,8 +43,8 @@ def label_domain() -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Words between ASCII whitespace, A-Z in lower case; none for null."""
-    folded = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Words between ASCII whitespace, in lower case; none for null."""
+    folded = F.lower(F.coalesce(text, F.lit("")))
     return F.filter(F.split(folded, "[ \\t-\\r]+"), lambda w: w != "")
 
 
@@ -54,7 +54,7 @@ def _bins(text: Column, words: Column) -> list[Column]:
     n = F.greatest(F.length(text), F.lit(1))
     shares = {
         "upper": (n - F.length(F.regexp_replace(text, "\\p{Lu}", ""))) / n,
-        "signs": (n - F.length(F.translate(text, "!#$%&*|<>{}[]=~^@", ""))) / n,
+        "signs": (n - F.length(F.regexp_replace(text, "[!#-&*<-@\\[-^{-~]", ""))) / n,
         "same": 1 - F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1)),
     }
     return [F.concat(F.lit(f" {name} "), F.least(F.floor(share * 10), F.lit(9)).cast("string")) for name, share in shares.items()]
