@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SHORT = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+#: Control characters whose code has a hex letter.
+LETTERED = [0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)]
 
 
 def quoted(text: Column) -> Column:
     """A JSON string; control characters without a short form as four lower-case hex digits."""
-    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for code in range(32):
-        c = chr(code)
-        out = F.replace(out, F.lit(c), F.lit(SHORT.get(c, f"\\u{code:04x}")))
-    plain = ~text.rlike('[\\x00-\\x1f"\\\\]')
-    return F.concat(F.lit('"'), F.when(plain, text).otherwise(out), F.lit('"'))
+    made = F.to_json(F.array(text))
+    plain = F.substring(made, F.lit(2), F.length(made) - 2)
+    # an escaped backslash before a u is no code, so it steps aside while codes are rewritten
+    out = F.replace(plain, F.lit("\\\\"), F.lit("\x01"))
+    for code in LETTERED:
+        out = F.replace(out, F.lit(f"\\u{code:04X}"), F.lit(f"\\u{code:04x}"))
+    return F.when(text.isNotNull(), F.when(plain.contains("\\u00"), F.replace(out, F.lit("\x01"), F.lit("\\\\"))).otherwise(plain))
 
 
 def value(x: Column, kind: str) -> Column:

@@ -197,7 +197,7 @@ def exact_interval(values: DataFrame, samples: int = 200, confidence: float = 0.
         low, high = interval_places(samples, confidence)
         return pd.DataFrame({"value": [sum(x) / len(x)], "lower": [means[low]], "upper": [means[high]]})
 
-    return values.select("idx", "delta").groupBy(F.lit(1)).applyInPandas(run, "value double, lower double, upper double")
+    return values.select("idx", "delta", F.lit(1).alias("all")).groupBy("all").applyInPandas(run, "value double, lower double, upper double")
 
 
 def by_example(predictions: DataFrame, example: str, *columns: str) -> DataFrame:
