@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parlance.queries import dataset, evaluation, ingest
+from parlance.queries import artifacts, chat, dataset, evaluation, ingest, panel
 from parlance.queries.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "dataset", "evaluation", "ingest"]
+__all__ = ["ORACLE_SQL", "QUERIES", "artifacts", "chat", "dataset", "evaluation", "ingest", "panel"]

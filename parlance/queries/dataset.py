@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from parlance.operators import artifacts
 from parlance.operators import context as cx
 from parlance.operators import dataset as ds
 from parlance.operators import selection as sel
-from parlance.plans.durable import materialized, shared_dir
+from parlance.plans.durable import fresh_path, materialized
 from parlance.queries.registry import query, table
 
 #: Times are cut to the minute, which makes ties; purchases are edited and errors deleted ten
@@ -337,7 +335,7 @@ def build_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Build, build again and verify: one id, and the rows of each part."""
     m, r = corpus(spark, sf_dir)
     m = m.withColumn("attachments", F.when(F.col("seq") % 2 == 0, F.col("attachments")).otherwise(F.slice("attachments", 1, 0)))
-    root = tempfile.mkdtemp(prefix="data-", dir=shared_dir(spark).removeprefix("file://"))
+    root = fresh_path(spark, "data")
     one, two = (ds.build(spark, m, r, recipe(m), root) for _ in range(2))
     manifest = artifacts.verify_artifact(spark, f"{root}/{one}")
     rows = [(name, f["rows"], one == two) for name, f in sorted(manifest["files"].items())]

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions import variants as v
 from parlance.operators import parsing as p
 from parlance.operators import revisions as rv
-from parlance.plans.durable import materialized, shared_dir
+from parlance.plans.durable import fresh_path, materialized
 from parlance.queries.registry import query, table
 from parlance.sources import events as src
 from parlance.streaming import ingest as st
@@ -90,9 +88,9 @@ def parse_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events' JSON written as lines, with blank lines between, and read again."""
     e = table(spark, sf_dir, "events")
-    path = f"{shared_dir(spark)}/lines-{id(e)}-{sf_dir.strip('/').replace('/', '-')}"
+    path = fresh_path(spark, "lines")
     lines = e.select(F.explode(F.array(F.concat(F.lit("  "), F.to_json(F.struct("event_id", "props"))), F.lit("   "))).alias("value"))
-    lines.write.mode("overwrite").text(path)
+    lines.write.text(path)
     got = src.read_events(spark, path).where("payload IS NOT NULL")
     return got.select(F.get_json_object("payload", "$.event_id").cast("long").alias("event_id"), F.get_json_object("payload", "$.props").alias("text"))
 
@@ -230,7 +228,7 @@ def anti_new_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CURRENT} SELECT message_id, event_id AS seq, kind FROM cur")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same current messages by way of a stream: files, micro-batches, stored events, replay."""
-    base = tempfile.mkdtemp(prefix="ingest-", dir=_local(shared_dir(spark)))
+    base = fresh_path(spark, "ingest")
     lines = raw_events(spark, sf_dir).repartitionByRange(3, "seq").sortWithinPartitions("seq")
     lines.select(F.to_json(F.struct("id", "payload", "seq")).alias("value")).write.text(f"{base}/in")
     stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", 2).text(f"{base}/in")
@@ -241,14 +239,10 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rv.current_messages(p.parse_events(stored, CHATS), "order").select("message_id", F.col("order").alias("seq"), "kind")
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://")
-
-
 @query(f"WITH r AS ({REVISIONS}) SELECT CAST(message_id AS VARCHAR) AS key, seq FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY revision_at DESC, seq DESC) AS n FROM r) WHERE n = 1")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revisions that come in any order, several batches, through keyed state."""
-    base = tempfile.mkdtemp(prefix="upsert-", dir=_local(shared_dir(spark)))
+    base = fresh_path(spark, "upsert")
     log = revision_log(spark, sf_dir).select(F.col("message_id").cast("string").alias("key"), F.unix_micros(F.col("revision_at").cast("timestamp")).alias("revision"), "seq", F.col("kind").alias("body"))
     log.repartition(4, F.xxhash64("seq")).write.parquet(f"{base}/in")
     stream = spark.readStream.schema(st.REVISION).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
