@@ -68,7 +68,7 @@ def position_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pn.position_rate(judgments(spark, sf_dir)).select(F.round("rate", 9).alias("rate"))
 
 
-@query(f"WITH {J}, c AS (SELECT dimension, ballot_id, choice, count(*) AS c FROM j GROUP BY ALL), u AS (SELECT dimension, ballot_id, sum(c) AS n, sum(c * c) AS sq FROM c GROUP BY ALL HAVING sum(c) > 1), o AS (SELECT dimension, sum((n * n - sq) / (n - 1)) AS d, sum(n) AS t FROM u GROUP BY dimension), e AS (SELECT dimension, sum(t * t) AS sq FROM (SELECT c.dimension, choice, sum(c) AS t FROM c JOIN u USING (dimension, ballot_id) GROUP BY ALL) GROUP BY dimension) SELECT dimension, round(1 - (d / t) / ((t * t - sq) / (t * (t - 1))), 9) AS alpha FROM o JOIN e USING (dimension)")
+@query(f"WITH {J}, c AS (SELECT dimension, ballot_id, choice, count(*) AS c FROM j GROUP BY ALL), u AS (SELECT dimension, ballot_id, sum(c) AS n, sum(c * c) AS sq FROM c GROUP BY ALL HAVING sum(c) > 1), o AS (SELECT dimension, sum((n * n - sq) / (n - 1)) AS d, sum(n) AS t FROM u GROUP BY dimension), e AS (SELECT dimension, sum(t * t) AS sq FROM (SELECT c.dimension, choice, sum(c) AS t FROM c JOIN u USING (dimension, ballot_id) GROUP BY ALL) GROUP BY dimension) SELECT dimension, round(1 - (d / t) / ((t * t - sq) / (t * (t - 1))), 9) AS alpha FROM (SELECT DISTINCT dimension FROM j) x LEFT JOIN o USING (dimension) LEFT JOIN e USING (dimension)")
 def krippendorff_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pn.agreement(judgments(spark, sf_dir)).select("dimension", F.round("alpha", 9).alias("alpha"))
 
