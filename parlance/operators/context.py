@@ -9,7 +9,7 @@ grow, until they have enough or reach their chat's (or split's) first message.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.operators.selection import available_before
