@@ -157,20 +157,28 @@ def fit(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col: st
     # the salt sets the draw apart from other uses of a text's hash
     draw = F.pmod(F.xxhash64(F.lit("langid"), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.where(draw < share[F.col("lang")]).mapInArrow(_sampled, "lang string, size double, x binary").collect()
-    x = {lang: [] for lang in sorted(counts)}
+    held: dict[str, list] = {lang: [] for lang in sorted(counts)}
     for r in sorted(sample, key=lambda r: bytes(r["x"])):
         if r["size"] > 0:
-            v = np.frombuffer(r["x"], np.float16).astype(float) * idf
-            x[r["lang"]].append((r["size"], v / max(np.linalg.norm(v), 1e-12)))
-    names = [k for k in x if x[k]]
-    parts = [_cluster(np.array([v for _, v in x[k]]), clusters) for k in names]
+            held[r["lang"]].append((r["size"], r["x"]))
+    del sample
+
+    def unpacked(lang: str) -> np.ndarray:
+        """Unit vectors of one language; the driver holds those of one language at a time."""
+        v = np.frombuffer(b"".join(x for _, x in held[lang]), np.float16).reshape(-1, FEATURES).astype(np.float32)
+        v *= idf.astype(np.float32)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        return v
+
+    names = [k for k in held if held[k]]
+    parts = [_cluster(unpacked(k), clusters) for k in names]
     if not parts:
         return Model(idf, [], np.zeros((0, FEATURES)), np.zeros(0, int), np.zeros(32))
-    centroids, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    centroids, owner = np.concatenate(parts).astype(float), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     floor = np.full(32, np.inf)
     for k in names:
-        s, v = np.array([a for a, _ in x[k]]), np.array([b for _, b in x[k]])
-        np.minimum.at(floor, _bin(s), (v @ centroids.T).max(axis=1))
+        near = (unpacked(k) @ centroids.T.astype(np.float32)).max(axis=1)
+        np.minimum.at(floor, _bin(np.array([n for n, _ in held[k]])), near.astype(float))
     return Model(idf, names, centroids, owner, np.where(np.isfinite(floor), floor * margin, 0))
 
 
