@@ -29,17 +29,16 @@ LEXICON = 128
 EVIDENCE = 5.0
 #: How many times as often as in another domain the word must occur in one.
 CONTRAST = 5.0
-STEPS = 40
-TOLERANCE = 1e-6
+STEPS = 30
+TOLERANCE = 1e-5
 TEMPERATURES = (1.0, 1.25, 1.5, 2.0, 3.0, 4.0, 8.0)
-#: The production mix: what ``labels`` marks as toxic or of low quality shall be rare.
-TARGETS = {"good": 0.90, "low": 0.07, "toxic": 0.03}
+#: The production mix: what ``labels`` marks as of low quality shall be rarer than it is.
+TARGETS = {"high": 0.92, "low": 0.08}
 
 
 def label_domain() -> Column:
-    """The domain of a row of ``labels``; null (not learned) if a label is null."""
-    known = F.col("toxic").isNotNull() & F.col("quality").isNotNull()
-    return F.when(known, F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").otherwise("good"))
+    """The domain of a row of ``labels``; null (not learned) if its quality is neither 0 nor 1."""
+    return F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
 
 
 def tokens(text: Column) -> Column:
@@ -48,14 +47,19 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(folded, "[ \\t-\\r]+"), lambda w: w != "")
 
 
-def _bins(text: Column, words: Column) -> list[Column]:
+def _let(x: Column, use) -> Column:
+    """``use(x)`` with ``x`` evaluated once, however often and in whatever lambda it is used."""
+    return F.transform(F.array(x), use)[0]
+
+
+def _bins(text: Column, words: Column, distinct: Column) -> list[Column]:
     """Signals of a text's shape as one feature each; names start with a space, so no word equals them."""
     text = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(text), F.lit(1))
     shares = {
         "upper": (n - F.length(F.regexp_replace(text, "\\p{Lu}", ""))) / n,
         "signs": (n - F.length(F.regexp_replace(text, "[!#-&*<-@\\[-^{-~]", ""))) / n,
-        "same": 1 - F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1)),
+        "same": 1 - F.size(distinct) / F.greatest(F.size(words), F.lit(1)),
     }
     return [F.concat(F.lit(f" {name} "), F.least(F.floor(share * 10), F.lit(9)).cast("string")) for name, share in shares.items()]
 
@@ -74,8 +78,8 @@ class Classifier:
     weights: dict[str, list[float]] = field(default_factory=dict)
     temperature: float = 1.0
 
-    def features(self, text: Column, words: Column) -> Column:
-        distinct, out = F.array_distinct(words), _bins(text, words)
+    def features(self, text: Column, words: Column, distinct: Column) -> Column:
+        out = _bins(text, words, distinct)
         for d, lexicon in self.words.items():
             n = F.size(F.array_intersect(distinct, F.array(*[F.lit(w) for w in lexicon])))
             out.append(F.concat(F.lit(f" {d} words "), F.least(F.floor(F.log2(n + F.lit(1.0))), F.lit(5)).cast("string")))
@@ -92,9 +96,14 @@ class Classifier:
         t = temperature or self.temperature
         prior = F.array(*[F.lit(p) for p in self.prior])
         scores = F.zip_with(evidence, prior, lambda e, p: e / F.lit(t) + p)
-        e = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
-        total = F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
-        return F.transform(e, lambda x: x / total)
+
+        def shares(e: Column) -> Column:
+            return _let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda x: x / total))
+
+        def powers(s: Column) -> Column:
+            return _let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
+
+        return _let(_let(scores, powers), shares)
 
 
 def _rates(rows: DataFrame, feature: Column, seen: dict[str, int]) -> DataFrame:
@@ -113,7 +122,7 @@ def _lexicon(learn: DataFrame, seen: dict[str, int], lexicon: int) -> dict[str,
     rates = F.array(*[F.col(f"r{i}") for i in range(k)])
     gaps = [(F.col(f"r{i}") - F.col("mean")) / F.sqrt(F.col("mean") * (1 - F.col("mean")) / n) for i, n in enumerate(seen.values())]
     own = F.array_position(rates, F.array_max(rates)).cast("int")
-    found = _rates(learn, F.array_distinct("words"), seen).where(F.array_max(rates) >= CONTRAST * F.array_min(rates))
+    found = _rates(learn, F.col("distinct"), seen).where(F.array_max(rates) >= CONTRAST * F.array_min(rates))
     found = stored(found.select("feature", own.alias("own"), F.array_max(F.array(*gaps)).alias("gap")).where(F.col("gap") >= EVIDENCE))
     out = {}
     for i, d in enumerate(seen):
@@ -140,7 +149,8 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, lexicon: i
     part = F.when(F.pmod(F.xxhash64(F.lit("mixing part"), "doc_id"), F.lit(3)) == 0, F.lit("tune")).otherwise(F.lit("learn"))
     # the ids of the sample are few by its bound, so they are broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    rows = stored(rows.select("domain", part.alias("part"), "text", tokens(F.col("text")).alias("words")))
+    rows = rows.select("domain", part.alias("part"), "text", tokens(F.col("text")).alias("words"))
+    rows = stored(rows.withColumn("distinct", F.array_distinct("words")))
     learn = rows.where("part = 'learn'")
     counts = {r["domain"]: r["n"] for r in learn.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     seen = {d: counts[d] for d in sorted(counts)}
@@ -148,10 +158,10 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, lexicon: i
         return Classifier()
     everything = sum(sizes[d] for d in seen)
     model = Classifier(list(seen), [math.log(sizes[d] / everything) for d in seen], _lexicon(learn, seen, lexicon))
-    for r in _rates(learn, model.features(F.col("text"), F.col("words")), seen).collect():  # some bins
+    for r in _rates(learn, model.features(F.col("text"), F.col("words"), F.col("distinct")), seen).collect():  # some bins
         model.weights[r["feature"]] = [math.log(r[f"r{i}"] / r["mean"]) for i in range(len(seen))]
     at = F.array_position(F.array(*[F.lit(d) for d in seen]), F.col("domain")).cast("int")
-    tune = rows.where("part = 'tune'").where(F.col("domain").isin(list(seen))).select(at.alias("at"), F.col("domain"), model.evidence(model.features(F.col("text"), F.col("words"))).alias("e"))
+    tune = rows.where("part = 'tune'").where(F.col("domain").isin(list(seen))).select(at.alias("at"), F.col("domain"), model.evidence(model.features(F.col("text"), F.col("words"), F.col("distinct"))).alias("e"))
     # the sample has another mix than the labels, so the loss weighs rows by their domain's share
     mix = F.create_map(*[F.lit(x) for d in seen for x in (d, sizes[d] / counts[d])])[F.col("domain")]
     loss = [F.avg(-mix * F.log(F.greatest(F.element_at(model.posterior(F.col("e"), t), F.col("at")), F.lit(1e-9)))).alias(f"t{i}") for i, t in enumerate(TEMPERATURES)]
@@ -163,7 +173,9 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, lexicon: i
 def with_posteriors(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
     """``row`` (the caller's columns), ``n_tokens`` and ``posterior`` (in the order of the domains)."""
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("_text"), tokens(docs[text_col]).alias("_words"))
-    scored = packed.select("row", F.size("_words").cast("long").alias("n_tokens"), model.evidence(model.features(F.col("_text"), F.col("_words"))).alias("_evidence"))
+    packed = packed.withColumn("_distinct", F.array_distinct("_words"))
+    features = model.features(F.col("_text"), F.col("_words"), F.col("_distinct"))
+    scored = packed.select("row", F.size("_words").cast("long").alias("n_tokens"), model.evidence(features).alias("_evidence"))
     return scored.select("row", "n_tokens", model.posterior(F.col("_evidence")).alias("posterior"))
 
 
@@ -191,29 +203,34 @@ def _rate(posterior: Column, steps: list[list[float]]) -> Column:
 def fit_rates(scored: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
     """The gradient steps: one value per domain for each, to be applied in order by :func:`_rate`.
 
-    ``scored`` has n_tokens and posterior. Targets are scaled to sum to 1; the total stays. Stops
-    when every domain's share is within ``tolerance`` of its target, or when a step no longer
+    ``scored`` has n_tokens and posterior. Targets are scaled to sum to 1; the total stays. A step
+    is whitened by the Gram matrix of the documents that the projection lets move, those with a
+    positive rate; with it few steps are enough. One aggregate gives a step's shares and matrix.
+    Stops when every domain's share is within ``tolerance`` of its target, or when a step no longer
     moves the shares (targets out of reach: the least-squares fit), or after ``steps``.
     """
     k = len(targets)
     n = F.col("n_tokens").cast("double")
     p = [F.col("posterior")[i] for i in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    got = scored.agg(F.sum(n), *[F.sum(n * p[i] * p[j]) for i, j in pairs]).first()
-    total = got[0] or 0.0
-    if not total or sum(targets) <= 0:
+    if sum(targets) <= 0:
         return []
-    gram = [[0.0] * k for _ in range(k)]
-    for (i, j), x in zip(pairs, got[1:], strict=True):
-        gram[i][j] = gram[j][i] = x / total
-    ridge = 1e-9 * max(gram[i][i] for i in range(k))
-    inverse = _inverse([[x + ridge * (i == j) for j, x in enumerate(row)] for i, row in enumerate(gram)])
     goal, done, before = [t / sum(targets) for t in targets], [], None
     for _ in range(steps):
-        shares = scored.select("n_tokens", "posterior", _rate(F.col("posterior"), done).alias("rate")).agg(*[F.sum(n * F.col("rate") * p[i]) for i in range(k)]).first()
-        gap = [x / total - g for x, g in zip(shares, goal, strict=True)]
+        rated = scored.select("n_tokens", "posterior", _rate(F.col("posterior"), done).alias("rate"))
+        free = F.when(F.col("rate") > 0, n).otherwise(0.0)
+        got = rated.agg(F.sum(n), *[F.sum(n * F.col("rate") * x) for x in p], *[F.sum(free * p[i] * p[j]) for i, j in pairs]).first()
+        total = got[0] or 0.0
+        if not total:
+            return []
+        gap = [x / total - g for x, g in zip(got[1 : k + 1], goal, strict=True)]
         if max(map(abs, gap)) <= tolerance or before and max(abs(a - b) for a, b in zip(gap, before, strict=True)) <= tolerance / 100:
             break
+        gram = [[0.0] * k for _ in range(k)]
+        for (i, j), x in zip(pairs, got[k + 1 :], strict=True):
+            gram[i][j] = gram[j][i] = x / total
+        ridge = 1e-9 * max(max(gram[i][i] for i in range(k)), 1e-300)
+        inverse = _inverse([[x + ridge * (i == j) for j, x in enumerate(row)] for i, row in enumerate(gram)])
         done.append([sum(m * g for m, g in zip(row, gap, strict=True)) for row in inverse])
         before = gap
     return done
@@ -222,7 +239,7 @@ def fit_rates(scored: DataFrame, targets: list[float], steps: int = STEPS, toler
 def _copies(rate: Column, key: Column) -> Column:
     """A rate of 2.3 gives 2 copies, and a third with chance 0.3 by a hash of the key."""
     unit = F.pmod(F.xxhash64(F.lit("copies"), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return (F.floor(rate) + (unit < rate - F.floor(rate)).cast("long")).cast("int")
+    return F.floor(rate + 1 - F.greatest(unit, F.lit(1e-12))).cast("int")
 
 
 def mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, **options) -> DataFrame:
@@ -262,7 +279,7 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = T
     largest = scored.agg(F.max(_rate(F.col("posterior"), steps))).first()[0] or 1.0
     scale = min(1.0, most / largest)
     mixed = with_posteriors(docs, model)
-    copies = _copies(_rate(F.col("posterior"), steps) * F.lit(scale), F.col("row.doc_id"))
+    copies = _copies(_let(F.col("posterior"), lambda p: _rate(p, steps)) * F.lit(scale), F.col("row.doc_id"))
     kept = mixed.select("row", copies.alias("copies")).where("copies > 0")
     if most > 1:
         kept = kept.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))
