@@ -1,6 +1,6 @@
 """License scans: texts in a canonical form are looked up by digest among known licenses.
 
-Canonical form: A-Z in lower case, copyright lines dropped, punctuation and runs of whitespace
+Canonical form: lower case, copyright lines dropped, punctuation and runs of whitespace
 turned into one space, equivalent spellings unified. The digests of entire texts meet those of
 known licenses in one hash join, on which the size of the known side decides: Spark broadcasts it
 below its own threshold and shuffles both sides above. Notices of one line, such as "Released
@@ -44,9 +44,10 @@ SPELLINGS = (
     ("https", "http"),
 )
 
-#: Turned into spaces; the line break is not among them.
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\r\x0b\x0c\u00a0\u2010\u2011\u2012\u2013\u2014\u2018\u2019\u201c\u201d\u2022"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What becomes one space: ASCII punctuation and blanks, common typographic signs; not the line break.
+PUNCTUATION = "[ !-/:-@\\[-`{-~\t\r\x0b\x0c\u00a0\u2010-\u2015\u2018\u2019\u201c\u201d\u2022]+"
+#: Letters whose lower case is not the same everywhere.
+CASES = (("\u0130", "i"), ("\u03a3", "\u03c3"))
 #: A line that says who holds a copyright, with the line break before it.
 COPYRIGHT_LINE = "\n[ \t>#*/;-]*(copyright( |\t|:)*(\\(c\\)|\u00a9|[0-9]|by |the )|\\(c\\)[ \t]|\u00a9|all rights reserved)[^\n]*"
 
@@ -102,10 +103,12 @@ NOTICES = (
 
 
 def canonical_lines(text: Column) -> Column:
-    """The canonical text with its line breaks; lines may have a space at either end."""
-    folded = F.translate(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), UPPER, LOWER)
-    plain = F.translate(F.regexp_replace(folded, COPYRIGHT_LINE, ""), PUNCTUATION, " " * len(PUNCTUATION))
-    spaced = F.regexp_replace(F.regexp_replace(F.concat(F.lit(" "), plain, F.lit(" ")), " +", " "), " ?\n ?", " \n ")
+    """The canonical text with its line breaks; lines may have spaces at either end."""
+    folded = F.concat(F.lit("\n"), F.coalesce(text, F.lit("")), F.lit("\n"))
+    for a, b in CASES:
+        folded = F.replace(folded, F.lit(a), F.lit(b))
+    plain = F.regexp_replace(F.regexp_replace(F.lower(folded), COPYRIGHT_LINE, ""), PUNCTUATION, " ")
+    spaced = F.replace(plain, F.lit("\n"), F.lit(" \n "))
     for a, b in SPELLINGS:
         spaced = F.replace(spaced, F.lit(f" {a} "), F.lit(f" {b} "))
     return spaced
@@ -160,9 +163,11 @@ def oracle_sql() -> str:
     """DuckDB SQL for :func:`license_ids`."""
 
     def lines(x: str) -> str:
-        folded = f"translate(chr(10) || coalesce({x}, ''), '{UPPER}', '{LOWER}')"
-        plain = f"translate(regexp_replace({folded}, {_quoted(COPYRIGHT_LINE)}, '', 'g'), {_quoted(PUNCTUATION)}, {_quoted(' ' * len(PUNCTUATION))})"
-        spaced = f"regexp_replace(regexp_replace(' ' || {plain} || ' ', ' +', ' ', 'g'), ' ?\n ?', ' \n ', 'g')"
+        folded = f"chr(10) || coalesce({x}, '') || chr(10)"
+        for a, b in CASES:
+            folded = f"replace({folded}, '{a}', '{b}')"
+        plain = f"regexp_replace(regexp_replace(lower({folded}), {_quoted(COPYRIGHT_LINE)}, '', 'g'), {_quoted(PUNCTUATION)}, ' ', 'g')"
+        spaced = f"replace({plain}, chr(10), ' ' || chr(10) || ' ')"
         for a, b in SPELLINGS:
             spaced = f"replace({spaced}, ' {a} ', ' {b} ')"
         return spaced
