@@ -42,11 +42,18 @@ def keys(word: str) -> list[str]:
     return [word, *(f"{m}{word[: int(m[0])]}" for m in NAMES[1:])]
 
 
+def _slices(batches, rows: int = 256):
+    """Few rows at a time, so that Python's copies of their words stay small."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def _document_features(batches):
     """(feature, toxic, group) for the distinct features of each document."""
     from xxhash import xxh3_64_intdigest
 
-    for b in batches:
+    for b in _slices(batches):
         f, t, g = [], [], []
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             ws = set(WORD.findall((text or "").lower()))
@@ -198,7 +205,7 @@ def _calibrate(model: Model, z: np.ndarray, y: np.ndarray, w: np.ndarray) -> Non
 
 def _strengths(model):
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             texts = [WORD.findall((t or "").lower()) for t in b.column(0).to_pylist()]
             z = [float(np.log(1e-4 - np.log1p(-np.minimum(p, 1 - 1e-9)).sum())) for p in (model.value.tag(texts) if texts else [])]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(z, pa.float64())], names=["toxic", "z"])
@@ -259,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def _scorer(shared, threshold):
     def run(batches):
         model = shared.value
-        for b in batches:
+        for b in _slices(batches):
             texts, scores, spans, group, size = b.column(1).to_pylist(), [], [], [], 0
 
             def settle(group):
@@ -280,7 +287,7 @@ def _scorer(shared, threshold):
                 ws = WORD.findall((text or "").lower())
                 group.append((text or "", ws))
                 size += len(ws)
-                if size >= PASS or len(group) >= 2048:
+                if size >= PASS:
                     settle(group)
                     group, size = [], 0
             if group:
