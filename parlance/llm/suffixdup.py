@@ -33,6 +33,8 @@ CLASS = 512
 WIDTH, NARROW = 64, 32
 #: Bytes that one transform covers.
 BATCH = 1 << 19
+#: Rows that a task makes Python objects of at once.
+ROWS = 1024
 #: Bits of the filters that are broadcast (2 MB each); they only save shuffles, so a full one costs nothing but these.
 BITS = 24
 
@@ -262,7 +264,7 @@ def _compare(length):
 
     def run(batches):
         members, h, batch, rows, size = [], None, [], [], 0
-        for b in batches:
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
             for key, c1, c2, n, q, data in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if key != h:
                     held = len(batch)
@@ -287,15 +289,25 @@ def _compare(length):
 def _split(width, length):
     """(c1, c2, low, n, q, data) into pieces: (core, whole, c1, c2, low, n, q, data)."""
 
+    names = ["core", "whole", "c1", "c2", "low", "n", "q", "data"]
+    kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+
+    def flush(out):
+        cols = list(zip(*out, strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=names)
+
     def run(batches):
+        out = []
         for b in batches:
-            out = []
-            for c1, c2, base, n, q, data in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                for low, high, core, whole in _pieces(data, n, q, width, length):
-                    out.append((_digest(core), _digest(whole), c1, c2, base + low, high - low, max(0, data.find(data[q : q + SEED], low) - low), whole))
-            cols = list(zip(*out, strict=True)) or [()] * 8
-            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=["core", "whole", "c1", "c2", "low", "n", "q", "data"])
+            for at in range(0, len(b), ROWS):
+                part = b.slice(at, ROWS)
+                for c1, c2, base, n, q, data in zip(*(part.column(i).to_pylist() for i in range(6)), strict=True):
+                    for low, high, core, whole in _pieces(data, n, q, width, length):
+                        out.append((_digest(core), _digest(whole), c1, c2, base + low, high - low, max(0, data.find(data[q : q + SEED], low) - low), whole))
+                    if len(out) >= ROWS:
+                        yield flush(out)
+                        out = []
+        yield flush(out)
 
     return run
 
