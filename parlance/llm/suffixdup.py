@@ -2,8 +2,8 @@
 
 Every string of ``length`` bytes is dealt to a class by the smallest hash among its ``SEED``-byte
 substrings, so equal strings are in one class wherever they occur. Consecutive strings of one class
-form a segment. Segments that recur as a whole, and classes with one segment, need no text. The
-segments of a class that differ are brought together, and within them the strings that recur are
+form a segment. Segments that recur as a whole, and classes with one segment, need no text (unless
+that segment repeats itself). The segments of a class that differ are brought together, and within them the strings that recur are
 found as suffixes whose longest common prefix with a neighbour has at least ``length`` bytes: a
 Burrows-Wheeler transform's intervals are extended backwards, breadth first, which yields common
 prefixes by increasing value and stops at ``length``; what is then undecided recurs.
@@ -51,9 +51,16 @@ def _digest(data: bytes) -> bytes:
     return xxh3_128_digest(data)
 
 
+def most_width(length: int) -> int:
+    """Starts in a piece, so that what all their strings have in common is longer than a seed."""
+    if length <= SEED:
+        raise ValueError(f"length must be more than {SEED}")
+    return max(1, (length - SEED) // 2)
+
+
 def segments(text: bytes, length: int = LENGTH, seeds: bool = False):
-    """(class, start, number of strings) of each segment, as arrays; with ``seeds``, also a function
-    from a segment's number to the offset of its first seed."""
+    """(class, start, number of strings, whether strings in it may be equal) of each segment, as arrays;
+    with ``seeds``, also a function from a segment's number to the offset of its first seed."""
     span = length - SEED + 1
     out, whole = [], []
     for at in range(0, max(0, len(text) - length + 1), PIECE):
@@ -76,15 +83,17 @@ def segments(text: bytes, length: int = LENGTH, seeds: bool = False):
         if runs.max() > span:
             starts = np.concatenate([np.arange(s, s + r, span) for s, r in zip(starts.tolist(), runs.tolist(), strict=True)])
             runs = np.minimum(span, np.diff(np.r_[starts, n]))
-        out.append((low[starts].view(np.int64), starts + at, runs))
+        # two strings that have different first seeds may be equal, even in one segment
+        turns = np.r_[0, np.cumsum((h[: n - 1] == low[:-1]) & (low[1:] == low[:-1]))]
+        out.append((low[starts].view(np.int64), starts + at, runs, turns[starts + runs - 1] > turns[starts]))
         if seeds:
             whole.append((at, h))
-    found = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+    found = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
     if not seeds:
         return found
 
     def seed(i: int) -> int:
-        key, start, _ = (x[i] for x in found)
+        key, start = found[0][i], found[1][i]
         base, h = whole[start // PIECE]
         return int((h[start - base : start - base + span].view(np.int64) == key).argmax())
 
@@ -118,7 +127,7 @@ def _segment_rows(length, bitmap=None, with_bytes=False):
         for batch in batches:
             for text in _bytes(batch.column(0)):
                 found = segments(text, length, with_bytes)
-                (h, start, n), seed = found if with_bytes else (found, None)
+                (h, start, n, own), seed = found if with_bytes else (found, None)
                 if not len(h):
                     continue
                 ends = start + n + length - 1
@@ -129,15 +138,15 @@ def _segment_rows(length, bitmap=None, with_bytes=False):
                     on = np.flatnonzero(_hit(bitmap.value, c1))
                     if not len(on):
                         continue
-                    h, start, n, c1, c2, ends = (x[on] for x in (h, start, n, c1, c2, ends))
+                    h, start, n, own, c1, c2, ends = (x[on] for x in (h, start, n, own, c1, c2, ends))
                 m = len(h)
                 if with_bytes:
                     data = [text[s:e] for s, e in zip(start.tolist(), ends.tolist(), strict=True)]
                     cols = [h, c1, c2, n.astype(np.int32), np.array([seed(i) for i in on], np.int32), pa.array(data, pa.binary())]
                     names = ["h", "c1", "c2", "n", "q", "data"]
                 else:
-                    cols = [h, c1, c2, n.astype(np.int32), np.full(m, t[0]), np.full(m, t[1]), start.astype(np.int64)]
-                    names = ["h", "c1", "c2", "n", "t1", "t2", "start"]
+                    cols = [h, c1, c2, n.astype(np.int32), np.full(m, t[0]), np.full(m, t[1]), start.astype(np.int64), own]
+                    names = ["h", "c1", "c2", "n", "t1", "t2", "start", "own"]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=names)
 
     return run
@@ -240,7 +249,7 @@ def _compare(length):
         # pieces whose core is theirs alone can't recur; pieces that recur as a whole need no more
         cores: dict[bytes, list] = {}
         for c, n, q, data in members:
-            for low, high, core, whole in _pieces(data, n, q, WIDTH, length):
+            for low, high, core, whole in _pieces(data, n, q, min(WIDTH, most_width(length)), length):
                 cores.setdefault(_digest(core), []).append((c, low, high, whole))
         for same in cores.values():
             if len(same) < 2:
@@ -316,7 +325,7 @@ def _large_classes(hot: DataFrame, length: int) -> DataFrame:
     """Recurring starts in classes too large for one task: by narrow pieces, then string by string."""
     kind = "core binary, whole binary, c1 long, c2 long, low int, n int, q int, data binary"
     rest, found = hot.select("c1", "c2", F.lit(0).alias("low"), "n", "q", "data"), None
-    for width in (NARROW, 1):
+    for width in sorted({min(NARROW, most_width(length)), 1}, reverse=True):
         made = stored(rest.mapInArrow(_split(width, length), kind))
         counts = stored(made.groupBy("core", "whole").agg(F.count("*").alias("m")))
         again = made.join(counts.where("m > 1").select("whole"), "whole", "left_semi").select("c1", "c2", "low", (F.col("low") + F.col("n")).alias("high"))
@@ -330,10 +339,10 @@ def _large_classes(hot: DataFrame, length: int) -> DataFrame:
 
 def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """From one binary column: ``t1, t2`` (digest of a text) and ``spans``, the byte ranges that recurring strings cover."""
-    kind = "h long, c1 long, c2 long, n int, t1 long, t2 long, start long"
+    kind = "h long, c1 long, c2 long, n int, t1 long, t2 long, start long, own boolean"
     made = texts.mapInArrow(_segment_rows(length), kind)
-    own = stored(made.groupBy("h", "c1", "c2").agg(F.count("*").alias("m"), F.first("n").alias("n"), F.min(F.struct("t1", "t2", "start")).alias("at")))
-    several = stored(own.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"))
+    own = stored(made.groupBy("h", "c1", "c2").agg(F.count("*").alias("m"), F.first("n").alias("n"), F.min(F.struct("t1", "t2", "start")).alias("at"), F.bool_or("own").alias("own")))
+    several = stored(own.groupBy("h").agg(F.count("*").alias("k"), F.bool_or("own").alias("own")).where("k > 1 OR own").select("h", "k"))
     near = _filter(several, "h")
 
     def in_several(batches):
