@@ -236,6 +236,63 @@ def fit_rates(scored: DataFrame, targets: list[float], steps: int = STEPS, toler
     return done
 
 
+def _thinned(posterior: Column, goal: list[float], c: list[float], most: float) -> Column:
+    rate = F.lit(1.0) - sum(((posterior[i] - F.lit(goal[i])) * F.lit(x) for i, x in enumerate(c)), F.lit(0.0))
+    return F.least(F.greatest(rate, F.lit(0.0)), F.lit(float(most)))
+
+
+def fit_thinning(scored: DataFrame, targets: list[float], most: float = 1, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[list[float], list[float]]:
+    """The goal and one vector ``c`` for :func:`_thinned`: rates in [0, most] nearest to 1 that meet the targets.
+
+    ``scored`` has n_tokens and posterior. The total is left free, so the rates solve
+    ``sum(rate * tokens * (posterior - goal)) = 0`` at the least token-weighted squared distance from
+    1; at the optimum they are ``1 - (posterior - goal) . c``, cut to the bounds, and only documents
+    with more of an overfull domain than its goal are thinned. ``c`` minimises the dual, a convex
+    function: damped Newton steps, two aggregates each. If no tokens can be kept at the targets
+    (they are out of reach), ``c`` is zero and all rates are 1.
+    """
+    if sum(targets) <= 0:
+        return [], []
+    goal = [t / sum(targets) for t in targets]
+    k = len(targets) - 1  # the last domain's share follows from the others
+    n = F.col("n_tokens").cast("double")
+    q = [F.col("posterior")[i] - F.lit(goal[i]) for i in range(k)]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def slope(c: list[float]) -> Column:
+        return F.lit(1.0) - sum((x * F.lit(v) for x, v in zip(q, c, strict=True)), F.lit(0.0))
+
+    def dual(c: list[float]) -> Column:
+        x = slope(c)
+        return F.sum(n * F.when(x <= 0, 0.0).when(x <= most, x * x / 2).otherwise(x * most - most * most / 2))
+
+    c, kept = [0.0] * k, 0.0
+    for _ in range(steps):
+        x = slope(c)
+        rate = F.least(F.greatest(x, F.lit(0.0)), F.lit(float(most)))
+        free = F.when((x > 0) & (x <= most), n).otherwise(0.0)
+        got = scored.agg(F.sum(n), F.sum(n * rate), dual(c), *[F.sum(n * rate * x) for x in q], *[F.sum(free * q[i] * q[j]) for i, j in pairs]).first()
+        total, kept = got[0] or 0.0, got[1] or 0.0
+        if not total or kept <= 1e-9 * total:
+            return goal, [0.0] * k
+        gap = got[3 : k + 3]
+        if all(abs(g) <= tolerance * kept for g in gap):
+            break
+        gram = [[0.0] * k for _ in range(k)]
+        for (i, j), v in zip(pairs, got[k + 3 :], strict=True):
+            gram[i][j] = gram[j][i] = v / total
+        ridge = 1e-9 * max(max(gram[i][i] for i in range(k)), 1e-9)
+        inverse = _inverse([[v + ridge * (i == j) for j, v in enumerate(row)] for i, row in enumerate(gram)])
+        move = [sum(m * g / total for m, g in zip(row, gap, strict=True)) for row in inverse]
+        tries = [[a + b * 2.0**-t for a, b in zip(c, move, strict=True)] for t in range(-2, 12)]
+        values = scored.agg(*[dual(t) for t in tries]).first()
+        least = min(range(len(tries)), key=lambda t: values[t])
+        if values[least] >= got[2]:
+            break
+        c = tries[least]
+    return goal, c
+
+
 def _copies(rate: Column, key: Column) -> Column:
     """A rate of 2.3 gives 2 copies, and a third with chance 0.3 by a hash of the key."""
     unit = F.pmod(F.xxhash64(F.lit("copies"), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -268,18 +325,16 @@ def mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TA
 def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, most: int = 1, **options) -> DataFrame:
     """The rows in their new mix, with the caller's columns; a row comes ``copies`` times.
 
-    ``most`` bounds the copies of a row: with 1 no row is repeated, and what the rates ask beyond
-    it is left out by scaling all rates, so the shares still meet the targets.
+    ``most`` bounds the rates and so the copies of a row: with 1 no row is repeated, and only
+    documents of domains that are too frequent are thinned (see :func:`fit_thinning`).
     """
     model = train(docs, labelled, **options)
     if not model.domains:
         return docs
     scored = stored(with_posteriors(docs.select("doc_id", "text"), model).select("n_tokens", "posterior"))
-    steps = fit_rates(scored, [targets.get(d, 0.0) for d in model.domains])
-    largest = scored.agg(F.max(_rate(F.col("posterior"), steps))).first()[0] or 1.0
-    scale = min(1.0, most / largest)
+    goal, c = fit_thinning(scored, [targets.get(d, 0.0) for d in model.domains], most)
     mixed = with_posteriors(docs, model)
-    copies = _copies(_let(F.col("posterior"), lambda p: _rate(p, steps)) * F.lit(scale), F.col("row.doc_id"))
+    copies = _copies(_let(F.col("posterior"), lambda p: _thinned(p, goal, c, most)), F.col("row.doc_id"))
     kept = mixed.select("row", copies.alias("copies")).where("copies > 0")
     if most > 1:
         kept = kept.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))

@@ -195,6 +195,50 @@ def test_mixing_edges(spark, edges):
     assert kept.columns == edges().columns and kept.count() <= 12
 
 
+def brute_thinning(rows, goal, most=1.0):
+    """Rates nearest to 1 in [0, most] that meet the goal: every coordinate of the dual by bisection, in turn."""
+    k = len(goal) - 1
+    c = [0.0] * k
+    rate = lambda p: min(max(1 - sum((p[i] - goal[i]) * c[i] for i in range(k)), 0.0), most)
+    for _ in range(60):
+        for i in range(k):
+            low, high = -1e3, 1e3
+            for _ in range(60):
+                c[i] = (low + high) / 2
+                if sum(n * rate(p) * (p[i] - goal[i]) for n, p in rows) > 0:
+                    low = c[i]
+                else:
+                    high = c[i]
+    return [rate(p) for _, p in rows]
+
+
+def test_thinning_equals_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(150):
+        e = [rng.random() ** 4 + 1e-6 for _ in range(3)]
+        e[0] += 1
+        rows.append((rng.randrange(0, 50), tuple(x / sum(e) for x in e)))
+    for goal, most in (([0.90, 0.06, 0.04], 1), ([0.90, 0.06, 0.04], 2), ([0.95, 0.05], 1)):
+        some = [(n, (p[0], *([sum(p[1:])] if len(goal) == 2 else p[1:]))) for n, p in rows]
+        df = spark.createDataFrame([(n, list(p)) for n, p in some], "n_tokens long, posterior array<double>")
+        found = mixing.fit_thinning(df, goal, most, tolerance=1e-9)
+        got = [r[0] for r in df.select(mixing._thinned(F.col("posterior"), *found, most)).collect()]
+        assert got == pytest.approx(brute_thinning(some, goal, most), abs=1e-5) and all(0 <= r <= most for r in got)
+    # nothing can be kept at these targets: then nothing is thinned
+    assert mixing.fit_thinning(df, [0.0, 1.0], 1)[1] == [0.0]
+    assert mixing.fit_thinning(df.limit(0), [0.5, 0.5])[1] == [0.0]
+
+
+def test_one_extreme_document_thins_no_other(spark):
+    """Before, all rates were scaled by the largest of any document."""
+    rows = [(1, [0.97, 0.03])] * 700 + [(1, [0.10, 0.90])] * 300 + [(1, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "n_tokens long, posterior array<double>")
+    rate = mixing._thinned(F.col("posterior"), *mixing.fit_thinning(df, [0.92, 0.08]), 1)
+    got = df.groupBy(F.col("posterior")[0].alias("p")).agg(F.min(rate).alias("low"), F.max(rate).alias("high")).collect()
+    assert all(r["low"] == 1 for r in got if r["p"] > 0.9) and all(0 < r["high"] < 0.3 for r in got if r["p"] < 0.9)
+
+
 def calls_and_results(spark, calls, results):
     c = spark.createDataFrame([(1, i, 0, *x) for i, x in enumerate(calls)], "conv_id long, turn long, nth long, call_id string, name string, arguments string, after array<string>")
     r = spark.createDataFrame([(1, 100 + i, *x) for i, x in enumerate(results)], "conv_id long, turn long, call_id string, content string")
