@@ -195,20 +195,32 @@ def test_mixing_edges(spark, edges):
     assert kept.columns == edges().columns and kept.count() <= 12
 
 
+def test_toxic_documents_are_a_domain_of_the_mix(spark, sf01):
+    rows = spark.createDataFrame([(0, 1), (1, 1), (0, 0), (1, 0), (None, 1), (0, None)], "toxic int, quality int")
+    assert [r[0] for r in rows.select(mixing.label_domain()).collect()] == ["good", "toxic", "low", "toxic", None, None]
+    got = QUERIES["op7_mixing"](spark, sf01).select("n_tokens", "rate", "posterior").collect()
+    total = sum(r["n_tokens"] for r in got)
+    assert sum(r["rate"] * r["n_tokens"] * r["posterior"]["toxic"] for r in got) / total == pytest.approx(0.03, abs=1e-4)
+
+
 def brute_thinning(rows, goal, most=1.0):
-    """Rates nearest to 1 in [0, most] that meet the goal: every coordinate of the dual by bisection, in turn."""
+    """Rates nearest to 1 in [0, most] that meet the goal: the dual by nested bisection, one coordinate in another."""
     k = len(goal) - 1
     c = [0.0] * k
     rate = lambda p: min(max(1 - sum((p[i] - goal[i]) * c[i] for i in range(k)), 0.0), most)
-    for _ in range(60):
-        for i in range(k):
-            low, high = -1e3, 1e3
-            for _ in range(60):
-                c[i] = (low + high) / 2
-                if sum(n * rate(p) * (p[i] - goal[i]) for n, p in rows) > 0:
-                    low = c[i]
-                else:
-                    high = c[i]
+    groups = {}
+    for n, p in rows:
+        groups[tuple(p)] = groups.get(tuple(p), 0) + n
+
+    def solve(i):
+        low, high = -1e3, 1e3
+        for _ in range(50 if i < k else 0):
+            c[i] = (low + high) / 2
+            solve(i + 1)
+            over = sum(n * rate(p) * (p[i] - goal[i]) for p, n in groups.items()) > 0
+            low, high = (c[i], high) if over else (low, c[i])
+
+    solve(0)
     return [rate(p) for _, p in rows]
 
 

@@ -59,4 +59,4 @@ def test_mix_keeps_what_a_plain_fit_keeps(spark, sf_dir):
     got = [r["doc_id"] for r in corpus_pipeline.mix(spark, docs, sf_dir).select("doc_id").collect()]
     assert len(got) == len(set(got)) and len(due ^ set(got)) <= 2  # rates are equal to the fit's tolerance
     clean = {r["doc_id"] for r, rate in zip(scored, rates, strict=True) if rate == 1}
-    assert clean and clean <= set(got) and len(got) > 0.6 * len(scored)
+    assert clean and clean <= set(got) and len(got) > sum(rates) - 60
