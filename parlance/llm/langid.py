@@ -3,8 +3,9 @@
 A text becomes a vector of hashed letter uni-, bi- and trigrams: logarithmic counts times inverse
 document frequency, scaled to length one. Each language has several centroids, found by spherical
 k-means over a bounded sample of its labelled rows; a text gets the language of the centroid with
-the largest cosine. It is rejected if it is farther from every centroid than any sampled text of
-similar length by a margin. Document frequencies cover all rows that may be learned from.
+the largest cosine. It is rejected if it is farther from every centroid, by a margin, than nearly all
+texts of similar length. Document frequencies and the cosines of texts by length cover all rows that
+may be learned from.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ SPANS = ((0, 256), (256, 1024), (1280, 2816))
 PIECE = 1 << 19
 ROWS = 128
 UNKNOWN = "und"
+#: Cells of a histogram of cosines, and the rows that a length's floor is read from at least.
+CELLS = 1000
+ENOUGH = 100
 
 _letters: np.ndarray | None = None
 
@@ -136,12 +140,13 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 1000, clusters: int = 4, margin: float = 0.3) -> Model:
+def fit(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 1000, clusters: int = 4, quantile: float = 0.001, margin: float = 0.75) -> Model:
     """Learn from rows where ``learnable`` holds and text and language are not null.
 
     ``sample_rows`` is the expected size of each language's sample, drawn by a hash of the text;
     only the sample's vectors (8 KB each) reach the driver. Document frequencies are summed over
-    all learnable rows. Without learnable rows the model knows no language and rejects all.
+    all learnable rows, and so are histograms of their cosines by length; ``margin`` times the low
+    ``quantile`` of a length is the floor below which texts are rejected. Without learnable rows the model knows no language and rejects all.
     """
     rows = docs.where(learnable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -175,11 +180,46 @@ def fit(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col: st
     if not parts:
         return Model(idf, [], np.zeros((0, FEATURES)), np.zeros(0, int), np.zeros(32))
     centroids, owner = np.concatenate(parts).astype(float), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    floor = np.full(32, np.inf)
-    for k in names:
-        near = (unpacked(k) @ centroids.T.astype(np.float32)).max(axis=1)
-        np.minimum.at(floor, _bin(np.array([n for n, _ in held[k]])), near.astype(float))
-    return Model(idf, names, centroids, owner, np.where(np.isfinite(floor), floor * margin, 0))
+    held.clear()
+    model = Model(idf, names, centroids, owner, np.zeros(32))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    cells = rows.select("text").mapInArrow(_cosines(shared), "bin long, cell long, n long").groupBy("bin", "cell").agg(F.sum("n").alias("n"))
+    counted = np.zeros((32, CELLS), np.int64)
+    for r in cells.collect():
+        counted[r["bin"], r["cell"]] = r["n"]
+    return Model(idf, names, centroids, owner, _floors(counted, quantile) * margin)
+
+
+def _floors(counted: np.ndarray, quantile: float) -> np.ndarray:
+    """The low quantile of each bin's cosines. Bins with few rows take the least of their own and their neighbours'.
+
+    The cosine of a short text grows as the root of its length, so a longer neighbour's floor is scaled down.
+    """
+    low = lambda row: np.searchsorted(row.cumsum(), max(1, quantile * row.sum())) / CELLS
+    n = counted.sum(axis=1)
+    known = {int(i): low(counted[i]) for i in np.flatnonzero(n >= ENOUGH)}
+    if not known and n.sum():
+        known = {int(np.searchsorted(n.cumsum(), n.sum() / 2)): low(counted.sum(axis=0))}
+    floor = np.zeros(len(counted))
+    for i in range(len(counted) if known else 0):
+        near = [known[j] * 2.0 ** (-max(j - i, 0) / 2) for j in (max((j for j in known if j <= i), default=None), min((j for j in known if j >= i), default=None)) if j is not None]
+        floor[i] = min(near + [low(counted[i])] * bool(n[i]))
+    return floor
+
+
+def _cosines(model):
+    def run(batches):
+        counted = np.zeros((32, CELLS), np.int64)
+        for batch in batches:
+            for _, texts in _blocks(batch.column(0).to_pylist()):
+                x, sizes = vectors(texts, model.value.idf)
+                near = np.clip((x @ model.value.centroids.T).max(axis=1), 0, 1)
+                some = sizes > 0
+                np.add.at(counted, (_bin(sizes[some]), np.minimum(near[some] * CELLS, CELLS - 1).astype(int)), 1)
+        bins, cells = np.nonzero(counted)
+        yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(cells), pa.array(counted[bins, cells])], names=["bin", "cell", "n"])
+
+    return run
 
 
 def _predictor(model):

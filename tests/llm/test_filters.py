@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import random
 import re
 
+import numpy as np
 import pytest
 from oracle import connect, same
 from pyspark.sql import functions as F
@@ -39,6 +41,26 @@ def test_language_edges(spark, edges, documents):
     assert {r["lang_pred"] for r in langid.language_ids(edges(0).union(edges()).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_rejects_noise_and_keeps_clean_rows(spark, sf01):
+    docs = spark.read.parquet(f"{sf01}/documents.parquet")
+    model = langid.fit(docs, ~langid.held_out())
+    assert langid.identify(docs, model).where("rejected").count() == 0
+    rng = random.Random(1)
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem. "
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto. "
+    for n in (500, 2000, 8000, 400_000):
+        letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+        _, near, far = model.predict([letters, base64.b64encode(rng.randbytes(n)).decode(), (polish * (n // 100 + 1))[:n], (finnish * (n // 100 + 1))[:n]])
+        assert far.all(), (n, near, far)
+
+
+def test_floors_of_rare_lengths():
+    counted = np.zeros((32, langid.CELLS), np.int64)
+    counted[10, 300], counted[10, 700] = 20, 980
+    floor = langid._floors(counted, 0.01)
+    assert floor[8] == pytest.approx(0.15) and set(floor[10:]) == {0.3} and langid._floors(counted * 0, 0.01).max() == 0
+
+
 def test_long_texts_are_read_whole():
     text = ("abc d " * 30 + "x" * 40) * 50
     import numpy as np
