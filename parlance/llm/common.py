@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,12 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (tests, one machine), a temporary folder is set for the session.
+    Where none is named, a temporary folder is set for the session, but only with a local master:
+    on a cluster other machines would not see it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -36,13 +39,28 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def column(name: str) -> Column:
+    """A top-level column, whatever signs its name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def pack(docs: DataFrame, *columns: str) -> DataFrame:
     """``row`` (all columns as one struct) beside the named ones, renamed c0, c1, ...
 
     Operators that pass whole rows through Python use it so that columns of the caller can't
     clash with theirs.
     """
-    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[docs[c].alias(f"c{i}") for i, c in enumerate(columns)])
+    return docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), *[column(c).alias(f"c{i}") for i, c in enumerate(columns)])
+
+
+def row_field(name: str) -> Column:
+    """A field of ``row``."""
+    return F.col("row").getField(name)
+
+
+def kept_columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The caller's columns out of ``row``."""
+    return rows.select(*[row_field(c).alias(c) for c in docs.columns])
 
 
 def _tally(edges: DataFrame) -> tuple:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import pack
+from parlance.llm.common import column, kept_columns, pack
 
 FEATURES = 4096
 #: Hash space of each order: unigrams, bigrams, trigrams.
@@ -107,6 +107,10 @@ class Model:
     owner: np.ndarray
     floor: np.ndarray  # least cosine by log2 of the number of n-grams
 
+    def plain(self) -> tuple:
+        """Arrays and lists only, which executors without this package can read from a broadcast."""
+        return self.idf, self.names, self.centroids, self.owner, self.floor
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, cosine to the nearest centroid, and whether the text is rejected."""
         x, sizes = vectors(texts, self.idf)
@@ -140,15 +144,33 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def _clusterer(idf: np.ndarray, k: int):
+    """The centroids of one language's sample, whose vectors are as many as ``sample_rows`` lets be."""
+
+    def run(pdf):
+        import pandas as pd
+
+        v = np.frombuffer(b"".join(sorted(pdf["x"])), np.float16).reshape(-1, FEATURES).astype(np.float32)
+        v *= idf.astype(np.float32)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        c = _cluster(v, k)
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "nth": range(len(c)), "c": [x.astype(float).tolist() for x in c]})
+
+    return run
+
+
 def fit(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 1000, clusters: int = 4, quantile: float = 0.001, margin: float = 0.75) -> Model:
     """Learn from rows where ``learnable`` holds and text and language are not null.
 
-    ``sample_rows`` is the expected size of each language's sample, drawn by a hash of the text;
-    only the sample's vectors (8 KB each) reach the driver. Document frequencies are summed over
-    all learnable rows, and so are histograms of their cosines by length; ``margin`` times the low
-    ``quantile`` of a length is the floor below which texts are rejected. Without learnable rows the model knows no language and rejects all.
+    ``sample_rows`` bounds each language's sample in expectation; it is drawn by a hash of the text,
+    equal texts count once, and each language is clustered in a task of its own, so only centroids
+    (32 KB each) reach the driver. Document frequencies are summed over all learnable rows, and so
+    are histograms of their cosines by length; ``margin`` times the low ``quantile`` of a length is
+    the floor below which texts are rejected. Without learnable rows the model knows no language
+    and rejects all.
     """
-    rows = docs.where(learnable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    text, lang = column(text_col), column(lang_col)
+    rows = docs.where(learnable & text.isNotNull() & lang.isNotNull()).select(text.alias("text"), lang.alias("lang"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model(np.ones(FEATURES), [], np.zeros((0, FEATURES)), np.zeros(0, int), np.zeros(32))
@@ -161,28 +183,16 @@ def fit(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col: st
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample_rows / n))])
     # the salt sets the draw apart from other uses of a text's hash
     draw = F.pmod(F.xxhash64(F.lit("langid"), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(draw < share[F.col("lang")]).mapInArrow(_sampled, "lang string, size double, x binary").collect()
-    held: dict[str, list] = {lang: [] for lang in sorted(counts)}
-    for r in sorted(sample, key=lambda r: bytes(r["x"])):
-        if r["size"] > 0:
-            held[r["lang"]].append((r["size"], r["x"]))
-    del sample
-
-    def unpacked(lang: str) -> np.ndarray:
-        """Unit vectors of one language; the driver holds those of one language at a time."""
-        v = np.frombuffer(b"".join(x for _, x in held[lang]), np.float16).reshape(-1, FEATURES).astype(np.float32)
-        v *= idf.astype(np.float32)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        return v
-
-    names = [k for k in held if held[k]]
-    parts = [_cluster(unpacked(k), clusters) for k in names]
-    if not parts:
+    sample = rows.where(draw < share[F.col("lang")]).withColumn("h", F.xxhash64("text")).dropDuplicates(["lang", "h"])
+    drawn = sample.select("text", "lang").mapInArrow(_sampled, "lang string, size double, x binary").where("size > 0")
+    made = drawn.groupBy("lang").applyInPandas(_clusterer(idf, clusters), "lang string, nth int, c array<double>").collect()
+    made.sort(key=lambda r: (r["lang"], r["nth"]))
+    if not made:
         return Model(idf, [], np.zeros((0, FEATURES)), np.zeros(0, int), np.zeros(32))
-    centroids, owner = np.concatenate(parts).astype(float), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    held.clear()
+    names = sorted({r["lang"] for r in made})
+    centroids, owner = np.array([r["c"] for r in made]), np.array([names.index(r["lang"]) for r in made])
     model = Model(idf, names, centroids, owner, np.zeros(32))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
     cells = rows.select("text").mapInArrow(_cosines(shared), "bin long, cell long, n long").groupBy("bin", "cell").agg(F.sum("n").alias("n"))
     counted = np.zeros((32, CELLS), np.int64)
     for r in cells.collect():
@@ -210,10 +220,11 @@ def _floors(counted: np.ndarray, quantile: float) -> np.ndarray:
 def _cosines(model):
     def run(batches):
         counted = np.zeros((32, CELLS), np.int64)
+        idf, _, centroids, *_ = model.value
         for batch in batches:
             for _, texts in _blocks(batch.column(0).to_pylist()):
-                x, sizes = vectors(texts, model.value.idf)
-                near = np.clip((x @ model.value.centroids.T).max(axis=1), 0, 1)
+                x, sizes = vectors(texts, idf)
+                near = np.clip((x @ centroids.T).max(axis=1), 0, 1)
                 some = sizes > 0
                 np.add.at(counted, (_bin(sizes[some]), np.minimum(near[some] * CELLS, CELLS - 1).astype(int)), 1)
         bins, cells = np.nonzero(counted)
@@ -224,10 +235,11 @@ def _cosines(model):
 
 def _predictor(model):
     def run(batches):
+        own = Model(*model.value)
         for batch in batches:
             names, near, far = [], [], []
             for _, texts in _blocks(batch.column(1).to_pylist()):
-                a, b, c = model.value.predict(texts)
+                a, b, c = own.predict(texts)
                 names += a
                 near.append(b)
                 far.append(c)
@@ -245,13 +257,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     tables need no care: every row is judged by itself.
     """
     packed = pack(docs, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
     return packed.mapInArrow(_predictor(shared), f"row {packed.schema['row'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that are never learned from: crc32 of the id as text, modulo 4, is 2."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
+    return F.coalesce(F.crc32(column(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
 def language_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -262,6 +274,11 @@ def language_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows that language identification does not reject, with the caller's columns."""
+    """The rows that language identification does not reject, with the caller's columns.
+
+    Null, empty and letterless texts are rejected, and so is everything if no row has a language to
+    learn from. Long texts are judged whole. Rows that repeat stay or go together; ties in the
+    cosine don't matter here. An empty table stays empty; columns may have any name.
+    """
     model = fit(docs, ~held_out(id_col))
-    return identify(docs, model).where(~F.col("rejected")).select(*[F.col(f"row.{c}").alias(c) for c in docs.columns])
+    return kept_columns(identify(docs, model).where(~F.col("rejected")), docs)

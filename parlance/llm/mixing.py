@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import stored
+from parlance.llm.common import column, kept_columns, row_field, stored
 
 #: Labelled rows of each domain from which the classifier learns, in expectation.
 SAMPLE = 2000
@@ -138,15 +138,16 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, lexicon: i
 
     At most ``sample`` rows of each domain in expectation, drawn by a hash of the id, are read;
     two thirds give the counts, one third the temperature. Rows without a domain, an id or a
-    document teach nothing. Without any the classifier knows no domain.
+    document teach nothing. An id with several domains counts for the first by name. Without any
+    row the classifier knows no domain.
     """
-    known = labelled.where(F.col("domain").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "domain")
+    known = labelled.where(F.col("domain").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     sizes = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Classifier()
     unit = F.pmod(F.xxhash64(F.lit("mixing"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))])
-    drawn = known.where(unit < share[F.col("domain")]).dropDuplicates(["doc_id"])
+    drawn = known.where(unit < share[F.col("domain")])
     part = F.when(F.pmod(F.xxhash64(F.lit("mixing part"), "doc_id"), F.lit(3)) == 0, F.lit("tune")).otherwise(F.lit("learn"))
     # the ids of the sample are few by its bound, so they are broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
@@ -173,7 +174,7 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, lexicon: i
 
 def with_posteriors(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
     """``row`` (the caller's columns), ``n_tokens`` and ``posterior`` (in the order of the domains)."""
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("_text"), tokens(docs[text_col]).alias("_words"))
+    packed = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), column(text_col).alias("_text"), tokens(column(text_col)).alias("_words"))
     packed = packed.withColumn("_distinct", F.array_distinct("_words"))
     features = model.features(F.col("_text"), F.col("_words"), F.col("_distinct"))
     scored = packed.select("row", F.size("_words").cast("long").alias("n_tokens"), model.evidence(features).alias("_evidence"))
@@ -323,20 +324,24 @@ def mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TA
     return rated.withColumn("copies", _copies(F.col("rate"), F.col("doc_id")))
 
 
-def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, most: int = 1, **options) -> DataFrame:
+def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, most: int = 1, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows in their new mix, with the caller's columns; a row comes ``copies`` times.
 
     ``most`` bounds the rates and so the copies of a row: with 1 no row is repeated, and only
-    documents of domains that are too frequent are thinned (see :func:`fit_thinning`).
+    documents of domains that are too frequent are thinned (see :func:`fit_thinning`). Null and
+    empty texts have no tokens, and rates like any other text; rows that repeat, or whose id is
+    null, share their draw. Ties in the posterior don't matter, as it is used whole. Without labels,
+    and if no tokens can be kept at the targets, all rows stay; an empty table stays empty; columns
+    may have any name. Posteriors are computed once and written with their rows.
     """
-    model = train(docs, labelled, **options)
+    plain = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
+    model = train(plain, labelled, **options)
     if not model.domains:
         return docs
-    scored = stored(with_posteriors(docs.select("doc_id", "text"), model).select("n_tokens", "posterior"))
-    goal, c = fit_thinning(scored, [targets.get(d, 0.0) for d in model.domains], most)
-    mixed = with_posteriors(docs, model)
-    copies = _copies(_let(F.col("posterior"), lambda p: _thinned(p, goal, c, most)), F.col("row.doc_id"))
-    kept = mixed.select("row", copies.alias("copies")).where("copies > 0")
+    scored = stored(with_posteriors(docs, model, text_col))
+    goal, c = fit_thinning(scored.select("n_tokens", "posterior"), [targets.get(d, 0.0) for d in model.domains], most)
+    copies = _copies(_let(F.col("posterior"), lambda p: _thinned(p, goal, c, most)), row_field(id_col))
+    kept = scored.select("row", copies.alias("copies")).where("copies > 0")
     if most > 1:
         kept = kept.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return kept.select(*[F.col(f"row.{c}").alias(c) for c in docs.columns])
+    return kept_columns(kept, docs)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import components, pack, stored
+from parlance.llm.common import column, components, kept_columns, pack, row_field, stored
 
 SEED = 42
 MAX_BITS = 3
@@ -212,7 +212,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     component_id is null only if no row of the component has an id. Ties don't occur: the smallest
     id wins. An empty table gives an empty result; further columns are ignored.
     """
-    rows = stored(with_fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("row.doc_id", "fp"))
+    rows = stored(with_fingerprints(docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))).select("row.doc_id", "fp"))
     found = groups(rows, max_bucket)
     return rows.join(found, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -221,12 +221,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows that stay, one of each component, with the caller's columns.
 
     The row with the smallest id stays (ids that are null come last); of rows that repeat an id
-    and a fingerprint, any one.
+    and a fingerprint, any one. Null, empty and blank texts are one group, of which one row stays.
+    An empty table stays empty; columns may have any name. Each text is read once, and whole rows
+    are shuffled once, to meet the numbers of those that stay.
     """
-    whole = with_fingerprints(docs, text_col)
-    rows = stored(with_fingerprints(docs.select(id_col, text_col), text_col).select(F.col(f"row.{id_col}").alias("doc_id"), "fp"))
+    whole = stored(with_fingerprints(docs, text_col).withColumn("rid", F.monotonically_increasing_id()))
+    rows = whole.select(row_field(id_col).alias("doc_id"), "fp", "rid")
     keep = groups(rows, max_bucket).select(F.col("component_id").alias("k_id"), F.col("keep_fp").alias("k_fp")).distinct()
-    mine = whole.select("row", "fp", F.col(f"row.{id_col}").alias("m_id"))
-    kept = mine.join(keep, (mine.fp == keep.k_fp) & mine.m_id.eqNullSafe(keep.k_id)).select("row", "fp", "m_id")
-    one = kept.dropDuplicates(["fp", "m_id"])
-    return one.select(*[F.col(f"row.{c}").alias(c) for c in docs.columns])
+    kept = rows.join(keep, (rows.fp == keep.k_fp) & rows.doc_id.eqNullSafe(keep.k_id)).groupBy("fp", "doc_id").agg(F.min("rid").alias("rid"))
+    return kept_columns(whole.join(stored(kept.select("rid")), "rid", "left_semi"), docs)

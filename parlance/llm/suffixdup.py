@@ -16,6 +16,7 @@ class is gathered in one task.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import stored
+from parlance.llm.hashing import VALUES, broadcast_bitmap, digest, each_bytes, hit, longs, range_hashes, spread, word_bounds
 
 LENGTH = 400
 SEED = 32
-PIECE = 1 << 20
+#: Bytes of a block of texts.
+BLOCK = 1 << 18
 #: Segments of a class that one task compares at most.
 CLASS = 512
 #: Starts in a piece, for classes within a task and for those that are dealt out again.
@@ -35,20 +38,8 @@ WIDTH, NARROW = 64, 32
 BATCH = 1 << 19
 #: Rows that a task makes Python objects of at once.
 ROWS = 1024
-#: Bits of the filters that are broadcast (2 MB each); they only save shuffles, so a full one costs nothing but these.
-BITS = 24
-
-
-def _bytes(column):
-    for x in column:
-        buffer = x.as_buffer()
-        yield buffer.to_pybytes() if buffer is not None else b""
-
-
-def _digest(data: bytes) -> bytes:
-    from xxhash import xxh3_128_digest
-
-    return xxh3_128_digest(data)
+#: Words of a passage that documents share.
+PASSAGE = 51
 
 
 def most_width(length: int) -> int:
@@ -58,94 +49,132 @@ def most_width(length: int) -> int:
     return max(1, (length - SEED) // 2)
 
 
-def segments(text: bytes, length: int = LENGTH, seeds: bool = False):
-    """(class, start, number of strings, whether strings in it may be equal) of each segment, as arrays;
-    with ``seeds``, also a function from a segment's number to the offset of its first seed."""
-    span = length - SEED + 1
-    out, whole = [], []
-    for at in range(0, max(0, len(text) - length + 1), PIECE):
-        data = np.frombuffer(text[at : at + PIECE + length - 1], np.uint8)
-        h, size, mul = data.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
-        while size < SEED:
-            h = h[:-size] * np.uint64(mul) + h[size:]
-            size, mul = 2 * size, mul * mul % (1 << 64)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        # minimum of each window of span values, by prefix and suffix minima of blocks
-        n = len(data) - length + 1
-        grid = np.concatenate([h, np.full(-len(h) % span, 2**64 - 1, np.uint64)]).reshape(-1, span)
-        ahead = np.minimum.accumulate(grid, axis=1).ravel()
-        behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-        low = np.minimum(behind[:n], ahead[span - 1 : span - 1 + n])
-        starts = np.r_[0, np.flatnonzero(low[1:] != low[:-1]) + 1]
-        runs = np.diff(np.r_[starts, n])
-        if runs.max() > span:
-            starts = np.concatenate([np.arange(s, s + r, span) for s, r in zip(starts.tolist(), runs.tolist(), strict=True)])
-            runs = np.minimum(span, np.diff(np.r_[starts, n]))
-        # two strings that have different first seeds may be equal, even in one segment
-        turns = np.r_[0, np.cumsum((h[: n - 1] == low[:-1]) & (low[1:] == low[:-1]))]
-        out.append((low[starts].view(np.int64), starts + at, runs, turns[starts + runs - 1] > turns[starts]))
-        if seeds:
-            whole.append((at, h))
-    found = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
-    if not seeds:
-        return found
-
-    def seed(i: int) -> int:
-        key, start = found[0][i], found[1][i]
-        base, h = whole[start // PIECE]
-        return int((h[start - base : start - base + span].view(np.int64) == key).argmax())
-
-    return found, seed
-
-
-def _longs(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    x = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-    return x[:, 0], x[:, 1]
-
-
-def _hit(bitmap, c: np.ndarray) -> np.ndarray:
-    slot = c.view(np.uint64) >> np.uint64(64 - BITS)
-    return (bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
-def _filter(df: DataFrame, column: str):
-    """A broadcast bitmap of a fixed size of the values of a column of random longs."""
-    slots = df.select(F.shiftrightunsigned(column, 64 - BITS).alias("slot"))
-    words = slots.selectExpr("shiftright(slot, 6) AS w", "shiftleft(1L, CAST(slot & 63 AS INT)) AS b")
-    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bitmap = np.zeros(1 << BITS - 6, np.int64)
-    bitmap[got["w"].to_numpy()] = got["b"].to_numpy()
-    return df.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8))
-
-
-def _segment_rows(length, bitmap=None, with_bytes=False):
-    """Segments of each text; with a bitmap, those whose content is in it."""
+def _seed_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the SEED bytes at each position."""
+    h, size, mul = data.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
+    while size < SEED:
+        h = h[:-size] * np.uint64(mul) + h[size:]
+        size, mul = 2 * size, mul * mul % (1 << 64)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def window_minima(h: np.ndarray, span: int) -> np.ndarray:
+    """The least of each ``span`` consecutive values, by windows that double."""
+    n, size = len(h) - span + 1, 1
+    low = h
+    while 2 * size <= span:
+        low = np.minimum(low[:-size], low[size:])
+        size *= 2
+    return np.minimum(low[:n], low[span - size : span - size + n])
+
+
+def blocks(texts: list[bytes], length: int):
+    """Texts joined by 0xFF, BLOCK bytes at a time, with what they hold: (data, number of the first
+    text, each text's offset, each text's number of strings, offset of the data in its text).
+
+    Short texts share a block, so arrays are neither tiny nor larger than caches; a long text is
+    cut into blocks that overlap by ``length`` - 1 bytes.
+    """
+    at = 0
+    while at < len(texts):
+        if len(texts[at]) > BLOCK:
+            text = texts[at]
+            for base in range(0, len(text) - length + 1, BLOCK):
+                part = text[base : base + BLOCK + length - 1]
+                yield part, at, np.zeros(1, np.int64), np.array([len(part) - length + 1]), base
+            at += 1
+            continue
+        end, size = at, 0
+        while end < len(texts) and size + len(texts[end]) <= BLOCK:
+            size += len(texts[end]) + 1
+            end += 1
+        sizes = np.fromiter(map(len, texts[at:end]), np.int64, end - at)
+        yield b"\xff".join(texts[at:end]), at, np.cumsum(sizes + 1) - sizes - 1, np.maximum(0, sizes - length + 1), 0
+        at = end
+
+
+@dataclass
+class Segments:
+    """Segments of one block: their text's number, class, offset in the block, number of strings,
+    whether strings in one may be equal, least seed hash; and the block's seed hashes."""
+
+    owner: np.ndarray
+    h: np.ndarray
+    start: np.ndarray
+    n: np.ndarray
+    own: np.ndarray
+    low: np.ndarray
+    seeds: np.ndarray
+
+    def some(self, on: np.ndarray) -> Segments:
+        return Segments(self.owner[on], self.h[on], self.start[on], self.n[on], self.own[on], self.low[on], self.seeds)
+
+    def seed(self, i: int, span: int) -> int:
+        """Offset of a segment's first seed."""
+        s = int(self.start[i])
+        return int((self.seeds[s : s + span] == self.low[i]).argmax())
+
+
+def segments(data: bytes, first: np.ndarray, count: np.ndarray, length: int = LENGTH) -> Segments:
+    """Segments of the texts in a block; ``first`` and ``count`` as :func:`blocks` gives them."""
+    span, n = length - SEED + 1, len(data) - length + 1
+    if n < 1 or not count.any():
+        none = np.zeros(0, np.int64)
+        return Segments(none, none, none, none, np.zeros(0, bool), none, none)
+    h = _seed_hashes(np.frombuffer(data, np.uint8))
+    low = window_minima(h, span)
+    edge = np.ones(n, bool)
+    np.not_equal(low[1:], low[:-1], out=edge[1:])
+    # two strings that have different first seeds may be equal, even in one segment
+    turns = np.flatnonzero((h[: n - 1] == low[:-1]) & ~edge[1:]) + 1
+    some, stop = first[count > 0], (first + count)[count > 0]
+    edge[some] = True
+    edge[stop[stop < n]] = True
+    starts = np.flatnonzero(edge)
+    runs = np.diff(np.r_[starts, n])
+    owner = np.searchsorted(first, starts, "right") - 1
+    keep = starts - first[owner] < count[owner]
+    owner, starts, runs = owner[keep], starts[keep], runs[keep]
+    parts = -(-runs // span)
+    if parts.max() > 1:
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        ends = np.repeat(starts + runs, parts)
+        owner, starts = np.repeat(owner, parts), np.repeat(starts, parts) + nth * span
+        runs = np.minimum(span, ends - starts)
+    own = np.searchsorted(turns, starts + runs) - np.searchsorted(turns, starts, "right") > 0
+    return Segments(owner, spread(low[starts]).view(np.int64), starts, runs, own, low[starts], h)
+
+
+def _segment_rows(length, classes=None, contents=None, with_bytes=False):
+    """Segments of each text; with bitmaps, those whose class and content are in them."""
 
     def run(batches):
         for batch in batches:
-            for text in _bytes(batch.column(0)):
-                found = segments(text, length, with_bytes)
-                (h, start, n, own), seed = found if with_bytes else (found, None)
-                if not len(h):
+            texts = list(each_bytes(batch.column(0)))
+            digests = longs([digest(t) for t in texts]) if texts and not with_bytes else None
+            for data, number, first, count, base in blocks(texts, length):
+                found = segments(data, first, count, length)
+                if classes is not None and len(found.h):
+                    found = found.some(hit(classes.value, found.h))
+                if not len(found.h):
                     continue
-                ends = start + n + length - 1
-                c1, c2 = _longs([_digest(text[s:e]) for s, e in zip(start.tolist(), ends.tolist(), strict=True)])
-                t = np.frombuffer(_digest(text), np.int64)
-                on = range(len(h))
-                if bitmap is not None:
-                    on = np.flatnonzero(_hit(bitmap.value, c1))
+                bounds = list(zip(found.start.tolist(), (found.start + found.n + length - 1).tolist(), strict=True))
+                c1, c2 = longs([digest(data[s:e]) for s, e in bounds])
+                if contents is not None:
+                    on = np.flatnonzero(hit(contents.value, c1))
                     if not len(on):
                         continue
-                    h, start, n, own, c1, c2, ends = (x[on] for x in (h, start, n, own, c1, c2, ends))
-                m = len(h)
+                    found, c1, c2, bounds = found.some(on), c1[on], c2[on], [bounds[i] for i in on.tolist()]
                 if with_bytes:
-                    data = [text[s:e] for s, e in zip(start.tolist(), ends.tolist(), strict=True)]
-                    cols = [h, c1, c2, n.astype(np.int32), np.array([seed(i) for i in on], np.int32), pa.array(data, pa.binary())]
+                    q = [found.seed(i, length - SEED + 1) for i in range(len(c1))]
+                    cols = [found.h, c1, c2, found.n.astype(np.int32), np.array(q, np.int32), pa.array([data[s:e] for s, e in bounds], pa.binary())]
                     names = ["h", "c1", "c2", "n", "q", "data"]
                 else:
-                    cols = [h, c1, c2, n.astype(np.int32), np.full(m, t[0]), np.full(m, t[1]), start.astype(np.int64), own]
+                    t1, t2 = (x[number + found.owner] for x in digests)
+                    cols = [found.h, c1, c2, found.n.astype(np.int32), t1, t2, found.start - first[found.owner] + base, found.own]
                     names = ["h", "c1", "c2", "n", "t1", "t2", "start", "own"]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=names)
 
@@ -250,7 +279,7 @@ def _compare(length):
         cores: dict[bytes, list] = {}
         for c, n, q, data in members:
             for low, high, core, whole in _pieces(data, n, q, min(WIDTH, most_width(length)), length):
-                cores.setdefault(_digest(core), []).append((c, low, high, whole))
+                cores.setdefault(digest(core), []).append((c, low, high, whole))
         for same in cores.values():
             if len(same) < 2:
                 continue
@@ -312,7 +341,7 @@ def _split(width, length):
                 part = b.slice(at, ROWS)
                 for c1, c2, base, n, q, data in zip(*(part.column(i).to_pylist() for i in range(6)), strict=True):
                     for low, high, core, whole in _pieces(data, n, q, width, length):
-                        out.append((_digest(core), _digest(whole), c1, c2, base + low, high - low, max(0, data.find(data[q : q + SEED], low) - low), whole))
+                        out.append((digest(core), digest(whole), c1, c2, base + low, high - low, max(0, data.find(data[q : q + SEED], low) - low), whole))
                     if len(out) >= ROWS:
                         yield flush(out)
                         out = []
@@ -343,16 +372,16 @@ def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     made = texts.mapInArrow(_segment_rows(length), kind)
     own = stored(made.groupBy("h", "c1", "c2").agg(F.count("*").alias("m"), F.first("n").alias("n"), F.min(F.struct("t1", "t2", "start")).alias("at"), F.bool_or("own").alias("own")))
     several = stored(own.groupBy("h").agg(F.count("*").alias("k"), F.bool_or("own").alias("own")).where("k > 1 OR own").select("h", "k"))
-    near = _filter(several, "h")
+    near = broadcast_bitmap(several, "h")
 
     def in_several(batches):
         for b in batches:
-            yield b.filter(pa.array(_hit(near.value, b.column(0).to_numpy())))
+            yield b.filter(pa.array(hit(near.value, b.column(0).to_numpy())))
 
     mixed = own.select("h", "c1", "c2", "m", "n", F.col("at.t1").alias("t1"), F.col("at.t2").alias("t2")).mapInArrow(in_several, "h long, c1 long, c2 long, m long, n int, t1 long, t2 long")
     mixed = stored(mixed.join(several, "h"))
     # the text of one copy of each segment
-    data = texts.mapInArrow(_segment_rows(length, _filter(mixed, "c1"), True), "h long, c1 long, c2 long, n int, q int, data binary").dropDuplicates(["c1", "c2"])
+    data = texts.mapInArrow(_segment_rows(length, near, broadcast_bitmap(mixed, "c1"), True), "h long, c1 long, c2 long, n int, q int, data binary").dropDuplicates(["c1", "c2"])
     data = stored(data.join(mixed.select("c1", "c2", "k"), ["c1", "c2"]).select("h", "c1", "c2", "n", "q", "data", "k"))
     small = data.where(F.col("k") <= CLASS).select("h", "c1", "c2", "n", "q", "data")
     part = small.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(length), FOUND)
@@ -362,19 +391,116 @@ def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     if not hot.isEmpty():
         found = found.union(_large_classes(hot, length))
     found = stored(found.groupBy("c1", "c2").agg(F.collect_set(F.struct("low", "high")).alias("ranges")))
-    where = texts.mapInArrow(_segment_rows(length, _filter(found, "c1")), kind).select("c1", "c2", "t1", "t2", "start").dropDuplicates()
+    classes = own.join(found.select("c1", "c2"), ["c1", "c2"], "left_semi").select("h").distinct()
+    where = texts.mapInArrow(_segment_rows(length, broadcast_bitmap(classes, "h"), broadcast_bitmap(found, "c1")), kind).select("c1", "c2", "t1", "t2", "start").dropDuplicates()
     spans = where.join(found, ["c1", "c2"]).select("t1", "t2", F.transform("ranges", lambda r: F.struct((F.col("start") + r["low"]).alias("low"), (F.col("start") + r["high"] + length - 1).alias("high"))).alias("s"))
     return stored(spans.groupBy("t1", "t2").agg(F.flatten(F.collect_list("s")).alias("spans")))
 
 
+#: What parts words, with what parts texts in a block.
+_PARTS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32, 255])
+
+
+def word_windows(data: bytes, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of ``size`` words in the texts that start at ``first``: (text, window's hash, least hash of its halves).
+
+    Windows that follow each other mostly have the same least hash, equal windows always have.
+    """
+    x = np.frombuffer(data, np.uint8)
+    start, end = word_bounds(_PARTS[x])
+    half = size // 2 + 1
+    if len(start) < size:
+        return (np.zeros(0, np.int64),) * 3
+    words = range_hashes(VALUES[x], start, end)
+    at = np.arange(len(words) + 1)
+    whole = range_hashes(words, at[: -size], at[size:])
+    low = window_minima(range_hashes(words, at[:-half], at[half:]), size - half + 1)
+    begin = np.searchsorted(start, first)
+    last = np.r_[begin[1:], len(start)]
+    owner = np.searchsorted(begin, at[: -size], "right") - 1
+    inside = at[: -size] + size <= last[owner]
+    return owner[inside], whole[inside].view(np.int64), spread(low[inside]).view(np.int64)
+
+
+def _word_blocks(texts: list[bytes], size: int):
+    """(data, number of the first text, offsets of the texts); long texts in parts that overlap by ``size`` - 1 words."""
+    for data, number, first, _, base in blocks([t if len(t) <= BLOCK else b"" for t in texts], 1):
+        if base == 0:
+            yield data, number, first
+    for number, text in enumerate(texts):
+        at = 0 if len(text) > BLOCK else len(text)
+        while at < len(text):
+            end, words = at, []
+            while end < len(text) and len(words) < 2 * size:
+                end += BLOCK
+                while end < len(text) and not _PARTS[text[end]]:
+                    end += 1
+                words = text[at:end].split()
+            yield text[at:end], number, np.zeros(1, np.int64)
+            # the next part starts with the last words of this one
+            back, seen = end, 0
+            while end < len(text) and seen < size:
+                back -= 1
+                seen += not _PARTS[text[back]] and _PARTS[text[back - 1]]
+            at = back if end < len(text) else len(text)
+
+
+def _passage_rows(size, shared=None):
+    """Distinct least hashes of each text's windows; with a bitmap of those, the windows that have one in it."""
+
+    def run(batches):
+        for batch in batches:
+            texts = list(each_bytes(batch.column(0)))
+            digests = longs([digest(t) for t in texts]) if texts else None
+            for data, number, first in _word_blocks(texts, size):
+                owner, whole, low = word_windows(data, first, size)
+                if shared is None:
+                    new = np.ones(len(low), bool)
+                    new[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
+                    owner, value = owner[new], low[new]
+                else:
+                    on = hit(shared.value, low)
+                    owner, value = owner[on], whole[on]
+                if len(owner):
+                    yield pa.RecordBatch.from_arrays([pa.array(value), *(pa.array(x[number + owner]) for x in digests)], names=["w", "t1", "t2"])
+
+    return run
+
+
+def shared_passages(texts: DataFrame, size: int = PASSAGE) -> DataFrame:
+    """``t1, t2`` (digest) of the texts with ``size`` words in a row that another row's text has, too.
+
+    What parts words doesn't count. Windows meet by their hash of 64 bits, but only those whose
+    halves' least hash occurs in several texts, so most windows are never shuffled.
+    """
+    kind, text = "w long, t1 long, t2 long", ["t1", "t2"]
+    least, most = F.min(F.struct(*text)).alias("a"), F.max(F.struct(*text)).alias("z")
+
+    def in_several(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("w").agg(least, most).where("a <> z").select("w")
+
+    lows = stored(in_several(texts.mapInArrow(_passage_rows(size), kind)))
+    rows = stored(texts.mapInArrow(_passage_rows(size, broadcast_bitmap(lows, "w")), kind).distinct())
+    mixed = rows.join(in_several(rows), "w", "left_semi").select(*text).distinct()
+
+    def long(batches):
+        for batch in batches:
+            some = [t for t in each_bytes(batch.column(0)) if len(t) >= 2 * size - 1 and len(t.split()) >= size]
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in longs([digest(t) for t in some])], names=text)
+
+    copies = texts.mapInArrow(long, "t1 long, t2 long").groupBy(*text).agg(F.count("*").alias("m")).where("m > 1").select(*text)
+    return stored(mixed.union(copies).distinct())
+
+
 def _texts(bitmap):
     """Rows with their digests; the text itself only where something may have to be removed."""
 
     def run(batches):
         for b in batches:
-            ids, texts = b.column(0), list(_bytes(b.column(1)))
-            t1, t2 = _longs([_digest(t) for t in texts]) if texts else (np.zeros(0, np.int64),) * 2
-            on = _hit(bitmap.value, t1) if texts else []
+            ids, texts = b.column(0), list(each_bytes(b.column(1)))
+            t1, t2 = longs([digest(t) for t in texts]) if texts else (np.zeros(0, np.int64),) * 2
+            on = hit(bitmap.value, t1) if texts else []
             rows = [ids, pa.array(t1), pa.array(t2), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array([t if x else None for t, x in zip(texts, on, strict=True)], pa.binary())]
             yield pa.RecordBatch.from_arrays(rows, names=["doc_id", "t1", "t2", "n_bytes", "sha", "text"])
 
@@ -411,20 +537,24 @@ def _cut_rows(batches):
             removed.append(len(t) - len(kept))
             n.append(len(runs))
             sha.append(hashlib.sha256(kept).hexdigest())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        cols = [b.column("doc_id"), b.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), b.column("shares_passage"), pa.array(text, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "shares_passage", "kept"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` for every row.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, shares_passage, kept`` for every row.
 
     ``kept`` holds the remaining bytes where something was removed and is null where the text stays
-    as it is. A null text counts as empty. Texts shorter than ``length`` bytes stay. Repeated rows
-    recur in each other, so they lose all that is long enough; ids may be null or repeat. An empty
-    table gives an empty result; further columns are ignored.
+    as it is. ``shares_passage`` tells of passages by words, not bytes: whether ``passage`` words in
+    a row also stand in another row. A null text counts as empty. Texts shorter than ``length``
+    bytes stay. Repeated rows recur in each other, so they lose all that is long enough; ids may be
+    null or repeat. An empty table gives an empty result; further columns are ignored.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     spans = repeated(source.select("text"), length)
     key = source.schema["doc_id"].dataType.simpleString()
-    rows = source.mapInArrow(_texts(_filter(spans, "t1")), f"doc_id {key}, t1 long, t2 long, n_bytes long, sha string, text binary")
-    joined = rows.join(spans, ["t1", "t2"], "left").select("doc_id", "n_bytes", "sha", "text", "spans")
-    return joined.mapInArrow(_cut_rows, f"doc_id {key}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    rows = source.mapInArrow(_texts(broadcast_bitmap(spans, "t1")), f"doc_id {key}, t1 long, t2 long, n_bytes long, sha string, text binary")
+    shared = shared_passages(source.select("text"), passage).withColumn("shares_passage", F.lit(True))
+    marks = stored(spans.join(shared, ["t1", "t2"], "full_outer"))
+    joined = rows.join(marks, ["t1", "t2"], "left").select("doc_id", "n_bytes", "sha", "text", "spans", F.coalesce("shares_passage", F.lit(False)).alias("shares_passage"))
+    return joined.mapInArrow(_cut_rows, f"doc_id {key}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage boolean, kept binary")

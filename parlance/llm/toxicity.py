@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import pack, stored
+from parlance.llm.common import kept_columns, pack, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 SAMPLE = 6000

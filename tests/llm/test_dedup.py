@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -212,3 +213,39 @@ def test_written_shards_hold_all_texts(spark, documents):
     back = spark.read.parquet(path)
     assert back.count() == documents.count() == where.count()
     assert back.join(documents.select("doc_id", F.col("text").alias("t")), "doc_id").where("NOT text <=> t").count() == 0
+
+
+def brute_passages(texts, size):
+    where = defaultdict(set)
+    for d, t in enumerate(texts):
+        ws = t.split()
+        for i in range(len(ws) - size + 1):
+            where[tuple(ws[i : i + size])].add(d)
+    return {d for x in where.values() if len(x) > 1 for d in x}
+
+
+@pytest.mark.parametrize("size", [9, 51])
+def test_shared_passages_equal_brute_force(spark, documents, size, monkeypatch):
+    """Passages of one word less and of just as many, short and long texts, copies; in blocks smaller than the long ones."""
+    rng = random.Random(size)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9)))
+    filler = lambda n: " ".join(word() for _ in range(n))
+    passage = [word() for _ in range(size)]
+    texts = [r["text"] or "" for r in documents.orderBy("doc_id").limit(80).collect()]
+    texts += [f"{filler(20)} {' '.join(passage)} {filler(20)}", f"{filler(300)}\n{'  '.join(passage)}\t{filler(300)}", " ".join(passage[1:]) + " " + filler(30), " ".join(passage[:-1]), "", "   "]
+    inside = [word() for _ in range(size)]
+    texts += [filler(2 * size), filler(500) + " " + " ".join(inside) + " " + filler(700), " ".join(inside)]
+    twice = " ".join(word() for _ in range(size))
+    texts += [twice + " " + filler(9) + " " + twice, filler(size - 1), filler(size - 1)]
+    texts += [texts[3], "x " * (size - 1) + "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in suffixdup.remove_repeats(df, passage=size).where("shares_passage").collect()}
+    assert got == brute_passages(texts, size)
+    data = [t.encode() for t in texts]
+    monkeypatch.setattr(suffixdup, "BLOCK", 700)
+    parts = defaultdict(set)
+    for d, t in enumerate(data):
+        for block, number, first in suffixdup._word_blocks([t], size):
+            parts[d] |= set(suffixdup.word_windows(block, first, size)[1].tolist())
+    assert all(len(parts[d]) == len({tuple(t.split()[i : i + size]) for i in range(len(t.split()) - size + 1)}) for d, t in enumerate(data))
+    assert not suffixdup.shared_passages(df.select(F.col("text").cast("binary")).limit(0), size).count()

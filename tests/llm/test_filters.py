@@ -90,12 +90,30 @@ def brute_contamination(text, items):
 
 @pytest.mark.parametrize("most", [1 << 24, 0])
 def test_contamination_equals_brute_force(spark, documents, sf_dir, most):
-    """By the broadcast set, and by the join that takes its place for a large benchmark."""
-    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(12).selectExpr("CAST(item_id AS STRING) AS item_id", "text").union(spark.createDataFrame([("short", "Of THE and"), ("none", "!!"), ("null", None)], "item_id string, text string"))
+    """By the broadcast set, and by the join that takes its place for a large benchmark; ids repeat and are null."""
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(12).selectExpr("CAST(item_id AS STRING) AS item_id", "text")
+    more = [("short", "Of THE and"), ("none", "!!"), ("null", None), ("short", "and the"), ("short", "Of THE and"), (None, "of the"), (None, "in the"), ("a", bench.first()["text"])]
+    bench = bench.union(spark.createDataFrame(more, "item_id string, text string"))
     docs = documents.limit(40)
-    items = [(r["item_id"], r["text"]) for r in bench.collect()]
+    items = [(r["item_id"] or "", r["text"]) for r in bench.collect()]
     got = {r["doc_id"]: tuple(r)[1:] for r in decontam.contamination(docs, bench, max_broadcast_bytes=most).collect()}
     assert got == {r["doc_id"]: brute_contamination(r["text"], items) for r in docs.collect()}
+    assert len({g[2] for g in got.values()}) > 2
+
+
+def test_windows_of_texts_in_parts(monkeypatch):
+    """Long texts are cut into parts whose windows are those of the whole."""
+    rng = random.Random(3)
+    text = " ".join(rng.choice(["ab", "c", "word", "é" * 9]) + ("  " if rng.random() < 0.1 else "") for _ in range(700)).encode()
+    monkeypatch.setattr(decontam, "PIECE", 64)
+    ws = text.split()
+    got = {}
+    for number, part in decontam._parts(text, 12):
+        assert part.split() == ws[number : number + len(part.split())]
+        for i, h in enumerate(decontam._window_hashes(part, 13, decontam._bounds(part)).tolist()):
+            got[number + i] = h
+    whole = decontam._window_hashes(text, 13, decontam._bounds(text)).tolist()
+    assert [got[i] for i in range(len(ws) - 12)] == whole
 
 
 @pytest.mark.parametrize("most", [1 << 24, 0])
@@ -104,14 +122,19 @@ def test_contamination_edges(spark, edges, most):
     got = decontam.scan_benchmark(edges(), bench, max_broadcast_bytes=most).select("row.doc_id", "n_words", "n_hit", "contaminated").collect()
     assert len(got) == 12 and sum(r["contaminated"] for r in got) == 4
     assert decontam.drop_contaminated(edges(), bench).columns == edges().columns
-    assert decontam.scan_benchmark(edges(), bench.limit(0)).where("contaminated").count() == 0
-    assert decontam.scan_benchmark(edges(0), bench).count() == 0
+    kept = decontam.drop_contaminated(edges(), bench, max_broadcast_bytes=most)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "3", "6", "7", "8", "9", "10"])
+    assert decontam.scan_benchmark(edges(), bench.limit(0), max_broadcast_bytes=most).where("contaminated").count() == 0
+    assert decontam.scan_benchmark(edges(0), bench, max_broadcast_bytes=most).count() == 0
+    clean = decontam.remove_spans(edges(), bench, max_broadcast_bytes=most).select("row.doc_id", "clean_text").collect()
+    assert len(clean) == 12 and all((r["clean_text"] is None) == (r["doc_id"] in (1, 9)) for r in clean)
 
 
-def test_spans_are_removed(spark):
+@pytest.mark.parametrize("most", [1 << 24, 0])
+def test_spans_are_removed(spark, most):
     docs = spark.createDataFrame([(1, "Before, Hello big (wide) world again! After")], "doc_id long, text string")
     bench = spark.createDataFrame([("a", "hello big wide world again")], "item_id string, text string")
-    clean = decontam.remove_spans(docs, bench).first()["clean_text"]
+    clean = decontam.remove_spans(docs, bench, max_broadcast_bytes=most).first()["clean_text"]
     assert clean.split() == ["Before,", "()", "!", "After"]
 
 
