@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +54,11 @@ def pack(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), *[column(c).alias(f"c{i}") for i, c in enumerate(columns)])
 
 
+def row_with(packed: DataFrame, more: str) -> StructType:
+    """The schema of ``row`` and more columns, whatever the caller's columns are called."""
+    return StructType([packed.schema["row"], *StructType.fromDDL(more).fields])
+
+
 def row_field(name: str) -> Column:
     """A field of ``row``."""
     return F.col("row").getField(name)

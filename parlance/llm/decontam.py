@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import kept_columns, pack, stored
+from parlance.llm.common import kept_columns, pack, row_with, stored
 from parlance.llm.hashing import VALUES, broadcast_bitmap, digest, each_bytes, hit, longs, range_hashes, word_bounds
 
 WINDOW = 13
@@ -229,7 +229,7 @@ def _joined(docs: DataFrame, items: DataFrame, text_col: str) -> DataFrame:
     ranges, owners = _joined_hits(packed.select(F.coalesce("c0", F.lit("")).alias("text")), items)
     named = owners.groupBy("t1", "t2").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
     found = stored(ranges.drop("ranges").join(named, ["t1", "t2"]))
-    sized = packed.mapInArrow(_sized, f"row {packed.schema['row'].dataType.simpleString()}, text string, t1 long, t2 long, n_words long").drop("text")
+    sized = packed.mapInArrow(_sized, row_with(packed, "text string, t1 long, t2 long, n_words long")).drop("text")
     hits = F.coalesce("n_hit", F.lit(0)).cast("long")
     n_items, names = F.coalesce(F.size("items"), F.lit(0)).cast("long"), F.coalesce(F.array_join("items", ","), F.lit(""))
     return sized.join(found, ["t1", "t2"], "left").select("row", "n_words", hits.alias("n_hit"), n_items.alias("n_items"), F.sha2(names, 256).alias("items_sha256"), ((hits > 0) & (20 * hits >= F.col("n_words"))).alias("contaminated"))
@@ -261,7 +261,7 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     if _bytes(items) > max_broadcast_bytes:
         return _joined(docs, items, text_col)
     packed = pack(docs, text_col)
-    return packed.mapInArrow(_scanner(_broadcast(items)), f"row {packed.schema['row'].dataType.simpleString()}, {RESULT}")
+    return packed.mapInArrow(_scanner(_broadcast(items)), row_with(packed, RESULT))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -321,9 +321,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     ``max_broadcast_bytes`` is joined instead of broadcast, with the same result.
     """
     items, packed = _items(benchmark, item_col, item_text), pack(docs, text_col)
-    row = f"row {packed.schema['row'].dataType.simpleString()}"
     if _bytes(items) <= max_broadcast_bytes:
-        return packed.mapInArrow(_cleaned(_broadcast(items)), f"{row}, clean_text string")
+        return packed.mapInArrow(_cleaned(_broadcast(items)), row_with(packed, "clean_text string"))
     ranges, _ = _joined_hits(packed.select(F.coalesce("c0", F.lit("")).alias("text")), items)
-    sized = packed.mapInArrow(_sized, f"{row}, text string, t1 long, t2 long, n_words long")
-    return sized.join(ranges.drop("n_hit"), ["t1", "t2"], "left").select("row", "text", "n_words", "ranges").mapInArrow(_cleaned_of_ranges, f"{row}, clean_text string")
+    sized = packed.mapInArrow(_sized, row_with(packed, "text string, t1 long, t2 long, n_words long"))
+    return sized.join(ranges.drop("n_hit"), ["t1", "t2"], "left").select("row", "text", "n_words", "ranges").mapInArrow(_cleaned_of_ranges, row_with(packed, "clean_text string"))

@@ -1,26 +1,26 @@
 """Exact deduplication by composable polynomial fingerprints, verified by comparing the texts.
 
 A text is cut into chunks; each chunk's polynomial value modulo two primes is computed by itself,
-and values combine by length-shifted arithmetic: ``h(xy) = h(x) * B**len(y) + h(y)``. So a huge
-document's chunks can be hashed in any order. Rows whose fingerprint and length are shared are then
-compared with one representative, chunk by chunk; should a fingerprint ever stand for two texts,
-its rows are grouped by the text itself.
+and values combine by length-shifted arithmetic: ``h(xy) = h(x) * B**len(y) + h(y)``. So the parts
+of a huge document are dealt out to tasks, hashed in any order and combined afterwards. Rows whose
+fingerprint and length are shared are then compared with one representative, part by part; should a
+fingerprint ever stand for two texts, its rows are grouped by the text itself.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import stored
+from parlance.llm.common import column, stored
 
 CHUNK = 4096
 #: (modulus, base); products with a byte summed over a chunk stay below 2**63.
 FIELDS = ((2147483647, 1000003), (2147483629, 8191037))
+#: Bytes from which on a text is huge, and of its parts.
+HUGE, PART = 8 << 20, 1 << 20
 #: Members of one group that compare with one copy of the representative.
 PER_COPY = 256
 
@@ -35,19 +35,16 @@ def _powers(p: int, base: int) -> np.ndarray:
 _tables: list = []
 
 
-def _chunk_values(data: np.ndarray) -> list[np.ndarray]:
-    """For each field, the values of all chunks; a short last chunk stands for its own bytes."""
+def values(text) -> list[int]:
+    """The text's value in each field. Only one chunk at a time is widened to numbers."""
     if not _tables:
         _tables.extend(_powers(*f) for f in FIELDS)
-    whole = len(data) // CHUNK * CHUNK
-    grid, rest = data[:whole].reshape(-1, CHUNK), data[whole:]
-    out = []
-    for (p, _), power in zip(FIELDS, _tables, strict=True):
-        falling = power[CHUNK - 1 :: -1]
-        values = [int((grid[i].astype(np.int64) * falling).sum()) % p for i in range(len(grid))]
-        if len(rest):
-            values.append(int((rest.astype(np.int64) * falling[CHUNK - len(rest) :]).sum()) % p)
-        out.append(values)
+    data, out = np.frombuffer(text, np.uint8), [0] * len(FIELDS)
+    for at in range(0, len(data), CHUNK):
+        chunk = data[at : at + CHUNK].astype(np.int64) + 1
+        for i, ((p, _), power) in enumerate(zip(FIELDS, _tables, strict=True)):
+            own = int((chunk * power[len(chunk) - 1 :: -1][: len(chunk)]).sum()) % p
+            out[i] = (out[i] * int(power[len(chunk)]) + own) % p
     return out
 
 
@@ -56,73 +53,104 @@ def combine(p: int, base: int, left: tuple[int, int], right: tuple[int, int]) ->
     return (left[0] * pow(base, right[1], p) + right[0]) % p, left[1] + right[1]
 
 
-def fingerprint(text: bytes) -> int:
-    """62 bits: the text's value in both fields."""
-    data, parts = np.frombuffer(text, np.uint8) + np.uint64(1), []
-    for (p, base), values in zip(FIELDS, _chunk_values(data.astype(np.int64)), strict=True):
-        total, shift = 0, pow(base, CHUNK, p)
-        for i, v in enumerate(values):
-            n = min(CHUNK, len(data) - i * CHUNK)
-            total = (total * (shift if n == CHUNK else pow(base, n, p)) + v) % p
-        parts.append(total)
+def joined(parts: list[int]) -> int:
+    """62 bits of the values in both fields."""
     return parts[0] << 31 | parts[1]
 
 
+def fingerprint(text: bytes) -> int:
+    return joined(values(text))
+
+
 def _prints(bits):
     """bits: of the fingerprint that count (tests lower it to force collisions)."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            fp, size, sha = [], [], []
-            for t in texts:
-                b = t.as_py() or b""
-                fp.append(fingerprint(b) & (1 << bits) - 1)
-                size.append(len(b))
-                sha.append(hashlib.sha256(b).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "text", "fp", "n_bytes", "text_sha256"])
+            fp = [fingerprint(t.as_buffer()) & (1 << bits) - 1 for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64())], names=[*batch.schema.names, "fp"])
 
     return run
 
 
-def _same(batches):
-    """Compare (text, other) chunk by chunk and stop at the first that differs."""
+def _part_values(batches):
     for batch in batches:
-        out = []
-        for x, y in zip(batch.column("text"), batch.column("other"), strict=True):
-            a, b = x.as_buffer(), y.as_buffer()
-            a, b = memoryview(a or b""), memoryview(b or b"")
-            out.append(len(a) == len(b) and all(a[i : i + CHUNK] == b[i : i + CHUNK] for i in range(0, len(a), CHUNK)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), batch.column("fp"), batch.column("n_bytes"), batch.column("text_sha256"), pa.array(out, pa.bool_())], names=["doc_id", "text", "fp", "n_bytes", "text_sha256", "same"])
+        own = [values(t.as_buffer()) for t in batch.column("part")]
+        cols = [batch.column(c) for c in ("text_sha256", "n_bytes", "i")]
+        yield pa.RecordBatch.from_arrays([*cols, *(pa.array([v[i] for v in own], pa.int64()) for i in range(2)), pa.array([len(t.as_buffer()) for t in batch.column("part")], pa.int64())], names=["text_sha256", "n_bytes", "i", "v0", "v1", "n"])
+
+
+def _combined(bits):
+    def run(batches):
+        for batch in batches:
+            out = []
+            for parts in batch.column("parts").to_pylist():
+                whole = []
+                for f, (p, base) in enumerate(FIELDS):
+                    at = (0, 0)
+                    for x in parts:
+                        at = combine(p, base, at, (x[f"v{f}"], x["n"]))
+                    whole.append(at[0])
+                out.append(joined(whole) & (1 << bits) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column("text_sha256"), batch.column("n_bytes"), pa.array(out, pa.int64())], names=["text_sha256", "n_bytes", "fp"])
+
+    return run
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """Rows with ``part`` and its number ``i`` in place of ``text``."""
+    last = F.floor(F.greatest(F.col("n_bytes") - 1, F.lit(0)) / PART).cast("int")
+    split = rows.withColumn("i", F.explode(F.sequence(F.lit(0), last)))
+    return split.withColumn("part", F.substring("text", F.col("i") * PART + 1, F.lit(PART))).drop("text")
+
+
+def _huge_prints(huge: DataFrame, bits: int) -> DataFrame:
+    """``text_sha256, n_bytes, fp`` of huge texts; parts go to tasks of their own, equal texts' once."""
+    parts = _parts(huge.select("text", "text_sha256", "n_bytes")).repartition("text_sha256", "i")
+    made = parts.mapInArrow(_part_values, "text_sha256 string, n_bytes long, i int, v0 long, v1 long, n long")
+    text = ["text_sha256", "n_bytes"]
+    once = made.groupBy(*text, "i").agg(*[F.first(c).alias(c) for c in ("v0", "v1", "n")])
+    whole = once.groupBy(*text).agg(F.array_sort(F.collect_list(F.struct("i", "v0", "v1", "n"))).alias("parts"))
+    return stored(whole.mapInArrow(_combined(bits), "text_sha256 string, n_bytes long, fp long"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 62) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 62, huge_bytes: int = HUGE) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row.
 
     Of equal texts the largest doc_id stays; null texts count as empty, so they equal empty ones.
     Rows with a null id take part and stay only if no row of the group has an id. Rows that repeat
     an id and a text count twice in group_size and are both marked as kept. An empty table gives
-    an empty result; further columns are ignored.
+    an empty result; further columns are ignored, whatever their names. Texts of more than
+    ``huge_bytes`` are hashed and compared in parts.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text string, fp long, n_bytes long, text_sha256 string"
-    prints = source.mapInArrow(_prints(bits), kind)
+    text = F.coalesce(column(text_col).cast("string"), F.lit("")).cast("binary")
+    source = docs.select(column(id_col).alias("doc_id"), text.alias("text")).select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+    own = f"doc_id {source.schema['doc_id'].dataType.simpleString()}"
+    small = source.where(F.col("n_bytes") <= huge_bytes).mapInArrow(_prints(bits), f"{own}, text binary, n_bytes long, text_sha256 string, fp long")
+    prints, longest = small, docs.agg(F.max(F.octet_length(column(text_col).cast("string")))).first()[0] or 0
+    if longest > huge_bytes:
+        huge = source.where(F.col("n_bytes") > huge_bytes)
+        prints = small.unionByName(huge.join(_huge_prints(huge, bits), ["text_sha256", "n_bytes"]))
     rows = stored(prints.drop("text"))
     key = ["fp", "n_bytes"]
-    shared = stored(rows.groupBy(*key).agg(F.count("*").alias("size"), F.max("doc_id").alias("keep_id")).where("size > 1"))
+    largest = F.max("doc_id").alias("keep_id")
+    shared = rows.groupBy(*key).agg(F.count("*").alias("size"), largest, F.coalesce(F.max_by("text_sha256", "doc_id"), F.min("text_sha256")).alias("first"))
+    shared = stored(shared.where("size > 1"))
     # representatives are copied for every PER_COPY members, and members dealt out among the copies
     copies = F.ceil(F.col("size") / PER_COPY).cast("int")
-    wide = stored(prints.withColumn("text", F.coalesce("text", F.lit("")).cast("binary")).join(shared, key).withColumn("salt", F.pmod(F.xxhash64("doc_id"), copies).cast("int")))
-    best = wide.where("doc_id <=> keep_id").select(*key, F.col("text").alias("other"), copies.alias("copies")).dropDuplicates(key)
+    wide = prints.join(shared, key).withColumn("salt", F.pmod(F.xxhash64("doc_id"), copies).cast("int"))
+    wide = stored(_parts(wide))
+    best = wide.where(F.col("text_sha256") == F.col("first")).select(*key, "i", F.col("part").alias("other"), copies.alias("copies")).dropDuplicates([*key, "i"])
     best = stored(best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies"))
-    kind = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text binary, fp long, n_bytes long, text_sha256 string, same boolean"
-    judged = wide.join(best, [*key, "salt"]).select("doc_id", "text", *key, "text_sha256", "other").mapInArrow(_same, kind)
-    mixed = stored(judged.where("not same").select(*key).distinct())
-    groups = shared.join(mixed, key, "left_anti")
-    plain = rows.join(stored(mixed), key, "left_anti").join(groups, key, "left")
+    judged = wide.join(best, [*key, "i", "salt"])
+    mixed = stored(judged.where("part <> other").select(*key).distinct())
+    groups = shared.drop("first").join(mixed, key, "left_anti")
+    plain = rows.join(mixed, key, "left_anti").join(groups, key, "left")
     out = plain.select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), "text_sha256")
     if not mixed.isEmpty():
-        odd = stored(wide.join(mixed, key, "left_semi").select("doc_id", "text", "text_sha256"))
-        own = odd.groupBy("text").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
-        out = out.union(odd.join(own, "text").select("doc_id", "keep_id", "group_size", "text_sha256"))
+        # a fingerprint of several texts: by the text itself, a huge one by its digest
+        same = F.when(F.col("n_bytes") <= PART, F.col("part")).otherwise(F.unhex("text_sha256"))
+        odd = stored(wide.where("i = 0").join(mixed, key, "left_semi").select("doc_id", same.alias("same"), "n_bytes", "text_sha256"))
+        own = odd.groupBy("same", "n_bytes").agg(F.count("*").alias("group_size"), largest)
+        out = out.union(odd.join(own, ["same", "n_bytes"]).select("doc_id", "keep_id", "group_size", "text_sha256"))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

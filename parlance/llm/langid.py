@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import column, kept_columns, pack
+from parlance.llm.common import column, kept_columns, pack, row_with
 
 FEATURES = 4096
 #: Hash space of each order: unigrams, bigrams, trigrams.
@@ -258,7 +258,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """
     packed = pack(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model.plain())
-    return packed.mapInArrow(_predictor(shared), f"row {packed.schema['row'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+    return packed.mapInArrow(_predictor(shared), row_with(packed, "lang_pred string, score double, rejected boolean"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -14,7 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Spellings that the SPDX matching guidelines treat as equal, between spaces.
+from parlance.llm.common import column
+
+# Spellings that the SPDX matching guidelines treat as equal, word by word.
 SPELLINGS = (
     ("acknowledgement", "acknowledgment"),
     ("analogue", "analog"),
@@ -30,20 +32,19 @@ SPELLINGS = (
     ("licence", "license"),
     ("licenced", "licensed"),
     ("licences", "licenses"),
-    ("non commercial", "noncommercial"),
     ("organisation", "organization"),
-    ("per cent", "percent"),
     ("programme", "program"),
     ("realise", "realize"),
     ("recognise", "recognize"),
-    ("sub license", "sublicense"),
-    ("sub licensed", "sublicensed"),
     ("utilisation", "utilization"),
     ("whilst", "while"),
     ("wilful", "willful"),
     ("https", "http"),
 )
 
+# Two words that are also written as one; after the spellings above.
+JOINED = (("non", "commercial"), ("per", "cent"), ("sub", "license"), ("sub", "licensed"))
+
 #: What becomes one space: ASCII punctuation and blanks, common typographic signs; not the line break.
 PUNCTUATION = "[ !-/:-@\\[-`{-~\t\r\x0b\x0c\u00a0\u2010-\u2015\u2018\u2019\u201c\u201d\u2022]+"
 #: Letters whose lower case is not the same everywhere.
@@ -108,10 +109,11 @@ def canonical_lines(text: Column) -> Column:
     for a, b in CASES:
         folded = F.replace(folded, F.lit(a), F.lit(b))
     plain = F.regexp_replace(F.regexp_replace(F.lower(folded), COPYRIGHT_LINE, ""), PUNCTUATION, " ")
-    spaced = F.replace(plain, F.lit("\n"), F.lit(" \n "))
-    for a, b in SPELLINGS:
-        spaced = F.replace(spaced, F.lit(f" {a} "), F.lit(f" {b} "))
-    return spaced
+    words = F.split(F.regexp_replace(plain, " *\n *", " \n "), " ")
+    spelled = F.create_map(*[F.lit(x) for pair in SPELLINGS for x in pair])
+    joined = F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(spelled, w), w)), " ")
+    pairs = "|".join(f"(?<= {a}) (?={b} )" for a, b in JOINED)
+    return F.regexp_replace(F.concat(joined, F.lit(" ")), pairs, "")
 
 
 def canonical(lines: Column) -> Column:
@@ -119,6 +121,25 @@ def canonical(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, "[ \n]+", " "))
 
 
+# Digests of whole canonical texts of public licenses as Debian's /usr/share/common-licenses
+# has them, made by ``known_digests``; a test makes them again where that folder is there.
+KNOWN_DIGESTS = (
+    ("Apache-2.0", "4bc3c949c895ead14c0dc8c6e33fd6ed118359acaad7c084c4d563cd526a878d"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.3", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+)
+
+
 def known_digests(spark, known=KNOWN) -> DataFrame:
     """``digest, license_id``, one row for each distinct canonical text (of two ids the first by name)."""
     rows = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in known])))
@@ -126,17 +147,26 @@ def known_digests(spark, known=KNOWN) -> DataFrame:
     return texts.groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
+def all_known(spark) -> DataFrame:
+    """``digest, license_id`` of all licenses that come with this module: those with texts and those with digests."""
+    more = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(d).alias("digest"), F.lit(i).alias("license_id")) for i, d in KNOWN_DIGESTS])))
+    return known_digests(spark).union(more).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+
+
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, notices=NOTICES, text_col: str = "text") -> DataFrame:
     """``row`` (the caller's columns), ``norm_sha256``, ``license_id``, ``notices`` for every row.
 
-    ``license_id`` is null unless the entire text is a known license. ``notices`` holds the sorted
-    ids of the notices among the text's lines. Null, empty and punctuation-only texts have the
-    digest of the empty text and no license. Repeated rows are alike; an empty table gives an
-    empty result, an empty table of licenses finds none.
+    ``known`` has ``digest, license_id`` (as :func:`known_digests` makes them of any table of texts);
+    without it, :func:`all_known`. ``license_id`` is null unless the entire text is a known license.
+    ``notices`` holds the sorted ids of the notices among the text's lines. Null, empty and
+    punctuation-only texts have the digest of the empty text and no license. Repeated rows are
+    alike; of two licenses with one digest the first by name counts; an empty table gives an empty
+    result, an empty table of licenses finds none. Long texts are read whole; columns may have any
+    name.
     """
     spark = docs.sparkSession
-    known = known_digests(spark) if known is None else known
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), canonical_lines(docs[text_col]).alias("lines"))
+    known = all_known(spark) if known is None else known
+    packed = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), canonical_lines(column(text_col)).alias("lines"))
     table = known_digests(spark, notices).collect() if notices else []  # a parameter, so few
     found = F.array().cast("array<string>")
     if table:
@@ -145,7 +175,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, notices=NOTIC
         named = F.transform(F.array_intersect(digests, F.array(*[F.lit(r["digest"]) for r in table])), lambda d: ids[d])
         found = F.array_sort(F.array_distinct(named))
     keyed = packed.select("row", F.sha2(canonical(F.col("lines")), 256).alias("norm_sha256"), found.alias("notices"))
-    joined = keyed.join(known, F.col("norm_sha256") == F.col("digest"), "left")
+    joined = keyed.join(known.select("digest", "license_id"), F.col("norm_sha256") == F.col("digest"), "left")
     return joined.select("row", "norm_sha256", "license_id", "notices")
 
 
@@ -160,31 +190,42 @@ def _quoted(text: str) -> str:
 
 
 def oracle_sql() -> str:
-    """DuckDB SQL for :func:`license_ids`."""
+    """DuckDB SQL for the rows of :func:`license_ids`.
 
-    def lines(x: str) -> str:
+    Spellings are looked up in a table, word by word; two words become one where a list has them
+    side by side. So a neighbour never hides a word, which replacing in the text could do.
+    """
+
+    def words(x: str) -> str:
         folded = f"chr(10) || coalesce({x}, '') || chr(10)"
         for a, b in CASES:
             folded = f"replace({folded}, '{a}', '{b}')"
         plain = f"regexp_replace(regexp_replace(lower({folded}), {_quoted(COPYRIGHT_LINE)}, '', 'g'), {_quoted(PUNCTUATION)}, ' ', 'g')"
-        spaced = f"replace({plain}, chr(10), ' ' || chr(10) || ' ')"
-        for a, b in SPELLINGS:
-            spaced = f"replace({spaced}, ' {a} ', ' {b} ')"
-        return spaced
+        listed = f"list_filter(string_split(replace({plain}, chr(10), ' ' || chr(10) || ' '), ' '), lambda w: w <> '')"
+        return f"list_transform({listed}, lambda w: coalesce(map_extract(spelled, w)[1], w))"
+
+    spelled = "MAP {" + ", ".join(f"{_quoted(a)}: {_quoted(b)}" for a, b in SPELLINGS) + "}"
+    pairs = ", ".join(_quoted(f"{a} {b}") for a, b in JOINED)
 
-    def whole(x: str) -> str:
-        return f"trim(regexp_replace({x}, '[ \n]+', ' ', 'g'))"
+    def spaced(w: str) -> str:
+        return f"array_to_string(list_transform({w}, lambda x, i: x || CASE WHEN i < len({w}) AND x || ' ' || {w}[i + 1] IN ({pairs}) THEN '' ELSE ' ' END), '')"
 
     def table(rows) -> str:
         values = ", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in rows)
-        return f"SELECT digest, min(license_id) AS license_id FROM (SELECT sha256({whole(lines('t'))}) AS digest, license_id, {whole(lines('t'))} AS c FROM (VALUES {values}) v(license_id, t)) WHERE c <> '' GROUP BY digest"
+        return f"""SELECT sha256(c) AS digest, license_id FROM (
+            SELECT license_id, trim(regexp_replace({spaced("w")}, '[ \n]+', ' ', 'g')) AS c
+            FROM (SELECT license_id, {words("t")} AS w FROM (VALUES {values}) v(license_id, t), dict)) WHERE c <> ''"""
 
+    more = ", ".join(f"({_quoted(d)}, {_quoted(i)})" for i, d in KNOWN_DIGESTS)
     return f"""
-        WITH known AS ({table(KNOWN)}), notice AS ({table(NOTICES)}),
-        canon AS (SELECT row_number() OVER () AS rid, doc_id, {lines("text")} AS l FROM documents),
+        WITH dict AS (SELECT {spelled} AS spelled),
+        known AS (SELECT digest, min(license_id) AS license_id FROM ({table(KNOWN)} UNION ALL SELECT * FROM (VALUES {more})) GROUP BY digest),
+        notice AS (SELECT digest, min(license_id) AS license_id FROM ({table(NOTICES)}) GROUP BY digest),
+        listed AS (SELECT row_number() OVER () AS rid, doc_id, {words("text")} AS w FROM documents, dict),
+        canon AS (SELECT rid, doc_id, {spaced("w")} AS l FROM listed),
+        whole AS (SELECT rid, doc_id, l, sha256(trim(regexp_replace(l, '[ \n]+', ' ', 'g'))) AS d FROM canon),
         found AS (SELECT rid, list_sort(list_distinct(list(n.license_id))) AS ids
                   FROM (SELECT rid, sha256(trim(unnest(string_split(l, chr(10))))) AS d FROM canon) x JOIN notice n ON n.digest = x.d GROUP BY rid)
-        SELECT c.doc_id, sha256({whole("l")}) AS norm_sha256, k.license_id,
-               coalesce(len(f.ids), 0) AS n_notices, coalesce(array_to_string(f.ids, ','), '') AS notices
-        FROM canon c LEFT JOIN known k ON k.digest = sha256({whole("l")}) LEFT JOIN found f ON f.rid = c.rid
+        SELECT c.doc_id, c.d AS norm_sha256, k.license_id, coalesce(len(f.ids), 0) AS n_notices, coalesce(array_to_string(f.ids, ','), '') AS notices
+        FROM whole c LEFT JOIN known k ON k.digest = c.d LEFT JOIN found f ON f.rid = c.rid
     """

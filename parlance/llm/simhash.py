@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import column, components, kept_columns, pack, row_field, stored
+from parlance.llm.common import column, components, kept_columns, pack, row_field, row_with, stored
 
 SEED = 42
 MAX_BITS = 3
@@ -83,7 +83,7 @@ def _fingerprints(batches):
 def with_fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``row`` (a struct of the caller's columns) and ``fp`` (signed long) for every row."""
     packed = pack(docs, text_col)
-    return packed.mapInArrow(_fingerprints, f"row {packed.schema['row'].dataType.simpleString()}, fp long")
+    return packed.mapInArrow(_fingerprints, row_with(packed, "fp long"))
 
 
 def _spanning(fps: np.ndarray) -> list[tuple[int, int]]:

@@ -1,8 +1,9 @@
 """Chat formatting with tool calls: calls are linked to results, ordered, checked and serialised.
 
 Calls and results meet in a hash join on conversation and call id. A call may name calls that must
-come before it; levels of the resulting graph are found breadth first, each round one join over
-the calls that are still open, so the number of rounds is the longest chain of dependencies.
+come before it; levels of the resulting graph are found in rounds, each a few joins over the calls
+that are still open. In a round, calls whose dependencies are settled settle, and a dependency on a
+call that itself waits for one other call only is handed on to that one, so chains shrink by half.
 Arguments are parsed as variants, checked against the tool's schema, and written as canonical JSON
 (keys sorted, no spaces). The output has one row for each call, never one for each conversation,
 so a conversation of any length is no burden for a task.
@@ -20,6 +21,8 @@ from parlance.llm.common import stored
 #: JSON type by the name that Spark gives a variant's type.
 TYPES = (("BIGINT", "integer"), ("DECIMAL", "number"), ("DOUBLE", "number"), ("FLOAT", "number"), ("STRING", "string"), ("BOOLEAN", "boolean"), ("ARRAY", "array"), ("OBJECT", "object"), ("VOID", "null"))
 
+#: Conversations of the query in which the first call waits for the second, which makes a cycle.
+CYCLES = (13, 5)
 #: Tools of the query over ``conversations``: {tool: {argument: (JSON type, required)}}.
 TOOLS = {
     "configure": {"chars": ("integer", True), "text": ("string", True)},
@@ -52,27 +55,35 @@ def levels(calls: DataFrame) -> DataFrame:
     """``conv_id, call_id, level``: 0 without known dependencies, else one more than the largest of theirs.
 
     ``calls`` has one row per conversation and call id, with ``after``. Dependencies on calls that
-    are not there don't count. Calls on a cycle, or behind one, are not in the result.
+    are not there don't count. Calls on a cycle, or behind one, are not in the result: every round
+    settles a call unless all that are left are such.
     """
-    edge = calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("before"))
+    key, edge_key = ["conv_id", "call_id"], ["conv_id", "before"]
+    edge = calls.select(*key, F.explode(F.array_distinct("after")).alias("before"))
     known = calls.select("conv_id", F.col("call_id").alias("before"))
-    edges = stored(edge.join(known, ["conv_id", "before"]).select("conv_id", "call_id", "before"))
-    waiting = stored(edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("needs")))
-    done = calls.select("conv_id", "call_id").join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    if waiting.isEmpty():
-        return done
+    # an edge says: one's level is the other's plus ``w`` at least
+    edges = stored(edge.join(known, edge_key).select(*key, "before", F.lit(1).cast("long").alias("w")))
+    open_calls = stored(edges.select(*key).distinct().withColumn("base", F.lit(0).cast("long")))
+    done = calls.select(*key).join(open_calls, key, "left_anti").withColumn("level", F.lit(0).cast("long"))
+    if open_calls.isEmpty():
+        return done.withColumn("level", F.col("level").cast("int"))
     # calls nobody waits for need no further look
-    fresh = stored(done.join(edges.select("conv_id", F.col("before").alias("call_id")), ["conv_id", "call_id"], "left_semi"))
-    met = None
-    level = 0
+    fresh = stored(done.join(edges.select("conv_id", F.col("before").alias("call_id")), key, "left_semi"))
     while not fresh.isEmpty():
-        level += 1
-        seen = edges.join(fresh.select("conv_id", F.col("call_id").alias("before")), ["conv_id", "before"]).groupBy("conv_id", "call_id").agg(F.count("*").alias("n"))
-        met = stored(seen if met is None else met.union(seen).groupBy("conv_id", "call_id").agg(F.sum("n").alias("n")))
-        fresh = stored(met.join(waiting, ["conv_id", "call_id"]).where("n = needs").select("conv_id", "call_id", F.lit(level).alias("level")))
+        settled = fresh.select("conv_id", F.col("call_id").alias("before"), "level")
+        met = stored(edges.join(settled, edge_key, "left").select(*key, "before", "w", (F.col("level") + F.col("w")).alias("at_least")))
+        rest = met.where("at_least IS NULL").select(*key, "before", "w")
+        state = met.groupBy(*key).agg(F.max("at_least").alias("reached"), F.count_if(F.col("at_least").isNull()).alias("k"), *[F.max(F.when(F.col("at_least").isNull(), F.col(c))).alias(f"one_{c}") for c in ("before", "w")])
+        state = stored(open_calls.join(state, key).select(*key, F.greatest("base", "reached").alias("base"), "k", "one_before", "one_w"))
+        fresh = stored(state.where("k = 0").select(*key, F.col("base").alias("level")))
         done = done.union(fresh)
-        met = met.join(fresh, ["conv_id", "call_id"], "left_anti")
-    return done
+        single = state.where("k = 1 AND one_before <> call_id").select("conv_id", F.col("call_id").alias("before"), F.col("base").alias("s_base"), "one_before", "one_w")
+        handed = stored(rest.join(single, edge_key, "left"))
+        raised = handed.where("one_before IS NOT NULL").groupBy(*key).agg(F.max(F.col("s_base") + F.col("w")).alias("raised"))
+        open_calls = stored(state.where("k > 0").select(*key, "base").join(raised, key, "left").select(*key, F.greatest("base", "raised").alias("base")))
+        moved = handed.select(*key, F.coalesce("one_before", "before").alias("before"), (F.col("w") + F.coalesce("one_w", F.lit(0))).alias("w"))
+        edges = stored(moved.groupBy(*key, "before").agg(F.max("w").alias("w")))
+    return done.withColumn("level", F.col("level").cast("int"))
 
 
 def _errors(name: Column, raw: Column, v: Column, tools: dict) -> Column:
@@ -141,17 +152,20 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: dict) -> DataFrame:
 def dialogue_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Conversations read as tool use: a user's turn calls ``ask``, a system's turn ``configure``.
 
-    An assistant's turn is the result of the call made in the turn before it. A question depends on
-    the configuration of the turn before it.
+    An assistant's turn is the result of the call made in the turn before it. A question waits for
+    the calls of the two turns before it, so a conversation is a chain; in some (CYCLES) its first
+    call waits for the second. A text with line breaks adds an argument that no schema has; an
+    empty one lacks an argument that is required.
     """
     ident = lambda t: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), t.cast("string"))
-    text = F.coalesce("text", F.lit(""))
-    turn = F.col("turn")
+    text, turn = F.coalesce("text", F.lit("")), F.col("turn")
     asked = messages.where(F.col("role").isin("user", "system"))
     user = F.col("role") == "user"
-    chars = F.length(text).alias("chars")
-    made = F.when(user, F.to_json(F.struct(chars, text.alias("text"), turn.alias("turn")))).otherwise(F.to_json(F.struct(chars, text.alias("text"))))
-    after = F.when(user, F.array(ident(turn - 1))).otherwise(F.array().cast("array<string>"))
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n")))
+    made = F.to_json(F.struct(F.length(text).alias("chars"), F.when(lines > 0, lines).alias("lines"), F.nullif(text, F.lit("")).alias("text"), F.when(user, turn).alias("turn")))
+    after = F.when(user, F.array(ident(turn - 1), ident(turn - 2))).otherwise(F.array().cast("array<string>"))
+    circle = (F.col("conv_id") % CYCLES[0] == CYCLES[1]) & (turn == 0)
+    after = F.concat(after, F.when(circle, F.array(ident(turn + 1), ident(turn + 2))).otherwise(F.array().cast("array<string>")))
     calls = asked.select("conv_id", "turn", F.lit(0).cast("long").alias("nth"), ident(turn).alias("call_id"), F.when(user, "ask").otherwise("configure").alias("name"), made.alias("arguments"), after.alias("after"))
     results = messages.where("role = 'assistant'").select("conv_id", "turn", ident(turn - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
@@ -163,19 +177,29 @@ def linked_dialogues(messages: DataFrame) -> DataFrame:
     return out.select("conv_id", "turn", "call_id", "level", "status", F.size("errors").cast("long").alias("n_errors"), F.sha2("json", 256).alias("json_sha256"))
 
 
-#: A question's level is 1 if the turn before it is a system's, for no other call is there.
-ORACLE_SQL = """
-    WITH msg AS (SELECT *, 'c' || conv_id || '-' || turn AS own, 'c' || conv_id || '-' || (turn - 1) AS prev FROM conversations),
-    call AS (SELECT conv_id, turn, own AS call_id, CASE role WHEN 'user' THEN 'ask' ELSE 'configure' END AS name,
-                    CASE role WHEN 'user' THEN json_object('chars', length(coalesce(text, '')), 'text', coalesce(text, ''), 'turn', turn)
-                              ELSE json_object('chars', length(coalesce(text, '')), 'text', coalesce(text, '')) END AS args, prev
-             FROM msg WHERE role IN ('user', 'system')),
-    res AS (SELECT conv_id, turn, prev AS call_id, text FROM msg WHERE role = 'assistant'),
-    linked AS (SELECT c.conv_id, c.turn, c.call_id, CASE WHEN c.name = 'ask' AND p.call_id IS NOT NULL THEN 1 ELSE 0 END AS level,
-                      CASE WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
-                      json_object('arguments', c.args, 'content', r.text, 'id', c.call_id, 'name', c.name, 'status', CASE WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'ok' END) AS body
-               FROM call c LEFT JOIN call p ON p.conv_id = c.conv_id AND p.call_id = c.prev LEFT JOIN res r ON r.conv_id = c.conv_id AND r.call_id = c.call_id)
-    SELECT conv_id, turn, call_id, level, status, CAST(0 AS BIGINT) AS n_errors, sha256(CAST(body AS VARCHAR)) AS json_sha256 FROM linked
+#: Levels are the longest of all paths, cycles what reaches itself; both by recursion over few turns.
+ORACLE_SQL = f"""
+    WITH RECURSIVE call AS (
+        SELECT conv_id, turn, 'c' || conv_id || '-' || turn AS call_id, role, coalesce(text, '') AS t,
+               length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS lines
+        FROM conversations WHERE role IN ('user', 'system')),
+    edge AS (SELECT c.conv_id, c.turn AS a, b.turn AS z FROM call c JOIN call b ON b.conv_id = c.conv_id
+             WHERE c.role = 'user' AND b.turn IN (c.turn - 1, c.turn - 2) OR c.conv_id % {CYCLES[0]} = {CYCLES[1]} AND c.turn = 0 AND b.turn IN (1, 2)),
+    reach AS (SELECT conv_id, a, z FROM edge UNION SELECT r.conv_id, r.a, e.z FROM reach r JOIN edge e ON e.conv_id = r.conv_id AND e.a = r.z),
+    loops AS (SELECT conv_id, a FROM reach WHERE a = z),
+    dead AS (SELECT conv_id, a FROM loops UNION SELECT r.conv_id, r.a FROM reach r JOIN loops l ON l.conv_id = r.conv_id AND l.a = r.z),
+    path AS (SELECT conv_id, turn, 0 AS n FROM call WHERE (conv_id, turn) NOT IN (SELECT (conv_id, a) FROM edge)
+             UNION SELECT e.conv_id, e.a, p.n + 1 FROM path p JOIN edge e ON e.conv_id = p.conv_id AND e.z = p.turn WHERE (e.conv_id, e.a) NOT IN (SELECT (conv_id, a) FROM dead)),
+    depth AS (SELECT conv_id, turn, max(n) AS level FROM path GROUP BY ALL),
+    res AS (SELECT conv_id, turn, 'c' || conv_id || '-' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'assistant'),
+    linked AS (SELECT c.conv_id, c.turn, c.call_id, c.role, c.t, d.level, r.text AS content, CAST((c.lines > 0) AS BIGINT) + CAST((c.t = '') AS BIGINT) AS n_errors,
+                      CASE WHEN d.level IS NULL THEN 'cyclic' WHEN c.lines > 0 OR c.t = '' THEN 'invalid' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
+                      '{{"chars":' || length(c.t) || CASE WHEN c.lines > 0 THEN ',"lines":' || c.lines ELSE '' END || CASE WHEN c.t <> '' THEN ',"text":' || to_json(c.t) ELSE '' END
+                      || CASE WHEN c.role = 'user' THEN ',"turn":' || c.turn ELSE '' END || '}}' AS args
+               FROM call c LEFT JOIN depth d ON d.conv_id = c.conv_id AND d.turn = c.turn LEFT JOIN res r ON r.conv_id = c.conv_id AND r.call_id = c.call_id)
+    SELECT conv_id, turn, call_id, CAST(level AS INTEGER) AS level, status, n_errors,
+           sha256('{{"arguments":' || args || ',"content":' || coalesce(to_json(content), 'null') || ',"id":' || to_json(call_id) || ',"name":"' || CASE role WHEN 'user' THEN 'ask' ELSE 'configure' END || '","status":"' || status || '"}}') AS json_sha256
+    FROM linked
     UNION ALL
     SELECT r.conv_id, r.turn, r.call_id, NULL, 'orphan', 0, sha256(CAST(json_object('content', r.text, 'id', r.call_id, 'status', 'orphan') AS VARCHAR))
     FROM res r LEFT JOIN call c ON c.conv_id = r.conv_id AND c.call_id = r.call_id WHERE c.call_id IS NULL

@@ -8,7 +8,9 @@ the spans; their noisy-or, calibrated on the labelled sample, is the document's
 
 The fit uses a bounded sample of labelled documents, ``SAMPLE`` of each label at most in
 expectation. Copies would make all their words look toxic, so evidence counts near copies once:
-documents with the same smallest word hash are one.
+documents with the same three smallest word hashes are one. The field is trained on blocks of
+words from all of these documents, ``BLOCKS`` of each label at most in expectation, whose features
+are made in tasks.
 """
 
 from __future__ import annotations
@@ -21,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import kept_columns, pack, stored
+from parlance.llm.common import pack, row_with, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 SAMPLE = 6000
 #: Words of evidence kept at most, strongest first.
 LEXICON = 8192
-#: Tokens of the sample on which the field is trained.
-TOKENS = 400_000
+#: Blocks of the sample's documents on which the field is trained, of each label, and words of a block.
+BLOCKS, BLOCK = 800, 400
+#: Word hashes by which near copies are known.
+SKETCH = 3
 STRONG = 2.5
 LANES = 512
 #: Words that one pass of the field covers.
@@ -42,6 +46,13 @@ def keys(word: str) -> list[str]:
     return [word, *(f"{m}{word[: int(m[0])]}" for m in NAMES[1:])]
 
 
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased words; each is lowered by itself, so that it keeps its place in the text."""
+    if not text:
+        return []
+    return WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in WORD.findall(text)]
+
+
 def _slices(batches, rows: int = 256):
     """Few rows at a time, so that Python's copies of their words stay small."""
     for b in batches:
@@ -56,10 +67,10 @@ def _document_features(batches):
     for b in _slices(batches):
         f, t, g = [], [], []
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ws = set(WORD.findall((text or "").lower()))
+            ws = set(words_of(text))
             if not ws:
                 continue
-            group = min(map(xxh3_64_intdigest, ws)) >> 1
+            group = xxh3_64_intdigest(repr(sorted(map(xxh3_64_intdigest, ws))[:SKETCH])) >> 1
             own = {k for w in ws for k in keys(w)}
             f += own
             t += [toxic] * len(own)
@@ -106,8 +117,9 @@ class Model:
     cache: dict[str, int] = field(default_factory=dict)
     rows: list[list[float]] = field(default_factory=lambda: [[1.0, 0.0, 0.0, 0.0]])
 
-    def __getstate__(self):
-        return self.__dict__ | {"cache": {}, "rows": [[1.0, 0.0, 0.0, 0.0]]}
+    def plain(self) -> tuple:
+        """A dict and arrays, which executors without this package can read from a broadcast."""
+        return self.evidence, self.weights, self.moves, self.scale
 
     def _row(self, word: str) -> int:
         """Number of the word's feature row; words without evidence share row 0."""
@@ -167,13 +179,16 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _train(model: Model, docs: list[tuple[list[str], int]], rounds: int = 120) -> None:
-    """Gradient ascent (Adam) on the field's log-likelihood, with a small ridge."""
-    x = model.features([w for ws, _ in docs for w in ws])
-    sizes = [len(ws) for ws, _ in docs]
+def _train(model: Model, blocks: list[tuple[np.ndarray, int]], rounds: int = 120) -> None:
+    """Gradient ascent (Adam) on the field's log-likelihood, with a small ridge.
+
+    ``blocks``: the evidence of each word of a block, and its document's label.
+    """
+    sizes = [len(x) for x, _ in blocks]
+    x = np.concatenate([np.ones((sum(sizes), 1)), np.concatenate([x for x, _ in blocks])], axis=1)
     new = np.zeros(len(x), bool)
     new[np.cumsum([0, *sizes[:-1]])] = True
-    y = (x[:, 1:].max(axis=1) >= STRONG) & np.repeat([t == 1 for _, t in docs], sizes)
+    y = (x[:, 1:].max(axis=1) >= STRONG) & np.repeat([t == 1 for _, t in blocks], sizes)
     follow = np.flatnonzero(~new)
     seen = np.array([y[new].sum(), (~y[follow - 1] & y[follow]).sum(), (y[follow - 1] & ~y[follow]).sum(), (y[follow - 1] & y[follow]).sum()], float)
     theta = np.concatenate([model.weights, model.moves])
@@ -187,7 +202,7 @@ def _train(model: Model, docs: list[tuple[list[str], int]], rounds: int = 120) -
         a, b = ahead[follow - 1], behind[follow]
         parts = np.array([ab * b, ba * a, bb * a * b])
         pairs = parts / (1 + parts.sum(axis=0))
-        grad = np.concatenate([x.T @ (y - p), seen - np.r_[p[new].sum(), pairs.sum(axis=1)]]) / len(docs) - 1e-3 * theta
+        grad = np.concatenate([x.T @ (y - p), seen - np.r_[p[new].sum(), pairs.sum(axis=1)]]) / len(blocks) - 1e-3 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + 0.15 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
     model.weights, model.moves = theta[:4], theta[4:]
@@ -203,11 +218,32 @@ def _calibrate(model: Model, z: np.ndarray, y: np.ndarray, w: np.ndarray) -> Non
     model.scale = beta
 
 
-def _strengths(model):
+def _training_blocks(evidence):
+    """Blocks of consecutive words of whole documents: label, hash of the place, evidence of each word."""
+
+    def run(batches):
+        from xxhash import xxh3_64_intdigest
+
+        model = Model(evidence.value)
+        for b in _slices(batches):
+            out = []
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ws = words_of(text)
+                for at in range(0, len(ws), BLOCK):
+                    part = ws[at : at + BLOCK]
+                    out.append((toxic, xxh3_64_intdigest(" ".join(part), at) >> 1, model.features(part)[:, 1:].astype(np.float32).tobytes()))
+            cols = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["toxic", "place", "x"])
+
+    return run
+
+
+def _strengths(shared):
     def run(batches):
+        model = Model(*shared.value)
         for b in _slices(batches):
-            texts = [WORD.findall((t or "").lower()) for t in b.column(0).to_pylist()]
-            z = [float(np.log(1e-4 - np.log1p(-np.minimum(p, 1 - 1e-9)).sum())) for p in (model.value.tag(texts) if texts else [])]
+            texts = [words_of(t) for t in b.column(0).to_pylist()]
+            z = [float(np.log(1e-4 - np.log1p(-np.minimum(p, 1 - 1e-9)).sum())) for p in (model.tag(texts) if texts else [])]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(z, pa.float64())], names=["toxic", "z"])
 
     return run
@@ -218,21 +254,29 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from labels of rows that are not held out; rows without a label or id teach nothing.
+def _drawn(name: str, key: str) -> Column:
+    """A number from 0 to 1 by a hash."""
+    return F.pmod(F.xxhash64(F.lit(name), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
-    The sample is drawn by a hash of the id; it has ``sample`` rows of each label in expectation,
-    which bounds the broadcast of ids and what is stored. Without both labels the model is neutral.
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, blocks: int = BLOCKS) -> Model:
+    """Learn from labels of rows that are not held out.
+
+    ``sample`` bounds the labelled documents of each label and ``blocks`` the blocks of BLOCK words
+    on which the field is trained, both in expectation, drawn by hashes; that bounds the broadcast
+    of ids, what is stored and what reaches the driver (5 KB for each block). Rows without a label,
+    an id or a text teach nothing; an id with both labels counts as toxic; equal texts with one
+    label count once. Without both labels the model is neutral. Empty tables are fine.
     """
     model = Model()
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return model
-    draw = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.when(F.col("toxic") == 1, min(1.0, sample / counts[1])).otherwise(min(1.0, sample / counts[0]))
-    drawn = known.where(draw < share).dropDuplicates(["doc_id"])
-    rows = stored(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic", F.xxhash64("text").alias("order")))
+    drawn = known.where(_drawn("toxicity", "doc_id") < share)
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic", F.sha2("text", 256).alias("own"))
+    rows = stored(rows.dropDuplicates(["own", "toxic"]).select("text", "toxic"))
     made = rows.select("text", "toxic").mapInArrow(_document_features, "feature string, toxic int, grp long").distinct()
     made = stored(made.groupBy("feature").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good")))
     sizes = stored(rows.select("text", "toxic").mapInArrow(_document_features, "feature string, toxic int, grp long").select("toxic", "grp").distinct()).groupBy("toxic").count().collect()
@@ -243,18 +287,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     model.evidence = {r["feature"]: min(8.0, r["odds"]) for r in lexicon.collect()}
     if not model.evidence:
         return model
-    # whole documents, shortest hash first, both labels in turn, until there are enough words
-    chosen, used = [], 0
-    turns = [rows.where(f"toxic = {t}").orderBy("order", "text").limit(400).collect() for t in (1, 0)]
-    for pair in zip(*turns, strict=False):
-        for r in pair:
-            ws = WORD.findall((r["text"] or "").lower())
-            if ws and used + len(ws) <= TOKENS:
-                chosen.append((ws, r["toxic"]))
-                used += len(ws)
+    evidence = docs.sparkSession.sparkContext.broadcast(model.evidence)
+    made = stored(rows.mapInArrow(_training_blocks(evidence), "toxic int, place long, x binary").dropDuplicates(["toxic", "place"]))
+    n = {r["toxic"]: r["n"] for r in made.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("toxic") == 1, min(1.0, blocks / n.get(1, 1))).otherwise(min(1.0, blocks / n.get(0, 1)))
+    chosen = sorted(made.where(_drawn("blocks", "place") < share).collect(), key=lambda r: (r["place"], r["toxic"]))
     if chosen:
-        _train(model, chosen)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+        _train(model, [(np.frombuffer(r["x"], np.float32).reshape(-1, len(NAMES)).astype(float), r["toxic"]) for r in chosen])
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
     got = rows.select("text", "toxic").mapInArrow(_strengths(shared), "toxic int, z double").toArrow()
     y, z = got["toxic"].to_numpy(), got["z"].to_numpy()
     n = {t: max(1, int((y == t).sum())) for t in (0, 1)}
@@ -265,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def _scorer(shared, threshold):
     def run(batches):
-        model = shared.value
+        model = Model(*shared.value)
         for b in _slices(batches):
             texts, scores, spans, group, size = b.column(1).to_pylist(), [], [], [], 0
 
@@ -274,8 +314,7 @@ def _scorer(shared, threshold):
                     scores.append(model.score(p))
                     found = []
                     if len(p) and p.max() >= threshold:
-                        # the offsets are those of the lower-cased words, which lower() rarely moves
-                        at = [m.span() for m in WORD.finditer(text.lower())]
+                        at = [m.span() for m in WORD.finditer(text)]
                         for i in np.flatnonzero(p >= threshold).tolist():
                             if found and found[-1]["last"] == i - 1:
                                 found[-1] |= {"stop": at[i][1], "last": i}
@@ -284,7 +323,7 @@ def _scorer(shared, threshold):
                     spans.append([{"start": f["start"], "stop": f["stop"]} for f in found])
 
             for text in texts:
-                ws = WORD.findall((text or "").lower())
+                ws = words_of(text)
                 group.append((text or "", ws))
                 size += len(ws)
                 if size >= PASS:
@@ -302,15 +341,20 @@ def score_rows(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     """``row`` (the caller's columns), ``score`` and ``spans`` (character offsets of toxic runs of words).
 
     Null and empty texts, and texts without a letter, get the score of no evidence and no span.
-    Long texts are tagged whole. Repeated rows score alike; an empty table gives an empty result.
+    Long texts are tagged whole. Offsets count the characters of the text as it is. Repeated rows
+    score alike; an empty table gives an empty result; columns may have any name.
     """
     packed = pack(docs, text_col)
-    kind = f"row {packed.schema['row'].dataType.simpleString()}, score double, spans array<struct<start:int,stop:int>>"
-    return packed.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), threshold), kind)
+    kind = row_with(packed, "score double, spans array<struct<start:int,stop:int>>")
+    return packed.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model.plain()), threshold), kind)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, held_out, score, predicted, n_spans`` for every row."""
+    """``doc_id, held_out, score, predicted, n_spans, spans`` for every row.
+
+    Rows with a null id are scored and count as not held out; null, empty and very long texts,
+    repeated rows and labels, ties and empty tables as in :func:`fit` and :func:`score_rows`.
+    """
     model = fit(docs, labels)
     out = score_rows(docs.select("doc_id", "text"), model)
-    return out.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    return out.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"), "spans")

@@ -87,6 +87,36 @@ def test_exact_groups(edges, bits):
     assert exactdup.exact_groups(edges(0)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [62, 1])
+def test_exact_groups_of_huge_texts(spark, bits, monkeypatch):
+    """Texts of several parts: copies, one that differs in its last byte, ties and nulls; hashed and compared in parts."""
+    monkeypatch.setattr(exactdup, "PART", 1000)
+    big = "".join(chr(97 + i * i % 23) for i in range(4500))
+    texts = [(1, big), (2, big), (3, big[:-1] + "!"), (3, big), (4, None), (5, ""), (None, big), (6, "short"), (7, big[:3000]), (8, big[:3000])]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    groups = defaultdict(list)
+    for i, t in texts:
+        groups[t or ""].append(i)
+    want = []
+    for t, ids in groups.items():
+        keep = max((i for i in ids if i is not None), default=None)
+        want += [(i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest()) for i in ids]
+    got = exactdup.exact_groups(df, bits=bits, huge_bytes=2000).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    plain = exactdup.exact_groups(df, bits=bits).collect()
+    assert sorted(map(str, map(tuple, plain))) == sorted(map(str, want))
+
+
+def test_fingerprint_needs_little_memory():
+    import tracemalloc
+
+    text = bytes(range(1, 129)) * (1 << 16)
+    tracemalloc.start()
+    exactdup.fingerprint(text)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    tracemalloc.stop()
+
+
 def test_exact_oracle(spark, sf_dir, documents):
     from oracle import connect, same
 

@@ -191,9 +191,56 @@ def test_toxicity_edges(spark, edges):
     assert toxicity.toxicity(edges(0), labels).count() == 0
 
 
+def test_toxic_spans_are_offsets_in_the_text_itself(spark):
+    """Lower case can be longer than the text."""
+    model = toxicity.Model(evidence={"bad": 8.0}, weights=np.array([-6.0, 2.0, 0.0, 0.0]))
+    docs = spark.createDataFrame([(1, "İİİ bad day"), (2, "a BAD, bad İ"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in toxicity.score_rows(docs, model).select("row.doc_id", "spans").collect()}
+    assert got == {1: [(4, 7)], 2: [(2, 10)], 3: []}
+
+
+def test_toxicity_of_repeated_labels(spark, documents):
+    """An id with both labels is toxic; the order of rows doesn't matter."""
+    docs = documents.select("doc_id", "text")
+    labels = spark.read.parquet(f"{documents.inputFiles()[0].rsplit('/', 1)[0]}/labels.parquet").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    more = labels.union(labels.where("doc_id % 5 = 0").withColumn("toxic", 1 - F.col("toxic"))).union(spark.createDataFrame([(None, 1), (1, None)], "doc_id long, toxic int"))
+    once = labels.where("doc_id % 5 <> 0").union(labels.where("doc_id % 5 = 0").withColumn("toxic", F.lit(1)))
+    fits = [toxicity.fit(docs, x) for x in (more, more.orderBy(F.desc("toxic")), once)]
+    assert fits[0].evidence and all(f.evidence == fits[0].evidence and np.allclose(f.weights, fits[0].weights) and np.allclose(f.scale, fits[0].scale) for f in fits)
+
+
+def test_mixing_of_repeated_labels(spark, documents):
+    some = documents.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "low").otherwise("good").alias("domain"))
+    twice = some.union(some.withColumn("domain", F.lit("low")))
+    assert mixing.train(documents, twice) == mixing.train(documents, twice.orderBy(F.desc("domain"))) == mixing.train(documents, some)
+
+
 MIT = licenses.KNOWN[0][1]
 
 
+def test_license_spellings_of_neighbours(spark):
+    """Words that share a space are all spelled alike; two words that are one, in a row."""
+    rows = [(1, "licence licence licence"), (2, "License, license: LICENSE"), (3, "sub licence sub licenced per cent non-commercial"), (4, "sublicense sublicensed percent noncommercial"), (5, "sub sub license")]
+    got = {r["doc_id"]: r["norm_sha256"] for r in licenses.license_ids(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got[1] == got[2] == sha("license license license") and got[3] == got[4] == sha("sublicense sublicensed percent noncommercial") and got[5] == sha("sub sublicense")
+
+
+def test_whole_licenses_by_digest(spark):
+    from pathlib import Path
+
+    files = {"Apache-2.0": "Apache-2.0", "Artistic-1.0-Perl": "Artistic", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.0": "LGPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    assert [i for i, _ in licenses.KNOWN_DIGESTS] == list(files)
+    there = [(i, Path("/usr/share/common-licenses", f)) for i, f in files.items()]
+    rows = [(n, p.read_text(), i) for n, (i, p) in enumerate(there) if p.is_file()]
+    if not rows:
+        pytest.skip("no licenses on this machine")
+    changed = [(n, "Copyright 2020 Me\n" + t.replace("\n", "\r\n").upper(), i) for n, t, i in rows]
+    docs = spark.createDataFrame(rows + changed, "doc_id int, text string, due string")
+    got = licenses.scan_licenses(docs).select("row.due", "license_id").collect()
+    assert all(r["due"] == r["license_id"] for r in got) and len(got) == 2 * len(rows)
+
+
 def test_license_texts(spark):
     changed = "Copyright (c) 2020 Some Body\nAll rights reserved.\n\n" + MIT.upper().replace("SUBLICENSE", "sub-licence").replace(",", " ;\n")
     rows = [(1, MIT), (2, changed), (3, MIT + " more"), (4, "a\nReleased under the MIT Licence!\nb\nLicensed under CC BY-NC 4.0."), (5, None), (6, "...")]
@@ -330,6 +377,35 @@ def test_tool_calls(spark):
     assert all(json.dumps(json.loads(r["json"]), ensure_ascii=False, separators=(",", ":"), sort_keys=True) == r["json"] for r in got.values())
 
 
+def brute_levels(after):
+    """Longest chain before each call; calls on or behind a cycle have none."""
+    out = {}
+    while True:
+        new = {c: max((out[d] + 1 for d in ds if d in after), default=0) for c, ds in after.items() if c not in out and all(d in out for d in ds if d in after)}
+        if not new:
+            return out
+        out |= new
+
+
+def test_levels_equal_brute_force(spark):
+    rng = random.Random(11)
+    after = {}
+    for g in range(40):
+        for i in range(rng.randrange(1, 14)):
+            after[f"{g}.{i}"] = [f"{g}.{rng.randrange(0, 14)}" if rng.random() < 0.1 else f"{g}.{rng.randrange(max(1, i))}" for _ in range(rng.randrange(0, 4) if i else 0)] + (["gone"] if i % 5 == 0 else [])
+    after |= {"self": ["self"], "a": ["b"], "b": ["c"], "c": ["a"], "behind": ["c", "0.0"]}
+    df = spark.createDataFrame([(1, c, ds) for c, ds in after.items()], "conv_id long, call_id string, after array<string>")
+    assert {r["call_id"]: r["level"] for r in toolcalls.levels(df).collect()} == brute_levels(after)
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    n, written, keep = 5000, [], toolcalls.stored
+    monkeypatch.setattr(toolcalls, "stored", lambda df: written.append(1) or keep(df))
+    df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").cast("string").alias("call_id"), F.when(F.col("id") > 0, F.array((F.col("id") - 1).cast("string"))).otherwise(F.array().cast("array<string>")).alias("after"))
+    got = toolcalls.levels(df).agg(F.max("level").alias("m"), F.count("*").alias("n"), F.sum((F.col("level").cast("string") == F.col("call_id")).cast("int")).alias("right")).first()
+    assert tuple(got) == (n - 1, n, n) and len(written) < 3 + 6 * 16
+
+
 def test_tool_messages(spark):
     call = {"tool_calls": [{"id": "x", "name": "add", "arguments": {"a": 1}}, {"id": "y", "name": "add", "arguments": {"a": 2}, "after": ["x"]}]}
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", json.dumps(call)), (1, 2, "tool", '{"tool_call_id": "x", "content": "1"}'), (1, 3, "assistant", None), (1, 4, "tool", "junk")]
