@@ -115,6 +115,32 @@ def pseudonyms(people: DataFrame, target: Column) -> DataFrame:
     return ranked.select("person", F.concat(F.lit("person_"), F.when(F.col("_n") < 10, F.concat(F.lit("0"), F.col("_n").cast("string"))).otherwise(F.col("_n").cast("string"))).alias("pseudonym"))
 
 
+def selection_violations(audit: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rule`` for each identity that an audit's counts break, given the rows of each split."""
+    names = ["target_messages", "included", "excluded", *REASONS]
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_rows"))
+    bad = F.lit(False)
+    for n in names:
+        bad = bad | F.col(n).isNull() | (F.col(n) < 0)
+    reasons = sum((F.col(r) for r in REASONS), F.lit(0))
+    rules = [
+        F.when(bad, "a count is absent or negative"),
+        F.when(F.col("included") != F.col("_rows"), "counts differ from the splits"),
+        F.when(F.col("target_messages") != F.col("included") + F.col("excluded"), "included and excluded differ from all"),
+        F.when(F.col("excluded") != reasons, "excluded differs from the reasons"),
+    ]
+    return audit.crossJoin(F.broadcast(total)).select(F.explode(F.array_compact(F.array(*rules))).alias("rule"))
+
+
+def pseudonym_violations(names: DataFrame, target: Column) -> DataFrame:
+    """``person, rule`` for each pseudonym that is empty or not unique, and for one of the target."""
+    n, own = F.col("pseudonym"), F.col("person") == target.cast("string")
+    rules = [F.when(own, "target has a pseudonym"), F.when(n.isNull() | (n == ""), "no name")]
+    bad = names.select("person", F.explode(F.array_compact(F.array(*rules))).alias("rule"))
+    twice = names.where("pseudonym <> ''").groupBy("pseudonym").agg(F.count("*").alias("_k")).where("_k > 1")
+    return bad.union(names.join(twice, "pseudonym", "left_semi").select("person", F.lit("name is not unique").alias("rule")))
+
+
 def all_people(messages: DataFrame, *columns: str) -> DataFrame:
     """Distinct ids over several columns; arrays count with their elements."""
     out = None

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
-from parlance.functions.json import canonical_object, value
+from parlance.functions.json import array, canonical_object, value
 
 
 def turn_order_violations(turns: DataFrame) -> DataFrame:
@@ -40,6 +41,12 @@ def transcript_digest(turns: DataFrame) -> DataFrame:
     return grouped.select("chat", F.sha2(F.concat(F.lit("["), joined, F.lit("]")), 256).alias("digest"))
 
 
+def dirty(turns: DataFrame, saved: DataFrame) -> DataFrame:
+    """``chat, dirty``: whether the turns are no longer those of the digest that was saved (chat, digest), if any was."""
+    known = saved.select("chat", F.col("digest").alias("_saved"))
+    return transcript_digest(turns).join(known, "chat", "left").select("chat", (~F.col("digest").eqNullSafe(F.col("_saved"))).alias("dirty"))
+
+
 def retry(turns: DataFrame) -> DataFrame:
     """Each chat without its last turn, if that is an assistant's, and the attempt that follows."""
     last = turns.groupBy("chat").agg(F.max_by(F.struct("turn", "role"), "turn").alias("last"))
@@ -123,8 +130,21 @@ def flatten_fields(row: DataFrame) -> DataFrame:
     return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(p).cast("string").alias("value")) for n, p in pairs])))
 
 
+def normalized_policy(settings: Column, kind: StructType, without: tuple[str, ...] = ("specified",)) -> Column:
+    """Canonical JSON of one struct of settings: sorted names, nulls kept, the names in ``without`` left out."""
+
+    def shown(x: Column, t: DataType) -> Column:
+        if isinstance(t, StructType):
+            return canonical_object({f.name: shown(x[f.name], f.dataType) for f in t.fields})
+        if isinstance(t, ArrayType):
+            return F.coalesce(array(F.transform(x, lambda y: shown(y, t.elementType))), F.lit("null"))
+        return value(x, "string" if isinstance(t, StringType) else "number")
+
+    return canonical_object({f.name: shown(settings[f.name], f.dataType) for f in kind.fields if f.name not in without})
+
+
 def command_matches(typed: DataFrame, commands: list[str]) -> DataFrame:
-    """``typed, command`` for the commands that begin with what was typed."""
+    """The rows of ``typed`` with each ``command`` that begins with what was typed."""
     names = F.array(*[F.lit(c) for c in commands])
     usable = F.col("typed").startswith("/") & ~F.col("typed").rlike("(?U)\\s")
     return typed.where(usable).withColumn("command", F.explode(names)).where(F.col("command").startswith(F.col("typed")))

@@ -11,7 +11,7 @@ from parlance.operators import evaluation as ev
 from parlance.operators import panel as pn
 from parlance.plans.durable import fresh_path
 from parlance.queries import panel as panel_queries
-from parlance.queries.evaluation import predictions, rounded, scores
+from parlance.queries.evaluation import SCORES, predictions, rounded, scores
 from parlance.queries.registry import query, table
 
 
@@ -58,19 +58,21 @@ def sink_train_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_trip(spark, "copy", "train.jsonl", e, {"kind": "copy"})
 
 
-@query("SELECT 7 AS n, true AS same")
+@query(f"WITH {SCORES} SELECT CAST(run AS BIGINT) AS run, round(avg(nll / tokens), 6) AS macro_mean_nll, round(sum(nll) / sum(tokens), 6) AS corpus_mean_nll FROM s GROUP BY run")
 def sink_eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report of each run as an artifact."""
+    """The report of each run as an artifact, read back."""
     report = rounded(ev.likelihood(scores(spark, sf_dir), "run"), "macro_mean_nll", "corpus_mean_nll", "corpus_perplexity")
-    got = _round_trip(spark, "report", "metrics.jsonl", report.select(F.col("run").cast("long").alias("index"), F.to_json(F.struct("run", "macro_mean_nll")).alias("value")), {"kind": "report"})
-    return got.agg(F.count("*").cast("int").alias("n"), (F.count_distinct("index") == F.count("*")).alias("same"))
+    got = _round_trip(spark, "report", "metrics.jsonl", report.select(F.col("run").cast("long").alias("index"), F.to_json(F.struct(*report.columns)).alias("value")), {"kind": "report"})
+    r = got.select(F.from_json("value", "run long, macro_mean_nll double, corpus_mean_nll double", {"mode": "FAILFAST"}).alias("r"))
+    return r.select("r.*")
 
 
-@query()
+@query(f"WITH {panel_queries.J} SELECT dimension, {panel_queries.COUNTS.format('policy')}, {panel_queries.COUNTS.format('base')} FROM j GROUP BY dimension")
 def sink_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = pn.preference_summary(panel_queries.judgments(spark, sf_dir))
     place = F.array_position(F.array(*[F.lit(d) for d in pn.DIMENSIONS]), F.col("dimension"))
-    return _round_trip(spark, "panel", "summary.jsonl", summary.select(place.alias("index"), F.to_json(F.struct(*summary.columns)).alias("value")), {"kind": "panel"})
+    got = _round_trip(spark, "panel", "summary.jsonl", summary.select(place.alias("index"), F.to_json(F.struct(*summary.columns)).alias("value")), {"kind": "panel"})
+    return got.select(F.from_json("value", "dimension string, policy long, base long", {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 @query("SELECT conv_id * 1000 + turn AS index, sha256(text) AS digest FROM conversations")

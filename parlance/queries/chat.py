@@ -128,10 +128,15 @@ def registry_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 ONE_LINE = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, CASE WHEN length({ONE_LINE}) <= 48 THEN {ONE_LINE} ELSE rtrim(substr({ONE_LINE}, 1, 47)) || '…' END AS title FROM documents WHERE trim(text) <> ''")
+@query(
+    f"SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN CASE WHEN {ONE_LINE} = '' THEN 'Chat' WHEN length({ONE_LINE}) <= 48 THEN {ONE_LINE} ELSE rtrim(substr({ONE_LINE}, 1, 47)) || '…' END "
+    "WHEN 2 * k + length(source) <= 64 THEN repeat('名', k) || source ELSE repeat('名', least(k, 31)) || left(source, greatest(0, 63 - 2 * k)) || '…' END AS title "
+    "FROM (SELECT *, CAST(doc_id % 50 AS INTEGER) AS k FROM documents)"
+)
 def title_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("trim(text) <> ''")
-    return d.select("doc_id", tx.title(F.lit(None).cast("string"), F.col("text")).alias("title"))
+    """Every third chat has a title of its own, of wide characters before its source."""
+    wide = F.concat(F.repeat(F.lit("名"), (F.col("doc_id") % 50).cast("int")), F.col("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.title(F.when(F.col("doc_id") % 3 == 0, wide), F.col("text")).alias("title"))
 
 
 @query("SELECT p_partkey, upper(p_name) || '@' || substr(sha256(CAST(p_partkey AS VARCHAR)), 1, 8) || ' [m' || p_partkey || ']' AS name FROM part")
@@ -146,13 +151,34 @@ def model_basename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(tx.basename(path).alias("name"), "p_partkey")
 
 
-@query("SELECT * FROM (VALUES ('a', '1'), ('b c', '2'), ('b d e', 'x')) v(name, value)")
+@query("SELECT 'size' AS name, CAST(p_size AS VARCHAR) AS value FROM part UNION ALL SELECT 'what brand', p_brand FROM part UNION ALL SELECT 'what kind type', p_type FROM part")
 def flatten_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.struct(F.struct(F.lit("x").alias("e")).alias("d"), F.lit(2).alias("c")).alias("b"), F.lit(1).alias("a"))
-    return tr.flatten_fields(row)
+    kind = F.struct(F.col("p_type").alias("type"))
+    return tr.flatten_fields(table(spark, sf_dir, "part").select(F.struct(kind.alias("kind"), F.col("p_brand").alias("brand")).alias("what"), F.col("p_size").alias("size")))
 
 
-@query("SELECT typed, command FROM (VALUES ('/s'), ('/sa'), ('/x'), ('s'), ('/q u')) t(typed), (VALUES ('/save'), ('/seed'), ('/quit')) c(command) WHERE typed LIKE '/%' AND typed NOT LIKE '% %' AND starts_with(command, typed)")
+@query("SELECT p_partkey, '{\"cache\":' || CASE WHEN p_partkey % 2 = 0 THEN to_json('/m/' || p_name) ELSE 'null' END || ',\"sizes\":[' || p_size || ',' || p_size + 1 || '],\"type\":' || to_json(p_type) || '}' AS policy FROM part")
+def policy_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings as canonical JSON without what only says which of them were given."""
+    k = F.col("p_partkey")
+    cache = F.when(k % 2 == 0, F.concat(F.lit("/m/"), F.col("p_name")))
+    row = table(spark, sf_dir, "part").select("p_partkey", F.struct(F.col("p_type").alias("type"), F.array("p_size", F.col("p_size") + 1).alias("sizes"), cache.alias("cache"), F.array(F.lit("type")).alias("specified")).alias("c"))
+    return row.select("p_partkey", tr.normalized_policy(F.col("c"), row.schema["c"].dataType).alias("policy"))
+
+
+COMMANDS = ["/cold", "/coat", "/small", "/smooth", "/red"]
+
+
+@query(f"SELECT p_partkey, typed, command FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN '/' ELSE '' END || left(p_name, CAST(1 + p_partkey % 6 AS INTEGER)) AS typed FROM part), (VALUES {', '.join(f"('{c}')" for c in COMMANDS)}) c(command) WHERE typed LIKE '/%' AND typed NOT LIKE '% %' AND starts_with(command, typed)")
 def command_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    typed = table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.explode(F.array(*[F.lit(x) for x in ("/s", "/sa", "/x", "s", "/q u")])).alias("typed"))
-    return tr.command_matches(typed, ["/save", "/seed", "/quit"])
+    k = F.col("p_partkey")
+    typed = F.concat(F.when(k % 5 > 0, "/").otherwise(""), F.substring(F.col("p_name"), F.lit(1), (1 + k % 6).cast("int")))
+    return tr.command_matches(table(spark, sf_dir, "part").select("p_partkey", typed.alias("typed")), COMMANDS)
+
+
+@query(f"WITH {TURNS} SELECT chat, bool_or(turn % 5 = 4) OR chat % 7 = 0 AS dirty FROM t GROUP BY chat")
+def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chats whose turns differ from what was saved: fifth turns have changed, every seventh chat was never saved."""
+    t = turns(spark, sf_dir)
+    saved = t.where("chat % 7 <> 0").withColumn("text", F.when(F.col("turn") % 5 == 4, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return tr.dirty(t, tr.transcript_digest(saved))

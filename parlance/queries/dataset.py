@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import render as rd
 from parlance.functions.json import canonical_object, value
+from parlance.functions.unicode import units
 from parlance.operators import artifacts
 from parlance.operators import context as cx
 from parlance.operators import dataset as ds
@@ -98,6 +99,23 @@ def target_selection_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sel.selection_audit(reasoned(spark, sf_dir))
 
 
+@query(f"WITH {SPLIT}, a AS (SELECT count(*) AS all_, count(*) FILTER (WHERE why IS NULL) AS inc FROM (SELECT {WHY} AS why FROM msg WHERE author = {TARGET})) SELECT v.rule FROM a, (VALUES ('counts differ from the splits'), ('excluded differs from the reasons')) v(rule)")
+def validate_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit is consistent as it is (no rule broken); with one included and one reason too many, two rules are."""
+    audit = sel.selection_audit(reasoned(spark, sf_dir))
+    counts = sel.split_counts(split(spark, sf_dir))
+    wrong = audit.withColumn("included", F.col("included") + 1).withColumn("target_messages", F.col("target_messages") + 1).withColumn("edited", F.col("edited") + 1)
+    return sel.selection_violations(audit, counts).union(sel.selection_violations(wrong, counts))
+
+
+@query("WITH p AS (SELECT CAST(user_id AS VARCHAR) AS person, CASE WHEN user_id % 10 = 3 THEN '' WHEN user_id % 10 = 4 THEN 'same' ELSE 'p' || user_id END AS name FROM (SELECT DISTINCT user_id FROM events)) SELECT person, 'target has a pseudonym' AS rule FROM p WHERE person = '7' UNION ALL SELECT person, 'no name' FROM p WHERE name = '' UNION ALL SELECT person, 'name is not unique' FROM p WHERE name <> '' AND name IN (SELECT name FROM p GROUP BY name HAVING count(*) > 1)")
+def validate_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("user_id")
+    name = F.when(u % 10 == 3, "").when(u % 10 == 4, "same").otherwise(F.concat(F.lit("p"), u))
+    names = table(spark, sf_dir, "events").select("user_id").distinct().select(u.cast("string").alias("person"), name.alias("pseudonym"))
+    return sel.pseudonym_violations(names, F.lit(TARGET))
+
+
 @query(f"WITH {M} SELECT count(*) AS n FROM msg WHERE NOT coalesce(edited_at >= TIMESTAMP '2024-01-15', false) AND (deleted_at IS NULL OR deleted_at < TIMESTAMP '2024-01-15') AND sent_at < TIMESTAMP '2024-01-15'")
 def availability_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
@@ -228,26 +246,28 @@ def join_reply_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("id").join(goal, "id", "left")
 
 
-TEXTS = "SELECT doc_id, left(text, 60) AS t, replace(left(text, 60), chr(10), ' ') AS flat FROM documents"
+MENTIONED = "length(text) >= 7"
 
 
-@query("SELECT doc_id, substr(left(text, 60), 1, 4) || '@Bob' || substr(left(text, 60), 8) AS text FROM documents WHERE length(text) > 60 AND text NOT LIKE '%@%'")
+@query(f"SELECT doc_id, sha256(CASE WHEN {MENTIONED} THEN CASE WHEN substr(text, 4, 1) = '@' AND substr(text, 5, 1) <> '@' THEN left(text, 3) ELSE left(text, 4) END || '@Bob' || substr(text, 8) ELSE text END) AS digest FROM documents")
 def render_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("length(text) > 60 AND text NOT LIKE '%@%'")
-    one = F.array(F.struct(F.lit(4).alias("start"), F.lit(3).alias("length"), F.lit("Bob").alias("name")))
-    return d.select("doc_id", rd.render_mentions(F.substring("text", 1, 60), one).alias("text"))
+    """Characters 5 to 7 of every text that has them are a mention, addressed in UTF-16 units."""
+    start, length = units(F.substring("text", 1, 4)), units(F.substring("text", 5, 3))
+    one = F.array(F.struct(start.alias("start"), length.alias("length"), F.lit("Bob").alias("name")))
+    found = F.when(F.expr(MENTIONED), one)
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(rd.render_mentions(F.col("text"), found), 256).alias("digest"))
 
 
-@query("SELECT doc_id, doc_id % 5 < 3 AND (doc_id % 40) + doc_id % 5 <= least(length(text), 60) AND doc_id % 5 > 0 AS ok FROM documents")
+@query("SELECT doc_id, doc_id % 5 < 3 AND (doc_id % 40) + doc_id % 5 <= length(text) AND doc_id % 5 > 0 AS ok FROM documents")
 def validate_mention_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A range is fine if it has a length, lies in the text and does not overlap the next, which starts two units later."""
     from parlance.operators.parsing import mention_error
 
-    d = table(spark, sf_dir, "documents").withColumn("t", F.substring("text", 1, 60)).withColumn("start", (F.col("doc_id") % 40).cast("int")).withColumn("n", (F.col("doc_id") % 5).cast("int"))
+    d = table(spark, sf_dir, "documents").withColumn("start", (F.col("doc_id") % 40).cast("int")).withColumn("n", (F.col("doc_id") % 5).cast("int"))
     m = lambda s, n: F.struct(F.lit("x").alias("person_id"), s.alias("start"), n.alias("length"), F.lit(None).cast("string").alias("name"))
     both = F.array(m(F.col("start"), F.col("n")), m(F.col("start") + 2, F.col("n")))
-    found = F.when(F.col("start") + 2 + F.col("n") <= F.length("t"), both).otherwise(F.array(m(F.col("start"), F.col("n"))))
-    ok = mention_error(F.col("t"), found).isNull() & (F.col("n") < 3)
+    found = F.when(F.col("start") + 2 + F.col("n") <= F.length("text"), both).otherwise(F.array(m(F.col("start"), F.col("n"))))
+    ok = mention_error(F.col("text"), found).isNull() & (F.col("n") < 3)
     return d.select("doc_id", ok.alias("ok"))
 
 
@@ -258,24 +278,25 @@ def message_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", rd.message_header(F.lit("A"), F.lit("T"), i % 2 == 0, i % 3, F.lit(True), reply).alias("header"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '[deleted message]' WHEN doc_id % 4 = 1 THEN left(text, 30) WHEN doc_id % 4 = 2 THEN '[attachment]' ELSE '[empty message]' END AS body FROM documents")
+@query("SELECT doc_id, sha256(CASE WHEN doc_id % 4 = 0 THEN '[deleted message]' WHEN doc_id % 4 = 1 THEN text WHEN doc_id % 4 = 2 THEN '[attachment]' ELSE '[empty message]' END) AS digest FROM documents")
 def message_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id") % 4
-    return table(spark, sf_dir, "documents").select("doc_id", rd.message_body(F.when(i == 0, F.lit(1)), F.when(i == 1, F.substring("text", 1, 30)), F.when(i == 2, 1).otherwise(0)).alias("body"))
+    body = rd.message_body(F.when(i == 0, F.lit(1)), F.when(i == 1, F.col("text")), F.when(i == 2, 1).otherwise(0))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(body, 256).alias("digest"))
 
 
-@query(f"WITH x AS ({TEXTS}) SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'A removed ' || to_json(flat) || ' reaction from B''s message' ELSE 'A reacted ' || to_json(flat) || ' to an earlier message' END AS line FROM x")
+@query("SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN 'A removed ' || to_json(text) || ' reaction from B''s message' ELSE 'A reacted ' || to_json(text) || ' to an earlier message' END) AS digest FROM documents")
 def reaction_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.col("doc_id") % 2 == 0
-    emoji = F.replace(F.substring("text", 1, 60), F.lit("\n"), F.lit(" "))
-    return table(spark, sf_dir, "documents").select("doc_id", rd.reaction_line(F.lit("A"), emoji, even, F.when(even, "B")).alias("line"))
+    line = rd.reaction_line(F.lit("A"), F.col("text"), even, F.when(even, "B"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(line, 256).alias("digest"))
 
 
-@query(f"WITH x AS ({TEXTS}) SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'reply to Ann: ' || to_json(t) WHEN 1 THEN 'reply to an earlier message' END AS reply FROM x")
+@query("SELECT doc_id, sha256(CASE doc_id % 3 WHEN 0 THEN 'reply to Ann: ' || to_json(text) WHEN 1 THEN 'reply to an earlier message' END) AS digest FROM documents")
 def reply_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id") % 3
-    text = F.when(i == 0, F.substring("text", 1, 60))
-    return table(spark, sf_dir, "documents").select("doc_id", rd.reply_text(i < 2, F.when(i == 0, "Ann"), text).alias("reply"))
+    reply = rd.reply_text(i < 2, F.when(i == 0, "Ann"), F.when(i == 0, F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(reply, 256).alias("digest"))
 
 
 CHAT_LINES = "string_agg(chr(10) || '[' || role || ']' || chr(10) || coalesce(text, ''), chr(10) ORDER BY turn)"
@@ -288,10 +309,17 @@ def render_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("conv_id", F.sha2(rd.conversation(F.lit("T"), F.col("e")), 256).alias("digest"))
 
 
-@query("SELECT doc_id, 3 AS n_turns, '<' || left(text, 20) || '>' AS prompt, 'Re: ' AS prefill FROM documents")
+@query("SELECT doc_id, 3 AS n_turns, sha256('<' || text || '>') AS prompt, 'Re: ' AS prefill FROM documents")
 def format_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", rd.format_turns(F.substring("text", 1, 20), prefix="<", suffix=">", system="Be brief.", prefill="Re: ").alias("t"))
-    return d.select("doc_id", F.size("t").alias("n_turns"), F.col("t")[1]["content"].alias("prompt"), F.col("t")[2]["content"].alias("prefill"))
+    d = table(spark, sf_dir, "documents").select("doc_id", rd.format_turns(F.col("text"), prefix="<", suffix=">", system="Be brief.", prefill="Re: ").alias("t"))
+    return d.select("doc_id", F.size("t").alias("n_turns"), F.sha2(F.col("t")[1]["content"], 256).alias("prompt"), F.col("t")[2]["content"].alias("prefill"))
+
+
+@query("SELECT doc_id, sha256('{\"messages\":[{\"role\":\"system\",\"content\":\"Be brief.\"},{\"role\":\"user\",\"content\":' || to_json('<' || lang || '>') || '},{\"role\":\"assistant\",\"content\":' || to_json('Re: ' || text || '!') || '}]}') AS digest FROM documents")
+def format_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A training row: the prompt between its marks, the completion after the prefill and before the ending."""
+    row = rd.example_row(F.col("lang"), F.col("text"), prefix="<", suffix=">", system="Be brief.", prefill="Re: ", ending="!")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(row, 256).alias("digest"))
 
 
 @query("SELECT event_id, sha256('{\"at\":' || (epoch_us(ts) // 1000) || ',\"id\":' || event_id || ',\"text\":' || to_json(props) || ',\"type\":' || to_json(event_type) || '}') AS digest FROM events")

@@ -95,47 +95,51 @@ def longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(spark, sf_dir)
 
 
-@query(f"WITH {PRED} SELECT p.cand_id FROM pred p WHERE norm <> '' AND norm IN (SELECT norm FROM pred WHERE cand_id % 10 = 0)")
+#: The largest source's texts stand for the training set where whole texts are looked for.
+LEARNED = "run = 'src0'"
+
+
+@query(f"WITH {PRED} SELECT p.cand_id FROM pred p WHERE norm <> '' AND norm IN (SELECT norm FROM pred WHERE {LEARNED})")
 def exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions that equal one of every tenth document's text, as if that were the training set."""
-    p = predictions(spark, sf_dir).select("cand_id", "norm")
-    return mt.exact_matches(p, p.where("cand_id % 10 = 0").select("norm"))
+    p = predictions(spark, sf_dir).select("cand_id", "norm", "run")
+    return mt.exact_matches(p, p.where(LEARNED).select("norm"))
 
 
 S = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 FEATURE_SQL = f"""
-    WITH t AS (SELECT doc_id, {S} AS t FROM documents)
-    SELECT doc_id, CAST(length(t) AS DOUBLE) AS characters, CAST(CASE WHEN t = '' THEN 0 ELSE len(regexp_extract_all(t, '\\s+')) + 1 END AS DOUBLE) AS words,
+    SELECT doc_id, lang, CAST(length(t) AS DOUBLE) AS characters, CAST(CASE WHEN t = '' THEN 0 ELSE len(regexp_extract_all(t, '\\s+')) + 1 END AS DOUBLE) AS words,
            CAST(len(string_split(t, chr(10))) AS DOUBLE) AS lines,
            round(length(regexp_replace(t, '\\P{{P}}', '', 'g')) / greatest(length(t), 1), 9) AS punctuation_density,
            round(length(regexp_replace(t, '\\P{{Lu}}', '', 'g')) / greatest(length(regexp_replace(t, '\\P{{L}}', '', 'g')), 1), 9) AS uppercase_ratio,
            CAST(regexp_matches(t, '@[\\pL\\pN_.-]+') AS DOUBLE) AS mention_rate, CAST(regexp_matches(t, '(?i)https?://|www\\.') AS DOUBLE) AS url_rate,
            CAST(contains(t, '?') AS DOUBLE) AS question_rate, CAST(contains(t, '!') AS DOUBLE) AS exclamation_rate,
+           CAST(regexp_matches(t, '[\\x{{1F000}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}]') AS DOUBLE) AS emoji_rate,
+           CAST(len(list_filter(list_zip(c, c[2:], c[3:]), lambda x: x[1] = x[2] AND x[1] = x[3])) > 0 AS DOUBLE) AS repeated_character_rate,
            CAST(right(t, 1) IN ('.', '!', '?', '…') AS DOUBLE) AS terminal_punctuation_rate, CAST(regexp_matches(t, '^\\p{{Ll}}') AS DOUBLE) AS starts_lowercase_rate
-    FROM t
+    FROM (SELECT doc_id, lang, t, string_split(t, '') AS c FROM (SELECT doc_id, lang, {S} AS t FROM documents))
 """
 
 
-@query(FEATURE_SQL)
+@query(f"SELECT * EXCLUDE (lang) FROM ({FEATURE_SQL})")
 def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without the two features that DuckDB has no expression for (emoji classes, back-references)."""
     f = tx.features(F.col("text"))
-    names = [n for n in tx.FEATURES if n not in ("emoji_rate", "repeated_character_rate")]
     ratios = ("punctuation_density", "uppercase_ratio")
-    return table(spark, sf_dir, "documents").select("doc_id", *[(F.round(f[n], 9) if n in ratios else f[n]).alias(n) for n in names])
+    return table(spark, sf_dir, "documents").select("doc_id", *[(F.round(f[n], 9) if n in ratios else f[n]).alias(n) for n in tx.FEATURES])
+
 
+MEANS = ", ".join(f"round(avg({n}), 6) AS {n}" for n in tx.FEATURES)
 
-@query(f"SELECT lang, round(avg(length({S})), 6) AS characters, round(avg(CAST(contains(text, '?') AS INT)), 6) AS question_rate FROM documents GROUP BY lang")
+
+@query(f"SELECT lang, {MEANS} FROM ({FEATURE_SQL}) GROUP BY lang")
 def voice_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = ev.profile(table(spark, sf_dir, "documents"), "text", "lang")
-    return rounded(p, "characters", "question_rate").select("lang", "characters", "question_rate")
+    return rounded(ev.profile(table(spark, sf_dir, "documents"), "text", "lang"), *tx.FEATURES)
 
 
-@query(f"WITH p AS (SELECT avg(length({S})) AS c, avg(CAST(contains(text, '?') AS INT)) AS q FROM documents WHERE lang = 'en'), r AS (SELECT avg(length({S})) AS c, avg(CAST(contains(text, '?') AS INT)) AS q FROM documents WHERE lang = 'fr') SELECT round(abs(p.c - r.c), 6) AS characters, round(abs(p.q - r.q), 6) AS question_rate FROM p, r")
+@query(f"WITH f AS ({FEATURE_SQL}) SELECT " + ", ".join(f"round(abs(avg({n}) FILTER (WHERE lang = 'en') - avg({n}) FILTER (WHERE lang = 'fr')), 6) AS {n}" for n in tx.FEATURES) + " FROM f")
 def voice_profile_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     diff = ev.profile_difference(ev.profile(d.where("lang = 'en'"), "text"), ev.profile(d.where("lang = 'fr'"), "text"))
-    return rounded(diff, "characters", "question_rate").select("characters", "question_rate")
+    return rounded(diff, *tx.FEATURES)
 
 
 GRAMS = "SELECT substr(norm, i, 3) AS gram, count(*) AS n FROM (SELECT norm, unnest(range(1, greatest(length(norm) - 1, 1))) AS i FROM train) GROUP BY gram"
@@ -173,11 +177,11 @@ def unknown_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = predictions(spark, sf_dir)
-    known = p.where("cand_id % 10 = 0").select("norm")
+    known = p.where(LEARNED).select("norm")
     return ev.diagnostics(p.withColumn("prompt", F.lit("@ann")), matches(spark, sf_dir), mt.exact_matches(p, known), THRESHOLD)
 
 
-FLAGS = f"{MATCH}, fl AS (SELECT p.cand_id, run, {S} = '' AS empty, {ROLE_SQL} AS format_violation, len(list_filter(regexp_extract_all(text, '@[\\pL\\pN_.-]+'), lambda x: x <> '@ann')) > 0 AS unknown_mention, finish_reason = 'length' AS truncated, hit.cand_id IS NOT NULL AS long_training_match, norm <> '' AND norm IN (SELECT norm FROM pred WHERE cand_id % 10 = 0) AS exact_training_match FROM pred p LEFT JOIN hit USING (cand_id))"
+FLAGS = f"{MATCH}, fl AS (SELECT p.cand_id, run, {S} = '' AS empty, {ROLE_SQL} AS format_violation, len(list_filter(regexp_extract_all(text, '@[\\pL\\pN_.-]+'), lambda x: x <> '@ann')) > 0 AS unknown_mention, finish_reason = 'length' AS truncated, hit.cand_id IS NOT NULL AS long_training_match, norm <> '' AND norm IN (SELECT norm FROM pred WHERE {LEARNED}) AS exact_training_match FROM pred p LEFT JOIN hit USING (cand_id))"
 
 
 @query(f"WITH {FLAGS} SELECT cand_id, empty, format_violation, unknown_mention, truncated, long_training_match, exact_training_match FROM fl")
@@ -261,20 +265,25 @@ def run_delta_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ev.run_delta_range(deltas(spark, sf_dir)), "lowest", "highest")
 
 
-POISSON = " + ".join(f"CAST(u >= {c} AS INT)" for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999898032318967))
+SAMPLES = 100
+WEIGHT = " + ".join(f"CAST(u >= {c} AS INT)" for c in ev.POISSON)
+UNIT = "CAST('0x' || substr(md5('42:' || b || ':' || {}), 1, 8) AS BIGINT) / 4294967296.0"
+BOOT = f"w AS (SELECT b, delta, {UNIT.format('example_id')} AS u FROM pd, range({SAMPLES}) r(b)), e AS (SELECT b, sum(({WEIGHT}) * delta) / sum({WEIGHT}) AS m FROM w GROUP BY b), boot AS (SELECT round((SELECT avg(delta) FROM pd), 6) AS value, round(l[3], 6) AS lower, round(l[98], 6) AS upper FROM (SELECT list_sort(list(m)) AS l FROM e))"
 
 
-@query(f"WITH {DELTAS}, w AS (SELECT b, delta, CAST('0x' || substr(md5('42:' || b || ':' || example_id), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM pd, range(100) r(b) WHERE example_id % 20 = 0), e AS (SELECT b, sum(({POISSON}) * delta) / sum({POISSON}) AS m FROM w GROUP BY b), o AS (SELECT list_sort(list(m)) AS l FROM e) SELECT round((SELECT avg(delta) FROM pd WHERE example_id % 20 = 0), 6) AS value, round(l[3], 6) AS lower, round(l[98], 6) AS upper FROM o")
+@query(f"WITH {DELTAS}, {BOOT} SELECT * FROM boot")
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = ev.policy_deltas(deltas(spark, sf_dir)).where("example_id % 20 = 0")
-    return rounded(ev.bootstrap_interval(some, samples=100), "value", "lower", "upper")
+    return rounded(ev.bootstrap_interval(ev.policy_deltas(deltas(spark, sf_dir)), samples=SAMPLES), "value", "lower", "upper")
 
 
-@query()
+@query(f"WITH {DELTAS}, x AS (SELECT row_number() OVER (ORDER BY example_id) - 1 AS idx, delta FROM pd), n AS (SELECT count(*) AS n FROM pd), dr AS (SELECT b, CAST(floor({UNIT.format('i')} * n) AS BIGINT) AS idx FROM n, range(20) r(b), (SELECT unnest(range(n)) AS i FROM n) q), e AS (SELECT b, avg(delta) AS m FROM dr JOIN x USING (idx) GROUP BY b) SELECT round((SELECT avg(delta) FROM pd), 6) AS value, round(l[1], 6) AS lower, round(l[20], 6) AS upper FROM (SELECT list_sort(list(m)) AS l FROM e)")
 def bootstrap_interval_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The draws of a seeded generator, for the hundred examples with the smallest ids."""
-    few = ev.policy_deltas(deltas(spark, sf_dir)).orderBy("example_id").limit(100).withColumnRenamed("example_id", "idx")
-    return ev.exact_interval(few, samples=200)
+    """As many draws a sample as there are examples."""
+    from parlance.plans.ordering import global_rank
+
+    ranked = global_rank(ev.policy_deltas(deltas(spark, sf_dir)), [F.col("example_id")], "idx")
+    values = materialized(ranked.select((F.col("idx") - 1).alias("idx"), "delta"))
+    return rounded(ev.drawn_interval(values, samples=20), "value", "lower", "upper")
 
 
 ID = "sha256('{\"dataset_id\":\"d\",\"index\":' || doc_id || ',\"prompt_digest\":\"' || sha256(text) || '\",\"split\":\"valid\"}')"
@@ -363,12 +372,17 @@ def iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", ev.iterations(F.col("p_partkey"), 7, 3).alias("n"))
 
 
-@query()
+@query(
+    f"WITH {FLAGS}, {DELTAS}, {BOOT}, li AS (SELECT {LIKE} FROM s WHERE run <> 1), ra AS (SELECT "
+    + ", ".join(f"round(avg(CAST({k} AS INT)), 9) AS {v}" for k, v in RATES.items())
+    + " FROM fl) SELECT *, empty_rate <= 0.02 AND format_violation_rate <= 0.02 AND truncation_rate <= 0.03 AS eligible FROM li, boot, ra"
+)
 def evaluate_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole report of one policy: likelihood, interval, rates, gates, as one row."""
     s = materialized(scores(spark, sf_dir))
     d = ev.policy_deltas(ev.paired_deltas(s, F.lit(1)))
-    whole = ev.likelihood(s.where("run <> 1")).crossJoin(ev.bootstrap_interval(d, samples=100)).crossJoin(ev.behavior_rates(flags(spark, sf_dir)))
+    interval = rounded(ev.bootstrap_interval(d, samples=SAMPLES), "value", "lower", "upper")
+    rates = rounded(ev.behavior_rates(flags(spark, sf_dir)), *RATES.values(), places=9)
+    whole = materialized(rounded(ev.likelihood(s.where("run <> 1")), *MEASURES).crossJoin(interval).crossJoin(rates))
     limits = {"empty_rate": 0.02, "format_violation_rate": 0.02, "truncation_rate": 0.03}
-    passed = ev.gates(whole, limits).agg(F.bool_and("passed").alias("eligible"))
-    return whole.crossJoin(passed)
+    return whole.crossJoin(ev.gates(whole, limits).agg(F.bool_and("passed").alias("eligible")))

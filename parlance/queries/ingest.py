@@ -149,9 +149,9 @@ def parse_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("event_id", "person_id", "start", "length", "name")
 
 
-@query("SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(trim(translate(left(text, 40), chr(10), ' ')), '^@+', ''), ' +', ' ', 'g')), '') AS name FROM documents")
+@query("SELECT doc_id, sha256(nullif(trim(regexp_replace(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '^@+', ''), '\\s+', ' ', 'g')), '')) AS digest FROM documents")
 def mention_name_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", p.mention_name(F.substring("text", 1, 40)).alias("name"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(p.mention_name(F.col("text")), 256).alias("digest"))
 
 
 @query(f"WITH {EXPECTED} SELECT event_id, 'signal-message:' || sha256(chat_id || chr(0) || 'signal-person:' || sha256('u' || (user_id + 2)) || chr(0) || (ms - 120000)) AS reply_to, 'was' AS quote FROM x WHERE kind = 'edit' AND event_id % 2 = 0")
@@ -256,13 +256,64 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.groupBy("key").agg(F.max_by("seq", "batch").alias("seq"))
 
 
+def _stream_of(spark: SparkSession, rows: DataFrame, base: str, name: str = "in", files: int = 3) -> DataFrame:
+    """``rows`` as a stream that comes in several micro-batches."""
+    rows.repartitionByRange(files, rows.columns[-1]).write.mode("append").parquet(f"{base}/{name}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/{name}")
+
+
 @query(f"WITH {EXPECTED} SELECT kind, count(*) AS n FROM x GROUP BY kind")
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.running_counts(parsed(spark, sf_dir))
+    """Events by kind so far, updated batch by batch; the table holds what the last batch left."""
+    base = fresh_path(spark, "counts")
+    counts = st.running_counts(p.parse_events(_stream_of(spark, raw_events(spark, sf_dir), base), CHATS))
+    st.keep_latest(counts, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return st.latest(spark, f"{base}/out")
 
 
-@query("SELECT user_id % 50 AS id, min(event_id) AS first_seq FROM events GROUP BY user_id % 50")
+@query("SELECT user_id % 50 AS id, 1 AS n FROM events GROUP BY user_id % 50")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first event of each content, as the batch form of the stream's exact dedup."""
+    """Every content comes once out of a stream that repeats it in all of its batches, before and after a restart."""
+    base = fresh_path(spark, "dedup")
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("id"), F.col("event_id").alias("seq"))
-    return rv.distinct_events(e, "seq").select("id", F.col("seq").alias("first_seq"))
+    for part in (0, 1):
+        stream = _stream_of(spark, e.where(F.col("seq") % 2 == part), base)
+        st.ingest(st.deduplicated(stream), f"{base}/events", f"{base}/checkpoint").awaitTermination()
+    got = spark.read.parquet(f"{base}/events")
+    return got.groupBy("id").agg(F.count("*").cast("int").alias("n"))
+
+
+@query(f"WITH r AS ({REVISIONS}), k AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY revision_at DESC, seq DESC) AS n FROM r) SELECT CAST(message_id AS VARCHAR) AS key, seq, 0 AS late FROM k WHERE n = 1")
+def stream_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest revisions first, deletions among them; older ones, which come after a restart, change nothing.
+
+    ``late`` counts the changes that the second run made.
+    """
+    base = fresh_path(spark, "late")
+    log = revision_log(spark, sf_dir).select(F.col("message_id").cast("string").alias("key"), F.unix_micros(F.col("revision_at").cast("timestamp")).alias("revision"), "seq", F.col("kind").alias("body"))
+    newest = rv.latest_revision(log, "key", "revision", "seq").select("key", "revision", "seq", "body")
+    for run, rows in enumerate((newest, log.join(newest.select("key", "seq"), ["key", "seq"], "left_anti").select("key", "revision", "seq", "body"))):
+        stream = _stream_of(spark, rows, base)
+        st.ingest(st.upserts(stream).withColumn("run", F.lit(run)), f"{base}/out", f"{base}/checkpoint", mode="update").awaitTermination()
+    changes = spark.read.parquet(f"{base}/out")
+    return changes.groupBy("key").agg(F.max_by("seq", F.struct("batch", "revision")).alias("seq"), F.count_if(F.col("run") > 0).cast("int").alias("late"))
+
+
+@query(f"WITH {CURRENT} SELECT message_id, author_id, sent_ms FROM cur")
+def replay_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw events are stored by a stream, some twice; the messages are rebuilt from the store alone."""
+    base = fresh_path(spark, "replay")
+    raw = raw_events(spark, sf_dir)
+    for rows in (raw, raw.where("seq % 3 = 0")):
+        st.ingest(_stream_of(spark, rows, base), f"{base}/events", f"{base}/checkpoint").awaitTermination()
+    return st.replay(spark, f"{base}/events", CHATS).select("message_id", "author_id", F.unix_millis("sent_at").alias("sent_ms"))
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END AS batch FROM events")
+def sink_event_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appends, of which the second repeats all of the first and itself: each event is stored once, where it came first."""
+    path = fresh_path(spark, "store")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("at"))
+    st.append_events(e.where("id % 2 = 0"), path, 0)
+    st.append_events(e.union(e), path, 1)
+    return spark.read.parquet(path).select("id", F.col("batch").cast("int").alias("batch"))

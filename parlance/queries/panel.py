@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.operators import evaluation as ev
 from parlance.operators import panel as pn
+from parlance.plans.durable import materialized
+from parlance.queries.evaluation import rounded
 from parlance.queries.registry import query, table
 
 CHOICE = "CASE event_type WHEN 'click' THEN 'base' WHEN 'signup' THEN 'tie' WHEN 'error' THEN 'neither' ELSE 'policy' END"
@@ -68,7 +71,10 @@ def position_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pn.position_rate(judgments(spark, sf_dir)).select(F.round("rate", 9).alias("rate"))
 
 
-@query(f"WITH {J}, c AS (SELECT dimension, ballot_id, choice, count(*) AS c FROM j GROUP BY ALL), u AS (SELECT dimension, ballot_id, sum(c) AS n, sum(c * c) AS sq FROM c GROUP BY ALL HAVING sum(c) > 1), o AS (SELECT dimension, sum((n * n - sq) / (n - 1)) AS d, sum(n) AS t FROM u GROUP BY dimension), e AS (SELECT dimension, sum(t * t) AS sq FROM (SELECT c.dimension, choice, sum(c) AS t FROM c JOIN u USING (dimension, ballot_id) GROUP BY ALL) GROUP BY dimension) SELECT dimension, round(1 - (d / t) / ((t * t - sq) / (t * (t - 1))), 9) AS alpha FROM (SELECT DISTINCT dimension FROM j) x LEFT JOIN o USING (dimension) LEFT JOIN e USING (dimension)")
+ALPHA = "an AS (SELECT dimension, ballot_id, choice, count(*) AS c FROM j GROUP BY ALL), u AS (SELECT dimension, ballot_id, sum(c) AS n, sum(c * c) AS sq FROM an GROUP BY ALL HAVING sum(c) > 1), o AS (SELECT dimension, sum((n * n - sq) / (n - 1)) AS d, sum(n) AS t FROM u GROUP BY dimension), ex AS (SELECT dimension, sum(t * t) AS sq FROM (SELECT c.dimension, choice, sum(c) AS t FROM an c JOIN u USING (dimension, ballot_id) GROUP BY ALL) GROUP BY dimension), al AS (SELECT dimension, round(1 - (d / t) / ((t * t - sq) / (t * (t - 1))), 9) AS alpha FROM (SELECT DISTINCT dimension FROM j) x LEFT JOIN o USING (dimension) LEFT JOIN ex USING (dimension))"
+
+
+@query(f"WITH {J}, {ALPHA} SELECT * FROM al")
 def krippendorff_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pn.agreement(judgments(spark, sf_dir)).select("dimension", F.round("alpha", 9).alias("alpha"))
 
@@ -78,17 +84,47 @@ def panel_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pn.panel_complete(judgments(spark, sf_dir), 3, 100)
 
 
-@query()
+SEED, PER_RATER = 42, 40
+BALLOTS = f"""
+    o AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED}:order:' || example_id), example_id) - 1 AS place FROM (SELECT sha256(CAST(item_id AS VARCHAR)) AS example_id FROM benchmark)),
+    c AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED}:control:' || example_id), example_id) - 1 AS nth, count(*) OVER () AS n FROM o WHERE place < {PER_RATER}),
+    m AS (SELECT example_id, place, CASE WHEN nth >= round_even(n * 0.2, 0) THEN 'policy-base' WHEN nth % 2 = 0 THEN 'human-policy' ELSE 'human-base' END AS matchup FROM c),
+    r AS (SELECT example_id, matchup, place % 3 AS seed, CASE WHEN matchup LIKE '%policy%' THEN place % 3 END AS run_index FROM m),
+    b AS (SELECT *, sha256('{{"example_id":"' || example_id || '","matchup":"' || matchup || '","run_index":' || coalesce(CAST(run_index AS VARCHAR), 'null') || ',"seed":' || seed || '}}') AS ballot_id FROM r),
+    s AS (SELECT *, md5('{SEED}:side:' || rater_id || ':' || ballot_id) < '8' AS swapped, string_split(matchup, '-') AS names FROM b, (VALUES ('ann'), ('bob')) v(rater_id))
+"""
+
+
+@query(f"WITH {BALLOTS} SELECT rater_id, ballot_id, example_id, matchup, seed, run_index, names[CASE WHEN swapped THEN 2 ELSE 1 END] AS a_identity, names[CASE WHEN swapped THEN 1 ELSE 2 END] AS b_identity FROM s")
 def ballot_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ballots of two raters over a hundred examples."""
-    ids = [r["i"] for r in table(spark, sf_dir, "benchmark").select(F.sha2(F.col("item_id").cast("string"), 256).alias("i")).orderBy("i").limit(100).collect()]
-    one, two = (pn.ballot_schedule(spark, [(i, [0, 1, 2]) for i in ids], 3, r, 42, 40, 0.2).withColumn("rater_id", F.lit(r)) for r in ("ann", "bob"))
-    return one.union(two)
+    """The ballots of two raters, out of all items."""
+    seeds = F.array(*[F.lit(i) for i in (2, 0, 1)])
+    items = table(spark, sf_dir, "benchmark").select(F.sha2(F.col("item_id").cast("string"), 256).alias("example_id"), seeds.alias("seeds"))
+    raters = spark.range(1).select(F.explode(F.array(F.lit("ann"), F.lit("bob"))).alias("rater_id"))
+    return pn.ballot_schedule(items, raters, 3, SEED, PER_RATER, 0.2)
+
 
+def _weight(name: str) -> str:
+    return "(" + " + ".join(f"CAST(CAST('0x' || substr(md5('{SEED}:{name}:' || b || ':' || {name}_id), 1, 8) AS BIGINT) / 4294967296.0 >= {c} AS INT)" for c in ev.POISSON) + ")"
 
-@query()
+
+SAMPLES = 50
+CLUSTERS = f"""
+    {J}, cell AS (SELECT dimension, example_id, rater_id, count(*) FILTER (WHERE choice = 'policy') AS yes, count(*) FILTER (WHERE choice IN ('policy', 'base')) AS n FROM j GROUP BY ALL),
+    w AS (SELECT dimension, b, yes, n, {_weight("example")} * {_weight("rater")} AS w FROM cell, range({SAMPLES}) t(b) WHERE n > 0),
+    e AS (SELECT dimension, list_sort(list(y / n)) AS s FROM (SELECT dimension, b, sum(w * yes) AS y, sum(w * n) AS n FROM w GROUP BY ALL HAVING sum(w * n) > 0) GROUP BY dimension),
+    v AS (SELECT dimension, sum(yes) / nullif(sum(n), 0) AS value, count(DISTINCT example_id) AS examples, count(DISTINCT rater_id) AS raters FROM cell GROUP BY dimension),
+    ci AS (SELECT dimension, round(value, 9) AS value, round(coalesce(s[CAST(least(len(s) - 1, floor(len(s) * 0.025)) AS INTEGER) + 1], value), 9) AS lower, round(coalesce(s[CAST(least(len(s) - 1, floor(len(s) * 0.975)) AS INTEGER) + 1], value), 9) AS upper, examples, raters FROM v LEFT JOIN e USING (dimension))
+"""
+
+
+def clusters(j: DataFrame) -> DataFrame:
+    return rounded(pn.cluster_interval(j, "policy", "base", "dimension", SAMPLES, 0.95, SEED), "value", "lower", "upper", places=9)
+
+
+@query(f"WITH {CLUSTERS} SELECT * FROM ci")
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pn.cluster_interval(judgments(spark, sf_dir), "policy", "base", "dimension", 50, 0.95, 42)
+    return clusters(judgments(spark, sf_dir))
 
 
 @query("SELECT 'ballots_per_rater' AS name, '40' AS recorded, '12' AS current UNION ALL SELECT 'min_panel_raters', NULL, '3'")
@@ -97,8 +133,11 @@ def panel_config_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pn.config_differences(recorded, {"ballots_per_rater": 12, "ballot_seed": 42, "min_panel_raters": 3})
 
 
-@query()
+SUMMARY = f"sm AS (SELECT dimension, {COUNTS.format('policy')}, {COUNTS.format('base')}, {COUNTS.format('tie')}, {COUNTS.format('neither')}, round(count(*) FILTER (WHERE choice = 'policy') / nullif(count(*) FILTER (WHERE choice IN ('policy', 'base')), 0), 9) AS decisive_rate FROM j GROUP BY dimension)"
+
+
+@query(f"WITH {CLUSTERS}, {ALPHA}, {SUMMARY} SELECT sm.*, al.alpha, ci.value, ci.lower, ci.upper, ci.examples, ci.raters FROM sm JOIN al USING (dimension) JOIN ci USING (dimension)")
 def create_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, decisive rates with intervals and agreement of every dimension."""
-    j = judgments(spark, sf_dir)
-    return pn.preference_summary(j).join(pn.agreement(j), "dimension").join(pn.cluster_interval(j, "policy", "base", "dimension", 50, 0.95, 42), "dimension")
+    j = materialized(judgments(spark, sf_dir))
+    return rounded(pn.preference_summary(j), "decisive_rate", places=9).join(rounded(pn.agreement(j), "alpha", places=9), "dimension").join(clusters(j), "dimension")

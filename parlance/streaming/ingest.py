@@ -25,17 +25,43 @@ def deduplicated(events: DataFrame, within: str | None = None, time: str = "arri
     return events.dropDuplicates(["id"])
 
 
-def ingest(events: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Append events to the table at ``path``, batch by batch, each in a folder of its own."""
+def _put(batch: DataFrame, path: str, number: int) -> None:
+    rows = batch.withColumn("seq", F.monotonically_increasing_id()) if "seq" not in batch.columns else batch
+    rows.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/batch_id={number}")
 
-    def put(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("seq", F.monotonically_increasing_id()).withColumn("batch", F.lit(number).cast("long"))
-        rows.write.mode("overwrite").parquet(f"{path}/batch_id={number}")
 
-    writer = events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+def ingest(events: DataFrame, path: str, checkpoint: str, available_now: bool = True, mode: str = "append") -> StreamingQuery:
+    """Append events to the table at ``path``, batch by batch, each in a folder of its own."""
+    writer = events.writeStream.foreachBatch(lambda batch, number: _put(batch, path, number)).outputMode(mode).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def append_events(events: DataFrame, path: str, number: int) -> None:
+    """The batch form: of ``events`` (id and more), those that neither earlier batches nor earlier rows have.
+
+    The batch is one folder, written at once; run again after a failure, it replaces itself. Rows
+    that repeat an id within the batch are one event, any of them.
+    """
+    spark, new = events.sparkSession, events.dropDuplicates(["id"])
+    if number:
+        known = spark.read.parquet(path).where(F.col("batch_id") < number)
+        new = new.join(known.select("id"), "id", "left_anti")
+    _put(new, path, number)
+
+
+def keep_latest(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """A small table of running figures: every batch writes all of it into a folder of its own."""
+    writer = rows.writeStream.foreachBatch(lambda batch, number: _put(batch, path, number)).outputMode("complete")
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """What the last batch of :func:`keep_latest` wrote."""
+    rows = spark.read.parquet(path)
+    last = rows.agg(F.max("batch").alias("_last"))
+    return rows.join(F.broadcast(last), F.col("batch") == F.col("_last")).drop("_last", "batch", "batch_id", "seq")
+
+
 def stored_events(spark: SparkSession, path: str) -> DataFrame:
     """Distinct events in the order of arrival, as (batch, seq)."""
     rows = spark.read.parquet(path).drop("batch_id").withColumn("arrival", F.struct("batch", "seq"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import difflib
+import hashlib
 import random
 from collections import Counter
 
@@ -134,15 +135,44 @@ def test_likelihood_weighs_examples_or_tokens(spark):
     assert r["macro_mean_nll"] == 2.0 and r["corpus_mean_nll"] == pytest.approx(2.8)
 
 
-def test_exact_interval_draws_like_the_generator(spark):
+def unit(*parts):
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2**32
+
+
+def poisson(*parts):
+    return sum(unit(*parts) >= c for c in ev.POISSON)
+
+
+def ends(found, confidence=0.95):
+    found, tail = sorted(found), (1 - confidence) / 2
+    return tuple(found[min(len(found) - 1, int(x * len(found)))] for x in (tail, 1 - tail))
+
+
+def test_drawn_interval_is_a_resampling(spark):
     x = [0.5, -1.0, 2.0, 0.25]
-    df = spark.createDataFrame(list(enumerate(x)), "idx int, delta double")
-    rng = random.Random(42)
-    means = sorted(sum(x[rng.randrange(4)] for _ in x) / 4 for _ in range(50))
-    r = ev.exact_interval(df, samples=50).first()
-    assert (r["lower"], r["upper"]) == (means[1], means[48])
-    with pytest.raises(ValueError):
-        ev.exact_interval(df, most=3)
+    df = spark.createDataFrame(list(enumerate(x)), "idx long, delta double")
+    means = [sum(x[int(unit(42, b, i) * 4)] for i in range(4)) / 4 for b in range(50)]
+    r = ev.drawn_interval(df, samples=50).first()
+    assert (r["value"], r["lower"], r["upper"]) == pytest.approx((0.4375, *ends(means)))
+    assert tuple(ev.drawn_interval(df.limit(0), samples=5).first()) == (None, None, None)
+
+
+def test_cluster_interval_equals_plain_sums(spark):
+    """Examples and raters are drawn together; a group without a decisive answer has no rate."""
+    rng = random.Random(2)
+    rows = [("d", e, r, rng.choice(["policy", "base", "tie"])) for e in range(9) for r in range(4) if rng.random() < 0.7] + [("none", 1, 1, "tie")]
+    df = spark.createDataFrame(rows, "dimension string, example_id long, rater_id long, choice string")
+    got = {r["dimension"]: tuple(r)[1:] for r in pn.cluster_interval(df, "policy", "base", "dimension", 60, 0.9, 3).collect()}
+    found = []
+    for b in range(60):
+        w = [(poisson(3, "example", b, e) * poisson(3, "rater", b, r), c) for d, e, r, c in rows if d == "d"]
+        n = sum(x for x, c in w if c != "tie")
+        if n:
+            found.append(sum(x for x, c in w if c == "policy") / n)
+    cells = [c for d, _, _, c in rows if d == "d" and c != "tie"]
+    mine = [(e, r) for d, e, r, _ in rows if d == "d"]
+    assert got["d"] == pytest.approx((cells.count("policy") / len(cells), *ends(found, 0.9), len({e for e, _ in mine}), len({r for _, r in mine})))
+    assert got["none"] == (None, None, None, 1, 1)
 
 
 def alpha(rows):
@@ -169,11 +199,28 @@ def test_agreement(spark, case):
 
 
 def test_schedules(spark):
-    examples = [(f"{i:064x}", [1, 0]) for i in range(30)]
-    one, two = (pn.ballot_schedule(spark, examples, 2, r, 7, 20, 0.25).collect() for r in ("a", "b"))
-    assert [r["ballot_id"] for r in one] == [r["ballot_id"] for r in two] and len(one) == 20
-    assert Counter(r["matchup"] for r in one) == {"policy-base": 15, "human-policy": 3, "human-base": 2}
-    assert [r["a_identity"] for r in one] != [r["a_identity"] for r in two]
+    examples = spark.createDataFrame([(f"{i:064x}", [1, 0]) for i in range(30)], "example_id string, seeds array<long>")
+    raters = spark.createDataFrame([("a",), ("b",)], "rater_id string")
+    rows = pn.ballot_schedule(examples, raters, 2, 7, 20, 0.25).collect()
+    one, two = ({r["ballot_id"]: r for r in rows if r["rater_id"] == x} for x in "ab")
+    assert set(one) == set(two) and len(one) == 20 and len({r["example_id"] for r in rows}) == 20
+    assert Counter(r["matchup"] for r in one.values()) == {"policy-base": 15, "human-policy": 3, "human-base": 2}
+    assert {i: r["a_identity"] for i, r in one.items()} != {i: r["a_identity"] for i, r in two.items()}
+    assert all({r["a_identity"], r["b_identity"]} == set(r["matchup"].split("-")) and (r["run_index"] is None) == (r["matchup"] == "human-base") for r in rows)
+    assert Counter(r["seed"] for r in one.values()) == {0: 10, 1: 10}
+    few = pn.ballot_schedule(examples.limit(3), raters.limit(1), 2, 7, 20, 0.5).collect()
+    assert sorted(Counter(r["matchup"] for r in few).values()) == [1, 1, 1]  # half of three rounds to the even two
+    assert pn.ballot_schedule(examples.limit(0), raters, 2, 7, 20, 0.25).count() == 0
+
+
+def test_selection_and_pseudonym_rules(spark):
+    audit = spark.createDataFrame([(5, 3, 2, 1, 1, 0, 0, 0)], "target_messages long, included long, excluded long, attachment long, deleted long, edited long, no_text long, no_visible_text long")
+    counts = spark.createDataFrame([("train", 2), ("test", 1)], "split string, n long")
+    assert sel.selection_violations(audit, counts).count() == 0
+    bad = audit.withColumn("deleted", F.lit(-1).cast("long")).withColumn("target_messages", F.lit(6).cast("long"))
+    assert {r[0] for r in sel.selection_violations(bad, counts.limit(1)).collect()} == {"a count is absent or negative", "counts differ from the splits", "included and excluded differ from all", "excluded differs from the reasons"}
+    names = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", None), ("t", "y")], "person string, pseudonym string")
+    assert sorted(map(tuple, sel.pseudonym_violations(names, F.lit("t")).collect())) == [("a", "name is not unique"), ("b", "name is not unique"), ("c", "no name"), ("t", "target has a pseudonym")]
 
 
 def test_artifacts_commit_to_their_rows(spark):
