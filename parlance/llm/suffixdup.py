@@ -451,7 +451,7 @@ def _passage_rows(size, shared=None):
     def run(batches):
         for batch in batches:
             texts = list(each_bytes(batch.column(0)))
-            digests = longs([digest(t) for t in texts]) if texts else None
+            own = longs([digest(t) for t in texts])[0] if texts else None
             for data, number, first in _word_blocks(texts, size):
                 owner, whole, low = word_windows(data, first, size)
                 if shared is None:
@@ -462,7 +462,7 @@ def _passage_rows(size, shared=None):
                     on = hit(shared.value, low)
                     owner, value = owner[on], whole[on]
                 if len(owner):
-                    yield pa.RecordBatch.from_arrays([pa.array(value), *(pa.array(x[number + owner]) for x in digests)], names=["w", "t1", "t2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(own[number + owner])], names=["w", "t1"])
 
     return run
 
@@ -470,27 +470,23 @@ def _passage_rows(size, shared=None):
 def shared_passages(texts: DataFrame, size: int = PASSAGE) -> DataFrame:
     """``t1, t2`` (digest) of the texts with ``size`` words in a row that another row's text has, too.
 
-    What parts words doesn't count. Windows meet by their hash of 64 bits, but only those whose
-    halves' least hash occurs in several texts, so most windows are never shuffled.
+    What parts words doesn't count. Windows meet by their hash of 64 bits, and so do texts there, but
+    only windows whose halves' least hash occurs in several texts, so most are never shuffled.
     """
-    kind, text = "w long, t1 long, t2 long", ["t1", "t2"]
-    least, most = F.min(F.struct(*text)).alias("a"), F.max(F.struct(*text)).alias("z")
-
     def in_several(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("w").agg(least, most).where("a <> z").select("w")
-
-    lows = stored(in_several(texts.mapInArrow(_passage_rows(size), kind)))
-    rows = stored(texts.mapInArrow(_passage_rows(size, broadcast_bitmap(lows, "w")), kind).distinct())
-    mixed = rows.join(in_several(rows), "w", "left_semi").select(*text).distinct()
+        return rows.groupBy("w").agg(F.min("t1").alias("a"), F.max("t1").alias("z")).where("a <> z").select("w")
 
     def long(batches):
         for batch in batches:
             some = [t for t in each_bytes(batch.column(0)) if len(t) >= 2 * size - 1 and len(t.split()) >= size]
             if some:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in longs([digest(t) for t in some])], names=text)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in longs([digest(t) for t in some])], names=["t1", "t2"])
 
-    copies = texts.mapInArrow(long, "t1 long, t2 long").groupBy(*text).agg(F.count("*").alias("m")).where("m > 1").select(*text)
-    return stored(mixed.union(copies).distinct())
+    lows = stored(in_several(texts.mapInArrow(_passage_rows(size), "w long, t1 long")))
+    rows = stored(texts.mapInArrow(_passage_rows(size, broadcast_bitmap(lows, "w")), "w long, t1 long").distinct())
+    mixed = rows.join(in_several(rows), "w", "left_semi").select("t1", F.lit(True).alias("mixed")).distinct()
+    whole = texts.mapInArrow(long, "t1 long, t2 long").groupBy("t1", "t2").agg(F.count("*").alias("m"))
+    return stored(whole.join(mixed, "t1", "left").where("m > 1 OR mixed").select("t1", "t2"))
 
 
 def _texts(bitmap):
