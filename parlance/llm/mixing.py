@@ -31,6 +31,8 @@ EVIDENCE = 5.0
 CONTRAST = 5.0
 STEPS = 40
 TOLERANCE = 1e-6
+#: What a rate's distance from 1 costs against a residual.
+RIDGE = 0.01
 TEMPERATURES = (1.0, 1.25, 1.5, 2.0, 3.0, 4.0, 8.0)
 #: The production mix: what ``labels`` marks as toxic or of low quality shall be rare.
 TARGETS = {"good": 0.90, "low": 0.07, "toxic": 0.03}
@@ -238,61 +240,68 @@ def fit_rates(scored: DataFrame, targets: list[float], steps: int = STEPS, toler
     return done
 
 
-def _thinned(posterior: Column, goal: list[float], c: list[float], most: float) -> Column:
-    rate = F.lit(1.0) - sum(((posterior[i] - F.lit(goal[i])) * F.lit(x) for i, x in enumerate(c)), F.lit(0.0))
+def _thinned(posterior: Column, c: list[float], most: float) -> Column:
+    rate = F.lit(1.0) - sum((posterior[i] * F.lit(x) for i, x in enumerate(c)), F.lit(0.0))
     return F.least(F.greatest(rate, F.lit(0.0)), F.lit(float(most)))
 
 
-def fit_thinning(scored: DataFrame, targets: list[float], most: float = 1, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[list[float], list[float]]:
-    """The goal and one vector ``c`` for :func:`_thinned`: rates in [0, most] nearest to 1 that meet the targets.
+def fit_thinning(scored: DataFrame, targets: list[float], most: float = 1, ridge: float = RIDGE, steps: int = STEPS, tolerance: float = TOLERANCE) -> list[float]:
+    """One vector ``c`` for :func:`_thinned`: rates in [0, most] whose domain totals are nearest to the targets.
 
-    ``scored`` has n_tokens and posterior. The total is left free, so the rates solve
-    ``sum(rate * tokens * (posterior - goal)) = 0`` at the least token-weighted squared distance from
-    1; at the optimum they are ``1 - (posterior - goal) . c``, cut to the bounds, and only documents
-    with more of an overfull domain than its goal are thinned. ``c`` minimises the dual, a convex
-    function: damped Newton steps, two aggregates each. If no tokens can be kept at the targets
-    (they are out of reach), ``c`` is zero and all rates are 1.
+    ``scored`` has n_tokens and posterior. The total is the largest at which no domain needs more
+    tokens than there are at rate 1, so the scarcest domain keeps all and only what is too frequent
+    is thinned. The rates minimise the squares of the domains' residuals (as shares of all tokens)
+    plus ``ridge`` times the token-weighted squared distance from 1: targets out of reach, as with
+    a classifier that is never sure, are approached and not paid for with nearly all documents.
+    At the optimum rates are ``1 - posterior . c`` cut to the bounds, where ``c`` is the residual
+    over the ridge; steps go along the projected gradient, scaled by the Gram matrix of the
+    documents that the bounds let move, and are halved until the objective falls: two aggregates
+    each. Without tokens or a positive target, ``c`` is zero and all rates are 1.
     """
-    if sum(targets) <= 0:
-        return [], []
-    goal = [t / sum(targets) for t in targets]
-    k = len(targets) - 1  # the last domain's share follows from the others
+    k = len(targets)
     n = F.col("n_tokens").cast("double")
-    q = [F.col("posterior")[i] - F.lit(goal[i]) for i in range(k)]
+    p = [F.col("posterior")[i] for i in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    start = scored.agg(F.sum(n), *[F.sum(n * x) for x in p]).first()
+    total = start[0] or 0.0
+    wanted = [(there / total, t / sum(targets)) for there, t in zip(start[1:], targets, strict=True) if t > 0] if total and sum(targets) > 0 else []
+    if not wanted:
+        return [0.0] * k
+    scale = min(there / share for there, share in wanted)
+    goal = [scale * t / sum(targets) for t in targets]
 
     def slope(c: list[float]) -> Column:
-        return F.lit(1.0) - sum((x * F.lit(v) for x, v in zip(q, c, strict=True)), F.lit(0.0))
+        return F.lit(1.0) - sum((x * F.lit(v) for x, v in zip(p, c, strict=True)), F.lit(0.0))
 
-    def dual(c: list[float]) -> Column:
+    def moved(c: list[float]) -> Column:
         x = slope(c)
-        return F.sum(n * F.when(x <= 0, 0.0).when(x <= most, x * x / 2).otherwise(x * most - most * most / 2))
+        return F.sum(n / total * F.when(x <= 0, 0.0).when(x <= most, x * x / 2).otherwise(x * most - most * most / 2))
+
+    def objective(c: list[float], sum_: float) -> float:
+        return sum_ + sum(g * x for g, x in zip(goal, c, strict=True)) + ridge / 2 * sum(x * x for x in c)
 
-    c, kept = [0.0] * k, 0.0
+    c = [0.0] * k
     for _ in range(steps):
         x = slope(c)
         rate = F.least(F.greatest(x, F.lit(0.0)), F.lit(float(most)))
-        free = F.when((x > 0) & (x <= most), n).otherwise(0.0)
-        got = scored.agg(F.sum(n), F.sum(n * rate), dual(c), *[F.sum(n * rate * x) for x in q], *[F.sum(free * q[i] * q[j]) for i, j in pairs]).first()
-        total, kept = got[0] or 0.0, got[1] or 0.0
-        if not total or kept <= 1e-9 * total:
-            return goal, [0.0] * k
-        gap = got[3 : k + 3]
-        if all(abs(g) <= tolerance * kept for g in gap):
+        free = F.when((x > 0) & (x <= most), n / total).otherwise(0.0)
+        got = scored.agg(moved(c), *[F.sum(n / total * rate * y) for y in p], *[F.sum(free * p[i] * p[j]) for i, j in pairs]).first()
+        slack = [y - g - ridge * v for y, g, v in zip(got[1 : k + 1], goal, c, strict=True)]
+        if max(map(abs, slack)) <= tolerance:
             break
         gram = [[0.0] * k for _ in range(k)]
-        for (i, j), v in zip(pairs, got[k + 3 :], strict=True):
-            gram[i][j] = gram[j][i] = v / total
-        ridge = 1e-9 * max(max(gram[i][i] for i in range(k)), 1e-9)
+        for (i, j), v in zip(pairs, got[k + 1 :], strict=True):
+            gram[i][j] = gram[j][i] = v
         inverse = _inverse([[v + ridge * (i == j) for j, v in enumerate(row)] for i, row in enumerate(gram)])
-        move = [sum(m * g / total for m, g in zip(row, gap, strict=True)) for row in inverse]
+        move = [sum(m * g for m, g in zip(row, slack, strict=True)) for row in inverse]
         tries = [[a + b * 2.0**-t for a, b in zip(c, move, strict=True)] for t in range(-2, 12)]
-        values = scored.agg(*[dual(t) for t in tries]).first()
+        sums = scored.agg(*[moved(t) for t in tries]).first()
+        values = [objective(t, s) for t, s in zip(tries, sums, strict=True)]
         least = min(range(len(tries)), key=lambda t: values[t])
-        if values[least] >= got[2]:
+        if values[least] >= objective(c, got[0]):
             break
         c = tries[least]
-    return goal, c
+    return c
 
 
 def _copies(rate: Column, key: Column) -> Column:
@@ -330,17 +339,16 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = T
     ``most`` bounds the rates and so the copies of a row: with 1 no row is repeated, and only
     documents of domains that are too frequent are thinned (see :func:`fit_thinning`). Null and
     empty texts have no tokens, and rates like any other text; rows that repeat, or whose id is
-    null, share their draw. Ties in the posterior don't matter, as it is used whole. Without labels,
-    and if no tokens can be kept at the targets, all rows stay; an empty table stays empty; columns
-    may have any name. Posteriors are computed once and written with their rows.
+    null, share their draw. Ties in the posterior don't matter, as it is used whole. Without labels
+    all rows stay; an empty table stays empty; columns may have any name. Posteriors are computed once and written with their rows.
     """
     plain = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
     model = train(plain, labelled, **options)
     if not model.domains:
         return docs
     scored = stored(with_posteriors(docs, model, text_col))
-    goal, c = fit_thinning(scored.select("n_tokens", "posterior"), [targets.get(d, 0.0) for d in model.domains], most)
-    copies = _copies(_let(F.col("posterior"), lambda p: _thinned(p, goal, c, most)), row_field(id_col))
+    c = fit_thinning(scored.select("n_tokens", "posterior"), [targets.get(d, 0.0) for d in model.domains], most)
+    copies = _copies(_let(F.col("posterior"), lambda p: _thinned(p, c, most)), row_field(id_col))
     kept = scored.select("row", copies.alias("copies")).where("copies > 0")
     if most > 1:
         kept = kept.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))

@@ -30,7 +30,7 @@ SAMPLE = 6000
 #: Words of evidence kept at most, strongest first.
 LEXICON = 8192
 #: Blocks of the sample's documents on which the field is trained, of each label, and words of a block.
-BLOCKS, BLOCK = 800, 400
+BLOCKS, BLOCK = 500, 400
 #: Word hashes by which near copies are known.
 SKETCH = 3
 STRONG = 2.5

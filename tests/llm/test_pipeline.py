@@ -54,9 +54,9 @@ def test_mix_keeps_what_a_plain_fit_keeps(spark, sf_dir):
     unit = F.pmod(F.xxhash64(F.lit("copies"), "row.doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     scored = mixing.with_posteriors(docs, model).select("row.doc_id", "n_tokens", "posterior", unit.alias("unit")).collect()
     targets = [mixing.TARGETS[d] for d in model.domains]
-    rates = brute_thinning([(r["n_tokens"], r["posterior"]) for r in scored], [t / sum(targets) for t in targets])
+    rates = brute_thinning([(r["n_tokens"], r["posterior"]) for r in scored], targets)
     due = {r["doc_id"] for r, rate in zip(scored, rates, strict=True) if rate >= r["unit"]}
     got = [r["doc_id"] for r in corpus_pipeline.mix(spark, docs, sf_dir).select("doc_id").collect()]
     assert len(got) == len(set(got)) and len(due ^ set(got)) <= 2  # rates are equal to the fit's tolerance
     clean = {r["doc_id"] for r, rate in zip(scored, rates, strict=True) if rate == 1}
-    assert clean and clean <= set(got) and len(got) > sum(rates) - 60
+    assert len(clean) > len(rates) / 2 and clean <= set(got) and len(got) > sum(rates) - 60
