@@ -24,7 +24,7 @@ MESSAGES = """
            CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN '  ' ELSE props END AS text,
            CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END AS n_att, event_type, value, user_id FROM events
 """
-TARGET, K = 7, 8
+TARGET, K = 7, 32
 VALID, TEST = 0.1, 0.2
 M = f"msg AS ({MESSAGES})"
 WHY = "CASE WHEN deleted_at IS NOT NULL THEN 'deleted' WHEN edited_at IS NOT NULL THEN 'edited' WHEN n_att > 0 THEN 'attachment' WHEN text IS NULL THEN 'no_text' WHEN trim(text) = '' THEN 'no_visible_text' END"
