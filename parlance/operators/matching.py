@@ -1,30 +1,91 @@
 """Long matches between candidate texts and training texts, by windows of characters.
 
-Training windows of SEED characters are sampled so sparsely that a match of ``threshold`` still
-holds one whole; pairs of texts that share a seed are then compared by all their windows of
-``threshold`` characters. Windows that follow each other in both texts are one match: its length is
-the length of that run plus ``threshold`` - 1. Texts are never compared pair by pair, and no text
-travels with its windows.
+Windows of ``threshold`` characters that both sides have are paired into windows twice as long, again
+and again; each candidate then looks for the longest string that starts and ends with its longest
+windows. All joins are semi-joins with distinct windows, so texts never meet pair by pair, however
+many share a passage, and no text travels with its windows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from parlance.functions.text import windows
 from parlance.plans.durable import materialized
 
 SEED = 16
-PIECE = 1024
+#: Characters that a task hashes at once, windows that it hands on at once.
+BLOCK = 1 << 16
+ROWS = 1 << 17
+PRIME = (1 << 31) - 1
+BASES = (48271, 69621, 1000003, 16777619)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """``base`` to the powers 0 to ``n`` - 1 in the prime field, doubled piece by piece."""
+    out = np.ones(n, np.uint64)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * np.uint64(pow(base, done, PRIME)) % PRIME
+        done += more
+    return out
+
+
+def window_hasher(size: int):
+    """A function that gives two 62-bit hashes of each window of ``size`` in an array of code points."""
+    up = [powers(b, BLOCK + size) for b in BASES]
+    down = [powers(pow(b, -1, PRIME), BLOCK + size) for b in BASES]
+
+    def hashes(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, found = len(chars) - size + 1, []
+        for u, d in zip(up, down):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(chars * u[: len(chars)] % PRIME)])
+            # the sum of a window counts its place as a power, which the inverse power takes out
+            found.append(((sums[size:] - sums[:-size]) % PRIME * d[:n] % PRIME).astype(np.int64))
+        return found[0] << 31 | found[1], found[2] << 31 | found[3]
+
+    return hashes
 
 
 def positioned(texts: DataFrame, ident: str, text: str, size: int, stride: int = 1) -> DataFrame:
-    """``ident, pos, h1, h2``: a 128-bit digest of the window at each (sampled) position from 0."""
-    pieces = texts.select(F.col(ident), F.posexplode(windows(F.col(text), size, PIECE)).alias("_p", "_w"))
-    each = pieces.select(ident, "_p", F.posexplode("_w").alias("_i", "w")).select(ident, (F.col("_p").cast("long") * PIECE + F.col("_i")).alias("pos"), "w")
-    kept = each if stride == 1 else each.where(F.col("pos") % stride == 0)
-    return kept.select(ident, "pos", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(7), "w").alias("h2"))
+    """``ident, pos, h1, h2``: a 124-bit digest of the window at each (sampled) position from 0; null and short texts have none."""
+    schema = StructType([texts.schema[ident], *[StructField(n, LongType()) for n in ("pos", "h1", "h2")]])
+
+    def blocks(batches):
+        hashes = window_hasher(size)
+        for batch in batches:
+            ids = batch.column(0)
+            for i, value in enumerate(batch.column(1)):
+                chars = np.frombuffer((value.as_py() or "").encode("utf-32-le"), np.uint32)
+                for start in range(0, len(chars) - size + 1, BLOCK):
+                    h1, h2 = hashes(chars[start : start + BLOCK + size - 1].astype(np.uint64))
+                    pos = np.arange(start, start + len(h1))
+                    kept = pos % stride == 0
+                    yield ids, np.full(kept.sum(), i), pos[kept], h1[kept], h2[kept]
+
+    def each(batches):
+        held, rows, column = [], 0, None
+        for ids, *arrays in blocks(batches):
+            if held and (rows >= ROWS or ids is not column):
+                yield packed(column, held)
+                held, rows = [], 0
+            column, rows = ids, rows + len(arrays[0])
+            held.append(arrays)
+        if held:
+            yield packed(column, held)
+
+    def packed(ids, held):
+        at, *columns = (np.concatenate(a) for a in zip(*held))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *map(pa.array, columns)], names=schema.names)
+
+    return texts.select(ident, text).mapInArrow(each, schema)
 
 
 def seed_pairs(candidates: DataFrame, training: DataFrame, threshold: int) -> DataFrame:
@@ -37,16 +98,57 @@ def seed_pairs(candidates: DataFrame, training: DataFrame, threshold: int) -> Da
     return probes.join(index, ["h1", "h2"]).select("cand_id", "train_id").distinct()
 
 
+def doubled(hits: DataFrame, size: int) -> DataFrame:
+    """Windows of twice ``size`` characters, where both halves are among ``hits``."""
+    ends = hits.select("id", (F.col("pos") - size).alias("pos"), F.col("h1").alias("e1"), F.col("h2").alias("e2"))
+    return hits.join(ends, ["id", "pos"]).select("id", "pos", F.xxhash64("h1", "h2", "e1", "e2").alias("h1"), F.xxhash64(F.lit(7), "h1", "h2", "e1", "e2").alias("h2"))
+
+
+def shared_levels(c: DataFrame, t: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """``size, id, pos, h1, h2`` of both sides: windows of ``size``, twice, four times ... that the other side has too.
+
+    A text of the left side has rows of its largest size only.
+    """
+    found = []
+    while True:
+        # the distinct windows are a table, so Spark knows their size and broadcasts few, shuffles many
+        c = materialized(c.join(materialized(t.select("h1", "h2").distinct()), ["h1", "h2"], "left_semi").select("id", "pos", "h1", "h2"))
+        t = materialized(t.join(materialized(c.select("h1", "h2").distinct()), ["h1", "h2"], "left_semi").select("id", "pos", "h1", "h2"))
+        found.append((size, c, t))
+        if c.isEmpty():
+            break
+        c, t, size = doubled(c, size), doubled(t, size), 2 * size
+    left = [a.join(b.select("id").distinct(), "id", "left_anti").withColumn("size", F.lit(n)) for (n, a, _), (_, b, _) in zip(found, found[1:])]
+    right = [t.withColumn("size", F.lit(n)) for n, _, t in found]
+    return reduce(DataFrame.unionByName, left, found[-1][1].withColumn("size", F.lit(size))), reduce(DataFrame.unionByName, right)
+
+
 def longest_matches(candidates: DataFrame, training: DataFrame, threshold: int) -> DataFrame:
-    """``cand_id, longest`` for every candidate: the longest common run of ``threshold`` characters or more, else 0."""
-    pairs = materialized(seed_pairs(candidates, training, threshold))
-    c = positioned(candidates.join(pairs.select("cand_id").distinct(), "cand_id", "left_semi"), "cand_id", "norm", threshold)
-    t = positioned(training.join(pairs.select("train_id").distinct(), "train_id", "left_semi"), "train_id", "norm", threshold).withColumnRenamed("pos", "t_pos")
-    hits = c.join(t, ["h1", "h2"]).select("cand_id", "train_id", "pos", (F.col("pos") - F.col("t_pos")).alias("diagonal"))
-    # on a diagonal, positions that follow each other keep their distance to their rank
-    line = Window.partitionBy("cand_id", "train_id", "diagonal").orderBy("pos")
-    runs = hits.withColumn("run", F.col("pos") - F.row_number().over(line)).groupBy("cand_id", "train_id", "diagonal", "run").agg(F.count("*").alias("n"))
-    best = runs.groupBy("cand_id").agg((F.max("n") + threshold - 1).cast("long").alias("longest"))
+    """``cand_id, longest`` for every candidate: the longest common run of ``threshold`` characters or more, else 0.
+
+    Of a candidate's largest windows two, the second ``d`` positions on, hold all characters of a string of
+    size + ``d``; that a training text has the same two in the same distance is true up to the longest match
+    and false beyond, so ``d`` is found by bisection for all candidates at once. The first ``d`` tried is the
+    length of the longest run of windows, mostly the answer. Null and short texts match nothing.
+    """
+    c, t = (positioned(x, i, "norm", threshold).withColumnRenamed(i, "id") for x, i in ((candidates, "cand_id"), (training, "train_id")))
+    c, t = (materialized(x) for x in shared_levels(c, t, threshold))
+    line = Window.partitionBy("id").orderBy("pos")
+    runs = c.withColumn("run", F.col("pos") - F.row_number().over(line)).groupBy("id", "size", "run").agg(F.count("*").alias("n"))
+    most = F.least(F.max("n"), F.col("size")) - 1
+    state = materialized(runs.groupBy("id", "size").agg(F.lit(0).cast("long").alias("lo"), most.cast("long").alias("hi")).withColumn("d", F.col("hi")))
+    key = ["size", "d", "h1", "h2"]
+    while not (tried := state.where("lo < hi").select("id", "size", "d")).isEmpty():
+        ends = lambda x: x.select("size", "id", F.col("pos").alias("end"), F.col("h1").alias("e1"), F.col("h2").alias("e2"))
+        probes = c.join(tried, ["id", "size"]).withColumn("end", F.col("pos") + F.col("d")).join(ends(c), ["size", "id", "end"])
+        probes = materialized(probes.select("id", *key, "e1", "e2"))
+        starts = t.join(probes.select(key).distinct(), ["size", "h1", "h2"]).withColumn("end", F.col("pos") + F.col("d"))
+        there = starts.join(ends(t), ["size", "id", "end"]).select(*key, "e1", "e2").distinct()
+        held = probes.join(there, [*key, "e1", "e2"], "left_semi").select("id", F.lit(True).alias("held")).distinct()
+        lo, hi = F.when(F.col("held"), F.col("d")).otherwise(F.col("lo")), F.when(F.col("held") | (F.col("lo") == F.col("hi")), F.col("hi")).otherwise(F.col("d") - 1)
+        state = state.join(held, "id", "left").select("id", "size", lo.alias("lo"), hi.alias("hi"))
+        state = materialized(state.withColumn("d", F.expr("(lo + hi + 1) div 2")))
+    best = state.select(F.col("id").alias("cand_id"), (F.col("size") + F.col("lo")).alias("longest"))
     return candidates.select("cand_id").join(best, "cand_id", "left").select("cand_id", F.coalesce("longest", F.lit(0)).cast("long").alias("longest"))
 
 

@@ -88,6 +88,23 @@ def test_longest_match_equals_difflib(spark):
     assert exact == {i for i, x in enumerate(cand) if x and x in train}
 
 
+def test_longest_match_of_one_passage_in_all_texts_and_of_chance_runs(spark):
+    """A passage that all texts share, texts of two letters (runs of windows from several texts), nulls and doubled lengths."""
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    passage = noise(45)
+    train = [noise(30) + passage + noise(30) for _ in range(12)] + ["z" * 70, "", None, "0123456789" * 4]
+    cand = [noise(30) + passage + noise(30) for _ in range(25)] + [noise(90) for _ in range(10)]
+    cand += ["z" * n for n in (7, 8, 9, 15, 16, 17, 70, 71, 200)] + ["", None, "0123456789" * 4, passage[:20] + "z" * 40]
+    c = spark.createDataFrame(list(enumerate(cand)), "cand_id int, norm string")
+    t = spark.createDataFrame(list(enumerate(train)), "train_id int, norm string")
+    got = {r["cand_id"]: r["longest"] for r in mt.longest_matches(c, t, 8).collect()}
+    for i, x in enumerate(cand):
+        best = max(difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).find_longest_match().size for y in train)
+        assert got[i] == (best if best >= 8 else 0), i
+    assert mt.longest_matches(c, t.where("false"), 8).where("longest > 0").isEmpty() and mt.longest_matches(c.where("false"), t, 8).isEmpty()
+
+
 def test_normalize_text(spark):
     texts = ["Straße ﬁn", "ΑΣ", "  a\x1cB ", "", "İx", None]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
