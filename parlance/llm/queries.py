@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import decontam, exactdup, langid, licenses, mixing, sharding, simhash, suffixdup, toolcalls, toxicity
+from parlance.llm import decontam, embeddups, exactdup, langid, licenses, mixing, sharding, simhash, suffixdup, toolcalls, toxicity, whitening
 from parlance.llm.common import table
 
 
@@ -49,9 +49,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddups.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_langid, op3_decontaminate, op4_exact_dedup, op5_repeated_spans, op6_toxicity, op7_mixing, op8_licenses, op9_tool_calls, op10_sharding)
+    for f in (op1_simhash, op2_langid, op3_decontaminate, op4_exact_dedup, op5_repeated_spans, op6_toxicity, op7_mixing, op8_licenses, op9_tool_calls, op10_sharding, op11_embedding_dedup, op12_whitening)
 }
 
 ORACLE_SQL = {
@@ -62,4 +70,5 @@ ORACLE_SQL = {
     """,
     "op8_licenses": licenses.oracle_sql(),
     "op9_tool_calls": toolcalls.ORACLE_SQL,
+    "op11_embedding_dedup": embeddups.ORACLE_SQL,
 }
