@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import decontam, embeddups, exactdup, langid, licenses, mixing, sharding, simhash, suffixdup, toolcalls, toxicity, whitening
+from parlance.llm import decontam, embeddups, exactdup, langid, licenses, mixing, search, sharding, simhash, suffixdup, toolcalls, toxicity, whitening
 from parlance.llm.common import table
 
 
@@ -57,9 +57,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_langid, op3_decontaminate, op4_exact_dedup, op5_repeated_spans, op6_toxicity, op7_mixing, op8_licenses, op9_tool_calls, op10_sharding, op11_embedding_dedup, op12_whitening)
+    for f in (op1_simhash, op2_langid, op3_decontaminate, op4_exact_dedup, op5_repeated_spans, op6_toxicity, op7_mixing, op8_licenses, op9_tool_calls, op10_sharding, op11_embedding_dedup, op12_whitening, op13_search)
 }
 
 ORACLE_SQL = {
@@ -71,4 +75,5 @@ ORACLE_SQL = {
     "op8_licenses": licenses.oracle_sql(),
     "op9_tool_calls": toolcalls.ORACLE_SQL,
     "op11_embedding_dedup": embeddups.ORACLE_SQL,
+    "op13_search": search.ORACLE_SQL,
 }
