@@ -22,7 +22,7 @@ SCALE, SHIFT = 64, 1_000_000
 #: Entries beyond this, scaled, are set to it, so that sums of squares stay within doubles' whole numbers.
 LARGEST = 1 << 46
 COMPONENTS = 16
-#: Partial results that one task merges, and a stage's results that one task takes over at last.
+#: Partial results that one task merges, about.
 FAN_IN = 16
 #: Standard deviations below this share of the largest are rounding, not variance.
 RANK = 1e-12
@@ -45,8 +45,7 @@ def _merged(parts: DataFrame, merge, schema: str):
     n = parts.count()
     while n > 1:
         n = -(-n // FAN_IN)
-        # numbered anew each time, so that each task gets FAN_IN of them, whatever tasks they came from
-        parts = stored(parts.groupBy((F.col("at") % n).alias("at")).applyInArrow(merge, schema))
+        parts = stored(parts.withColumn("at", F.col("at") % n).groupBy("at").applyInArrow(merge, schema))
         n = parts.count()
     return parts.first()
 

@@ -149,6 +149,16 @@ def test_whitening_against_covariance(spark):
     check_whitening(whitening.whiten(df.repartition(23)).collect(), vectors)
 
 
+def test_whitening_merges_many_parts(spark):
+    rng = np.random.default_rng(2)
+    x = np.floor(rng.normal(size=(700, 9)) * 50).astype(int) + 1_000_000
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "x array<long>").repartition(100)
+    model, d = whitening.fit(df, 9), x - x.mean(axis=0)
+    values = np.linalg.eigvalsh(d.T @ d / 700)[::-1]
+    assert model.n == 700 and np.allclose(model.explained, values / values.sum(), rtol=1e-9)
+    assert whitening.identity_error(df, model, 9) < 1e-9
+
+
 def test_whitening_of_whole_table(spark, sf_dir):
     t = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
     check_whitening(QUERIES["op12_whitening"](spark, sf_dir).collect(), [(r["vec_id"], r["embedding"], r["label"]) for r in t])
