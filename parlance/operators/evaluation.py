@@ -153,57 +153,6 @@ def incremental_memorization(policy: Column, base: Column, reference: Column) ->
     return F.greatest(F.lit(0.0), policy - F.greatest(base, reference))
 
 
-# The distribution function of a Poisson number with mean 1.
-POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999898032318967)
-
-
-def unit_hash(*parts: Column | str) -> Column:
-    """A number in [0, 1) that depends on the parts only."""
-    joined = F.concat_ws(":", *[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
-    return F.conv(F.substring(F.md5(joined), 1, 8), 16, 10).cast("double") / float(1 << 32)
-
-
-def poisson_weight(*parts: Column | str) -> Column:
-    """How often a resampling with hashed draws takes what the parts name."""
-    draw = unit_hash(*parts)
-    return sum(((draw >= c).cast("int") for c in POISSON), F.lit(0))
-
-
-def interval_ends(estimates: Column, confidence: float) -> tuple[Column, Column]:
-    """The ends of an interval in an array of estimates, by nearest rank; null if there are none."""
-    tail, n = (1.0 - confidence) / 2, F.size(estimates)
-    ranked = F.array_sort(estimates)
-    return tuple(F.get(ranked, F.least(n - 1, F.floor(n * F.lit(x)).cast("int"))) for x in (tail, 1.0 - tail))
-
-
-def bootstrap_interval(values: DataFrame, samples: int = 200, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """One row ``value, lower, upper`` of the mean of (example_id, delta), by a Poisson bootstrap.
-
-    An example's weight in a sample is a Poisson number from a hash of seed, sample and example, so
-    samples need no common random stream and are summed side by side before the shuffle.
-    """
-    each = values.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    weighted = each.withColumn("w", poisson_weight(str(seed), F.col("sample"), F.col("example_id")))
-    sums = weighted.groupBy("sample").agg((F.sum(F.col("w") * F.col("delta")) / F.sum("w")).alias("m"))
-    found = sums.agg(F.collect_list(F.coalesce("m", F.lit(0.0))).alias("s"))  # ``samples`` numbers
-    low, high = interval_ends(F.col("s"), confidence)
-    return values.agg(F.avg("delta").alias("value")).crossJoin(found).select("value", low.alias("lower"), high.alias("upper"))
-
-
-def drawn_interval(values: DataFrame, samples: int = 200, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """The same with exactly as many draws as there are values in every sample.
-
-    ``values``: idx (from 0, without gaps), delta. A draw's index is a hash of seed, sample and
-    draw; draws meet the values in a join on it, so neither is ever one group.
-    """
-    n = values.count()
-    draws = values.sparkSession.range(samples * n).select(F.floor(F.col("id") / max(n, 1)).alias("sample"), (F.col("id") % max(n, 1)).alias("draw"))
-    drawn = draws.withColumn("idx", F.floor(unit_hash(str(seed), F.col("sample"), F.col("draw")) * n))
-    means = drawn.join(values.select("idx", "delta"), "idx").groupBy("sample").agg(F.avg("delta").alias("m"))
-    low, high = interval_ends(F.col("s"), confidence)
-    return values.agg(F.avg("delta").alias("value")).crossJoin(means.agg(F.collect_list("m").alias("s"))).select("value", low.alias("lower"), high.alias("upper"))
-
-
 def by_example(predictions: DataFrame, example: str, *columns: str) -> DataFrame:
     """Per example its outputs as an array in the order of the columns."""
     return predictions.groupBy(example).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("outputs"))

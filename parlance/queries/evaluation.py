@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
 from parlance.operators import evaluation as ev
+from parlance.operators import resampling as rs
 from parlance.operators import matching as mt
 from parlance.plans.durable import materialized
 from parlance.queries.registry import query, table
@@ -265,25 +266,27 @@ def run_delta_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ev.run_delta_range(deltas(spark, sf_dir)), "lowest", "highest")
 
 
-SAMPLES = 100
-WEIGHT = " + ".join(f"CAST(u >= {c} AS INT)" for c in ev.POISSON)
-UNIT = "CAST('0x' || substr(md5('42:' || b || ':' || {}), 1, 8) AS BIGINT) / 4294967296.0"
-BOOT = f"w AS (SELECT b, delta, {UNIT.format('example_id')} AS u FROM pd, range({SAMPLES}) r(b)), e AS (SELECT b, sum(({WEIGHT}) * delta) / sum({WEIGHT}) AS m FROM w GROUP BY b), boot AS (SELECT round((SELECT avg(delta) FROM pd), 6) AS value, round(l[3], 6) AS lower, round(l[98], 6) AS upper FROM (SELECT list_sort(list(m)) AS l FROM e))"
+#: The values with their weights in all samples; the ends are those of the sorted means.
+BOOT = f"""
+    w AS ({rs.sql_weights(f"SELECT {rs.sql_key(42, 'example', 'example_id')} AS key, delta FROM pd", f"SELECT b FROM range({rs.SAMPLES}) r(b)")}),
+    e AS (SELECT b, CASE WHEN sum(w) > 0 THEN sum(w * delta) / sum(w) ELSE 0 END AS m FROM w GROUP BY b),
+    boot AS (SELECT round((SELECT avg(delta) FROM pd), 6) AS value, round(l[{rs.SAMPLES // 40 + 1}], 6) AS lower, round(l[{rs.SAMPLES * 39 // 40 + 1}], 6) AS upper FROM (SELECT list_sort(list(m)) AS l FROM e))
+"""
 
 
 @query(f"WITH {DELTAS}, {BOOT} SELECT * FROM boot")
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ev.bootstrap_interval(ev.policy_deltas(deltas(spark, sf_dir)), samples=SAMPLES), "value", "lower", "upper")
+    return rounded(rs.bootstrap_interval(ev.policy_deltas(deltas(spark, sf_dir))), "value", "lower", "upper")
 
 
-@query(f"WITH {DELTAS}, x AS (SELECT row_number() OVER (ORDER BY example_id) - 1 AS idx, delta FROM pd), n AS (SELECT count(*) AS n FROM pd), dr AS (SELECT b, CAST(floor({UNIT.format('i')} * n) AS BIGINT) AS idx FROM n, range(20) r(b), (SELECT unnest(range(n)) AS i FROM n) q), e AS (SELECT b, avg(delta) AS m FROM dr JOIN x USING (idx) GROUP BY b) SELECT round((SELECT avg(delta) FROM pd), 6) AS value, round(l[1], 6) AS lower, round(l[20], 6) AS upper FROM (SELECT list_sort(list(m)) AS l FROM e)")
+@query()
 def bootstrap_interval_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many draws a sample as there are examples."""
+    """As many draws a sample as there are examples; by random streams that SQL lacks."""
     from parlance.plans.ordering import global_rank
 
     ranked = global_rank(ev.policy_deltas(deltas(spark, sf_dir)), [F.col("example_id")], "idx")
     values = materialized(ranked.select((F.col("idx") - 1).alias("idx"), "delta"))
-    return rounded(ev.drawn_interval(values, samples=20), "value", "lower", "upper")
+    return rounded(rs.drawn_interval(values), "value", "lower", "upper")
 
 
 ID = "sha256('{\"dataset_id\":\"d\",\"index\":' || doc_id || ',\"prompt_digest\":\"' || sha256(text) || '\",\"split\":\"valid\"}')"
@@ -381,7 +384,7 @@ def evaluate_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole report of one policy: likelihood, interval, rates, gates, as one row."""
     s = materialized(scores(spark, sf_dir))
     d = ev.policy_deltas(ev.paired_deltas(s, F.lit(1)))
-    interval = rounded(ev.bootstrap_interval(d, samples=SAMPLES), "value", "lower", "upper")
+    interval = rounded(rs.bootstrap_interval(d), "value", "lower", "upper")
     rates = rounded(ev.behavior_rates(flags(spark, sf_dir)), *RATES.values(), places=9)
     whole = materialized(rounded(ev.likelihood(s.where("run <> 1")), *MEASURES).crossJoin(interval).crossJoin(rates))
     limits = {"empty_rate": 0.02, "format_violation_rate": 0.02, "truncation_rate": 0.03}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.operators import evaluation as ev
 from parlance.operators import panel as pn
+from parlance.operators import resampling as rs
 from parlance.plans.durable import materialized
 from parlance.queries.evaluation import rounded
 from parlance.queries.registry import query, table
@@ -104,22 +104,31 @@ def ballot_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pn.ballot_schedule(items, raters, 3, SEED, PER_RATER, 0.2)
 
 
-def _weight(name: str) -> str:
-    return "(" + " + ".join(f"CAST(CAST('0x' || substr(md5('{SEED}:{name}:' || b || ':' || {name}_id), 1, 8) AS BIGINT) / 4294967296.0 >= {c} AS INT)" for c in ev.POISSON) + ")"
+def _sums(rows: str, attempt: int) -> str:
+    """Weighted answers of every dimension and sample of ``rows`` (dimension, b), drawn for the n-th time."""
+    at = f"SELECT DISTINCT b + {attempt * rs.SAMPLES} AS b FROM ({rows})"
+    example = rs.sql_weights(f"SELECT DISTINCT example_id, {rs.sql_key(SEED, 'example', 'example_id')} AS key FROM cell", at)
+    rater = rs.sql_weights(f"SELECT DISTINCT rater_id, {rs.sql_key(SEED, 'rater', 'rater_id')} AS key FROM cell", at)
+    return f"""SELECT r.dimension, r.b, sum(x.w * y.w * yes) AS y, sum(x.w * y.w * n) AS n FROM ({rows}) r JOIN cell USING (dimension)
+        JOIN ({example}) x ON x.example_id = cell.example_id AND x.b = r.b + {attempt * rs.SAMPLES}
+        JOIN ({rater}) y ON y.rater_id = cell.rater_id AND y.b = r.b + {attempt * rs.SAMPLES} GROUP BY ALL"""
 
 
-SAMPLES = 50
+#: Samples that are empty are drawn again; what is still empty after so many draws would show as a difference.
+DRAWS = 8
+ALL_SAMPLES = f"SELECT dimension, b FROM (SELECT DISTINCT dimension FROM cell), range({rs.SAMPLES}) t(b)"
+ROUNDS = ", ".join(f"d{i} AS ({_sums(ALL_SAMPLES if not i else f'SELECT dimension, b FROM d{i - 1} WHERE n = 0', i)})" for i in range(DRAWS))
 CLUSTERS = f"""
-    {J}, cell AS (SELECT dimension, example_id, rater_id, count(*) FILTER (WHERE choice = 'policy') AS yes, count(*) FILTER (WHERE choice IN ('policy', 'base')) AS n FROM j GROUP BY ALL),
-    w AS (SELECT dimension, b, yes, n, {_weight("example")} * {_weight("rater")} AS w FROM cell, range({SAMPLES}) t(b) WHERE n > 0),
-    e AS (SELECT dimension, list_sort(list(y / n)) AS s FROM (SELECT dimension, b, sum(w * yes) AS y, sum(w * n) AS n FROM w GROUP BY ALL HAVING sum(w * n) > 0) GROUP BY dimension),
-    v AS (SELECT dimension, sum(yes) / nullif(sum(n), 0) AS value, count(DISTINCT example_id) AS examples, count(DISTINCT rater_id) AS raters FROM cell GROUP BY dimension),
+    {J}, every AS (SELECT dimension, example_id, rater_id, count(*) FILTER (WHERE choice = 'policy') AS yes, count(*) FILTER (WHERE choice IN ('policy', 'base')) AS n FROM j GROUP BY ALL),
+    cell AS (SELECT * FROM every WHERE n > 0), {ROUNDS},
+    e AS (SELECT dimension, list_sort(list(y / n)) AS s FROM ({" UNION ALL ".join(f"SELECT * FROM d{i} WHERE n > 0" for i in range(DRAWS))}) GROUP BY dimension),
+    v AS (SELECT dimension, sum(yes) / nullif(sum(n), 0) AS value, count(DISTINCT example_id) AS examples, count(DISTINCT rater_id) AS raters FROM every GROUP BY dimension),
     ci AS (SELECT dimension, round(value, 9) AS value, round(coalesce(s[CAST(least(len(s) - 1, floor(len(s) * 0.025)) AS INTEGER) + 1], value), 9) AS lower, round(coalesce(s[CAST(least(len(s) - 1, floor(len(s) * 0.975)) AS INTEGER) + 1], value), 9) AS upper, examples, raters FROM v LEFT JOIN e USING (dimension))
 """
 
 
 def clusters(j: DataFrame) -> DataFrame:
-    return rounded(pn.cluster_interval(j, "policy", "base", "dimension", SAMPLES, 0.95, SEED), "value", "lower", "upper", places=9)
+    return rounded(rs.cluster_interval(j, "policy", "base", "dimension", seed=SEED), "value", "lower", "upper", places=9)
 
 
 @query(f"WITH {CLUSTERS} SELECT * FROM ci")

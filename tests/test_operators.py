@@ -8,6 +8,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from parlance.operators import context as cx
 from parlance.operators import evaluation as ev
 from parlance.operators import matching as mt
 from parlance.operators import panel as pn
+from parlance.operators import resampling as rs
 from parlance.operators import selection as sel
 from parlance.operators import transcripts as tr
 from parlance.plans.durable import fresh_path
@@ -54,6 +56,33 @@ def test_last_k_is_causal(spark, seed):
         assert {(r["target_id"], r["nth"]): r["id"] for r in f(messages, tdf, 5).collect()} == want
 
 
+def test_last_k_carries_chats_over_ranges(spark):
+    """One chat fills many ranges, others share some; ids are texts, targets come without bounds."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(1500):
+        sent = rng.randrange(400)
+        edited = sent + rng.choice([0, 5, 200, 2000]) if rng.random() < 0.3 else None
+        deleted = sent + rng.choice([1, 900]) if rng.random() < 0.2 else None
+        rows.append((f"m{i}", "hot" if rng.random() < 0.7 else rng.choice("abc"), sent, edited, deleted))
+    df = spark.createDataFrame([(i, c, at(s), at(e), at(d)) for i, c, s, e, d in rows] + [("none", None, at(1), None, None), (None, "hot", at(1), None, None)], "id string, chat string, sent_at timestamp, edited_at timestamp, deleted_at timestamp")
+    targets = [(j, rng.choice(["hot", "hot", "a", "b", "empty"]), rng.randrange(420)) for j in range(150)]
+    tdf = spark.createDataFrame([(t, c, at(x)) for t, c, x in targets], "target_id int, chat string, at timestamp")
+    want = {}
+    for t, c, x in targets:
+        seen = [(s, i) for i, c2, s, e, d in rows if c2 == c and max(y for y in (s, e, d) if y is not None) < x]
+        want |= {(t, nth): i for nth, (_, i) in enumerate(sorted(seen, reverse=True)[:32], 1)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = cx.last_k(df, tdf, 32)
+        assert {(r["target_id"], r["nth"]): r["id"] for r in got.collect()} == want
+        assert cx.last_k(df.limit(0), tdf, 32).count() == 0 and cx.last_k(df, tdf.limit(0), 32).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_global_rank_has_no_gaps(spark):
     df = spark.range(500).select(F.pmod(F.col("id") * 7919, F.lit(500)).alias("x"))
     got = global_rank(df, [F.col("x")]).collect()
@@ -152,12 +181,16 @@ def test_likelihood_weighs_examples_or_tokens(spark):
     assert r["macro_mean_nll"] == 2.0 and r["corpus_mean_nll"] == pytest.approx(2.8)
 
 
-def unit(*parts):
-    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2**32
+def mixed(x):
+    for _ in range(2):
+        x = (x ^ x >> 16) * rs.FACTOR & 0xFFFFFFFF
+    return x ^ x >> 16
 
 
-def poisson(*parts):
-    return sum(unit(*parts) >= c for c in ev.POISSON)
+def poisson(seed, name, x, sample):
+    key = int(hashlib.md5(f"{seed}:{name}:{x}".encode()).hexdigest()[:8], 16)
+    drawn = mixed((mixed(key ^ mixed(sample + 1)) + key) & 0xFFFFFFFF)
+    return sum(drawn >= int(c * 2**32) for c in rs.POISSON)
 
 
 def ends(found, confidence=0.95):
@@ -165,30 +198,73 @@ def ends(found, confidence=0.95):
     return tuple(found[min(len(found) - 1, int(x * len(found)))] for x in (tail, 1 - tail))
 
 
+def test_poisson_weights_have_mean_and_variance_one():
+    w = rs.poisson_weights(np.arange(1000) * 7919, np.arange(1000))
+    assert abs(w.mean() - 1) < 0.005 and abs(w.var() - 1) < 0.01
+    assert abs(np.corrcoef(w[:-1].ravel(), w[1:].ravel())[0, 1]) < 0.005 and abs(np.corrcoef(w[:, :-1].ravel(), w[:, 1:].ravel())[0, 1]) < 0.005
+
+
+def test_bootstrap_interval_equals_plain_sums(spark):
+    x = {f"e{i}": (i * 37 % 11) / 4 for i in range(40)}
+    df = spark.createDataFrame([*x.items(), ("null", None)], "example_id string, delta double").repartition(7)
+    found = []
+    for b in range(90):
+        w = {e: poisson(5, "example", e, b) for e in x}
+        found.append(sum(w[e] * d for e, d in x.items()) / sum(w.values()))
+    r = rs.bootstrap_interval(df, 90, 0.9, 5).first()
+    assert tuple(r) == pytest.approx((sum(x.values()) / 40, *ends(found, 0.9)))
+    assert tuple(rs.bootstrap_interval(df.limit(0), 9).first()) == (None, None, None)
+
+
+def deal(n, rows, samples, seed):
+    """The draws of all blocks, by one recursion from the top."""
+    def down(low, high, draws):
+        if high - low == 1:
+            return [draws]
+        middle = (low + high) // 2
+        size = lambda a, b: min(b * rows, n) - a * rows
+        left = np.random.default_rng([seed, low, high]).binomial(draws, size(low, middle) / size(low, high))
+        return down(low, middle, left) + down(middle, high, draws - left)
+
+    return np.array(down(0, -(-n // rows), np.full(samples, n)))
+
+
 def test_drawn_interval_is_a_resampling(spark):
-    x = [0.5, -1.0, 2.0, 0.25]
-    df = spark.createDataFrame(list(enumerate(x)), "idx long, delta double")
-    means = [sum(x[int(unit(42, b, i) * 4)] for i in range(4)) / 4 for b in range(50)]
-    r = ev.drawn_interval(df, samples=50).first()
-    assert (r["value"], r["lower"], r["upper"]) == pytest.approx((0.4375, *ends(means)))
-    assert tuple(ev.drawn_interval(df.limit(0), samples=5).first()) == (None, None, None)
+    rng, n, rows, samples = np.random.default_rng(8), 1003, 100, 400
+    x = rng.normal(size=n)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "idx long, delta double").repartition(5)
+    draws = deal(n, rows, samples, 42)
+    assert (draws.sum(axis=0) == n).all() and all((draws[i] == rs.draws_of_block(n, i, samples, 42, rows)).all() for i in range(11))
+    means = np.zeros(samples)
+    for i in range(11):
+        own, part = np.random.default_rng([42, i]), x[i * rows : (i + 1) * rows]
+        for b in range(samples):
+            means[b] += part[own.integers(0, len(part), draws[i][b])].sum() / n
+    assert tuple(rs.drawn_interval(df, samples, block=rows).first()) == pytest.approx((x.mean(), *ends(means.tolist())))
+    # the spread of the means is that of a resampling, and draws add up to the rows
+    assert means.std() == pytest.approx(x.std() / n**0.5, rel=0.12)
+    assert tuple(rs.drawn_interval(df.withColumn("delta", F.lit(1.0)), 50, block=rows).first()) == (1.0, 1.0, 1.0)
+    assert tuple(rs.drawn_interval(df.limit(0), samples=5).first()) == (None, None, None)
 
 
 def test_cluster_interval_equals_plain_sums(spark):
-    """Examples and raters are drawn together; a group without a decisive answer has no rate."""
-    rng = random.Random(2)
+    """Examples and raters are drawn together, again where nothing is decided; a group without a decisive answer has no rate."""
+    rng, samples = random.Random(2), 60
     rows = [("d", e, r, rng.choice(["policy", "base", "tie"])) for e in range(9) for r in range(4) if rng.random() < 0.7] + [("none", 1, 1, "tie")]
-    df = spark.createDataFrame(rows, "dimension string, example_id long, rater_id long, choice string")
-    got = {r["dimension"]: tuple(r)[1:] for r in pn.cluster_interval(df, "policy", "base", "dimension", 60, 0.9, 3).collect()}
-    found = []
-    for b in range(60):
-        w = [(poisson(3, "example", b, e) * poisson(3, "rater", b, r), c) for d, e, r, c in rows if d == "d"]
-        n = sum(x for x, c in w if c != "tie")
-        if n:
+    rows += [("one", e, 7, rng.choice(["policy", "base"])) for e in range(5)]  # a third of its samples are empty
+    df = spark.createDataFrame(rows, "dimension string, example_id long, rater_id long, choice string").repartition(3)
+    got = {r["dimension"]: tuple(r)[1:] for r in rs.cluster_interval(df, "policy", "base", "dimension", samples, 0.9, 3).collect()}
+    for name in ("d", "one"):
+        found = []
+        for b in range(samples):
+            n = 0
+            while not n:
+                w = [(poisson(3, "example", e, b) * poisson(3, "rater", r, b), c) for d, e, r, c in rows if d == name]
+                n, b = sum(x for x, c in w if c != "tie"), b + samples
             found.append(sum(x for x, c in w if c == "policy") / n)
-    cells = [c for d, _, _, c in rows if d == "d" and c != "tie"]
-    mine = [(e, r) for d, e, r, _ in rows if d == "d"]
-    assert got["d"] == pytest.approx((cells.count("policy") / len(cells), *ends(found, 0.9), len({e for e, _ in mine}), len({r for _, r in mine})))
+        cells = [c for d, _, _, c in rows if d == name and c != "tie"]
+        mine = [(e, r) for d, e, r, _ in rows if d == name]
+        assert got[name] == pytest.approx((cells.count("policy") / len(cells), *ends(found, 0.9), len({e for e, _ in mine}), len({r for _, r in mine})))
     assert got["none"] == (None, None, None, 1, 1)
 
 
