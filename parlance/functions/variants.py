@@ -1,4 +1,4 @@
-"""Typed reads of JSON held as VARIANT: a value of another type counts as absent."""
+"""Typed reads of JSON values held as VARIANT: a value of another type counts as absent."""
 
 from __future__ import annotations
 
@@ -6,30 +6,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def part(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "variant")
-
-
 def kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def text(v: Column, path: str) -> Column:
-    return F.when(kind(part(v, path)) == "STRING", F.try_variant_get(v, path, "string"))
+def text(v: Column) -> Column:
+    return F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
-def integer(v: Column, path: str) -> Column:
-    return F.when(kind(part(v, path)) == "BIGINT", F.try_variant_get(v, path, "long"))
+def integer(v: Column) -> Column:
+    return F.when(kind(v) == "BIGINT", F.try_variant_get(v, "$", "long"))
 
 
-def is_object(v: Column, path: str = "$") -> Column:
-    return F.coalesce(kind(part(v, path)).startswith("OBJECT"), F.lit(False))
+def is_object(v: Column) -> Column:
+    # only an object can be read as one, whatever it has; its kind would list all that is in it
+    return F.try_variant_get(v, "$", "struct<_:variant>").isNotNull()
 
 
-def flag(v: Column, path: str, default: bool) -> Column:
-    return F.coalesce(F.when(kind(part(v, path)) == "BOOLEAN", F.try_variant_get(v, path, "boolean")), F.lit(default))
+def flag(v: Column, default: bool) -> Column:
+    return F.coalesce(F.when(kind(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean")), F.lit(default))
 
 
-def first_text(v: Column, *paths: str) -> Column:
+def first_text(*values: Column) -> Column:
     """The first of some texts that is neither absent nor empty."""
-    return F.coalesce(*[F.nullif(text(v, p), F.lit("")) for p in paths])
+    return F.coalesce(*[F.nullif(text(v), F.lit("")) for v in values])

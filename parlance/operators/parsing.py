@@ -11,35 +11,57 @@ from pyspark.sql import functions as F
 
 from parlance.functions import variants as v
 from parlance.functions.unicode import on_boundary
-from parlance.plans.durable import materialized
+from parlance.plans.fence import fenced
 
 RANGE = "struct<start:int,length:int,uuid:string,number:string,recipient:string,name:string>"
+FILE = "struct<id:string,contentType:string,filename:string,size:long>"
+#: What an envelope and its message can hold, each read in one go. Where the type of a value tells whether it
+#: counts it stays a VARIANT; what is not an object or a list where one is due is null.
+ENVELOPE = "struct<source:variant,sourceUuid:variant,sourceNumber:variant,sourceName:variant,timestamp:variant,dataMessage:variant,editMessage:struct<targetSentTimestamp:variant,dataMessage:variant>,syncMessage:struct<sentMessage:variant>>"
+ROOT = f"struct<account:variant,envelope:{ENVELOPE}>"
+QUOTE = f"struct<id:variant,author:variant,authorUuid:variant,authorNumber:variant,text:variant,message:variant,mentions:array<{RANGE}>>"
+REACTION = "struct<emoji:variant,targetAuthor:variant,targetAuthorUuid:variant,targetAuthorNumber:variant,targetSentTimestamp:variant,isRemove:variant>"
+DATA = f"struct<timestamp:variant,message:variant,groupInfo:struct<groupId:variant>,mentions:array<{RANGE}>,attachments:array<{FILE}>,quote:{QUOTE},reaction:{REACTION},remoteDelete:struct<timestamp:variant>>"
 
 
-def unwrap_rpc(payload: Column) -> Column:
+def unwrap_rpc(event: Column) -> Column:
     """The parameters (or their result) of a ``receive`` call, and anything else as it is."""
-    inner = F.when(v.is_object(payload, "$.params.result"), v.part(payload, "$.params.result")).otherwise(v.part(payload, "$.params"))
-    return F.when(v.text(payload, "$.method") == "receive", inner).otherwise(payload)
+    at = lambda path: F.try_variant_get(event, path, "variant")
+    inner = F.when(v.is_object(at("$.params.result")), at("$.params.result")).otherwise(at("$.params"))
+    return F.when(v.text(at("$.method")) == "receive", inner).otherwise(event)
+
+
+def read_root(event: Column) -> Column:
+    """``struct<account, envelope>`` of an event that was unwrapped."""
+    return F.try_variant_get(event, "$", ROOT)
 
 
 def select_payload(envelope: Column) -> Column:
     """An edit's message, else a message, else one sent from another device."""
-    paths = ("$.editMessage.dataMessage", "$.dataMessage", "$.syncMessage.sentMessage")
-    return F.coalesce(*[F.when(v.is_object(envelope, p), v.part(envelope, p)) for p in paths])
+    found = (envelope["editMessage"]["dataMessage"], envelope["dataMessage"], envelope["syncMessage"]["sentMessage"])
+    return F.coalesce(*[F.when(v.is_object(x), x) for x in found])
+
+
+def read_data(message: Column) -> Column:
+    return F.try_variant_get(message, "$", DATA)
+
+
+def is_edit(envelope: Column) -> Column:
+    return v.is_object(envelope["editMessage"]["dataMessage"])
 
 
 def edit_target(envelope: Column) -> Column:
-    return F.when(v.is_object(envelope, "$.editMessage.dataMessage"), v.integer(envelope, "$.editMessage.targetSentTimestamp"))
+    return F.when(is_edit(envelope), v.integer(envelope["editMessage"]["targetSentTimestamp"]))
 
 
 def is_self(envelope: Column) -> Column:
-    return v.is_object(envelope, "$.syncMessage.sentMessage")
+    return v.is_object(envelope["syncMessage"]["sentMessage"])
 
 
 def resolve_author(envelope: Column, root: Column) -> Column:
     """Own messages: uuid, else the account; others: uuid, number, source. Empty texts don't count."""
-    other = v.first_text(envelope, "$.sourceUuid", "$.sourceNumber", "$.source")
-    own = F.coalesce(v.first_text(envelope, "$.sourceUuid"), v.first_text(root, "$.account"))
+    other = v.first_text(envelope["sourceUuid"], envelope["sourceNumber"], envelope["source"])
+    own = v.first_text(envelope["sourceUuid"], root["account"])
     return F.when(is_self(envelope), own).otherwise(other)
 
 
@@ -64,8 +86,8 @@ def mention_name(name: Column) -> Column:
 
 
 def mentions(raw: Column, source: str = "signal") -> Column:
-    """``array<struct<person_id, start, length, name>>`` from a list of JSON objects; null list: none."""
-    items = F.coalesce(F.try_variant_get(raw, "$", f"array<{RANGE}>"), F.array().cast(f"array<{RANGE}>"))
+    """``array<struct<person_id, start, length, name>>`` from an array of RANGE; null: none."""
+    items = F.coalesce(raw, F.array().cast(f"array<{RANGE}>"))
 
     def one(m: Column) -> Column:
         who = F.coalesce(F.nullif(m["uuid"], F.lit("")), F.nullif(m["number"], F.lit("")), F.nullif(m["recipient"], F.lit("")))
@@ -96,8 +118,7 @@ def mention_error(text: Column, found: Column) -> Column:
 
 def attachments(raw: Column, source: str = "signal") -> Column:
     """``array<struct<id, media_type, name, size>>``; items without an id get one from place and name."""
-    kind = "array<struct<id:string,contentType:string,filename:string,size:long>>"
-    items = F.coalesce(F.try_variant_get(raw, "$", kind), F.array().cast(kind))
+    items = F.coalesce(raw, F.array().cast(f"array<{FILE}>"))
 
     def one(a: Column, i: Column) -> Column:
         key = F.coalesce(a["id"], F.concat(i.cast("string"), F.lit(":"), F.coalesce(a["filename"], F.lit(""))))
@@ -106,14 +127,13 @@ def attachments(raw: Column, source: str = "signal") -> Column:
     return F.transform(items, one)
 
 
-def reply(data: Column, chat_id: Column, source: str = "signal") -> Column:
+def reply(q: Column, chat_id: Column, source: str = "signal") -> Column:
     """``struct<reply_to, author_id, sent_at, text, mentions>`` of a quote with author and time, else null."""
-    q = v.part(data, "$.quote")
-    author, at = v.first_text(q, "$.authorUuid", "$.authorNumber", "$.author"), v.integer(q, "$.id")
+    author, at = v.first_text(q["authorUuid"], q["authorNumber"], q["author"]), v.integer(q["id"])
     person = hashed("person", author, source)
     # a text that is present but null does not fall back to the message
-    text = F.when(F.is_variant_null(v.part(q, "$.text")), F.lit(None)).otherwise(F.coalesce(v.text(q, "$.text"), v.text(q, "$.message")))
-    made = F.struct(message_key(chat_id, person, at, source).alias("reply_to"), person.alias("author_id"), millis_to_ts(at).alias("sent_at"), text.alias("text"), mentions(v.part(q, "$.mentions"), source).alias("mentions"))
+    text = F.when(F.is_variant_null(q["text"]), F.lit(None)).otherwise(F.coalesce(v.text(q["text"]), v.text(q["message"])))
+    made = F.struct(message_key(chat_id, person, at, source).alias("reply_to"), person.alias("author_id"), millis_to_ts(at).alias("sent_at"), text.alias("text"), mentions(q["mentions"], source).alias("mentions"))
     return F.when(author.isNotNull() & at.isNotNull(), made)
 
 
@@ -123,45 +143,41 @@ def parse_events(events: DataFrame, chats: list[str], source: str = "signal") ->
     ``kind``: message, edit, delete, reaction, skipped, invalid. Record columns: ``message_id,
     chat_id, author_id, author_name, is_self, sent_at, event_at, text, quote, edited_at, deleted_at,
     attachments, mentions, value, removed``; a reaction's ``message_id`` is its target. Groups that
-    are not in ``chats`` are skipped, and so are direct messages.
+    are not in ``chats`` are skipped, and so are direct messages. A plan without a shuffle: columns that
+    nobody asks for are not worked out.
     """
-    root = events.withColumn("_root", unwrap_rpc(F.try_parse_json("payload")))
-    e = root.withColumn("_env", F.when(v.is_object(F.col("_root"), "$.envelope"), v.part(F.col("_root"), "$.envelope")))
-    e = e.withColumn("_data", select_payload(F.col("_env"))).withColumn("_edit", edit_target(F.col("_env")))
-    env, data = F.col("_env"), F.col("_data")
-    group = v.text(data, "$.groupInfo.groupId")
-    raw_author = resolve_author(env, F.col("_root"))
-    reaction = v.part(data, "$.reaction")
-    is_edit = v.is_object(env, "$.editMessage.dataMessage")
-    event_ms = F.coalesce(v.integer(env, "$.timestamp"), v.integer(data, "$.timestamp"))
-    sent_ms = F.coalesce(F.nullif(F.col("_edit"), F.lit(0)), v.integer(data, "$.timestamp"), v.integer(env, "$.timestamp"))
-    target = hashed("person", v.first_text(reaction, "$.targetAuthorUuid", "$.targetAuthorNumber", "$.targetAuthor"), source)
-    e = e.select(
-        *events.columns,
+    e = fenced(events, F.try_parse_json("payload").alias("_event"))
+    e = fenced(e, read_root(unwrap_rpc(F.col("_event"))).alias("_root"))
+    e = fenced(e, read_data(select_payload(F.col("_root.envelope"))).alias("_data"))
+    root, env, data = F.col("_root"), F.col("_root")["envelope"], F.col("_data")
+    reaction, edit = data["reaction"], edit_target(env)
+    sent_ms = F.coalesce(F.nullif(edit, F.lit(0)), v.integer(data["timestamp"]), v.integer(env["timestamp"]))
+    e = fenced(
+        e,
         data.isNotNull().alias("_found"),
-        group.alias("_group"),
-        hashed("chat", group, source).alias("chat_id"),
-        hashed("person", raw_author, source).alias("author_id"),
-        v.text(env, "$.sourceName").alias("author_name"),
+        v.text(data["groupInfo"]["groupId"]).alias("_group"),
+        hashed("person", resolve_author(env, root), source).alias("author_id"),
+        v.text(env["sourceName"]).alias("author_name"),
         is_self(env).alias("is_self"),
-        event_ms.alias("_event_ms"),
+        F.coalesce(v.integer(env["timestamp"]), v.integer(data["timestamp"])).alias("_event_ms"),
         sent_ms.alias("_sent_ms"),
-        is_edit.alias("_is_edit"),
-        (is_edit & F.col("_edit").isNull()).alias("_no_target"),
-        v.is_object(reaction).alias("_is_reaction"),
-        F.when(v.is_object(data, "$.remoteDelete"), v.integer(data, "$.remoteDelete.timestamp")).alias("_deleted_ms"),
-        v.is_object(data, "$.remoteDelete").alias("_is_delete"),
-        target.alias("_target"),
-        v.integer(reaction, "$.targetSentTimestamp").alias("_target_ms"),
-        v.text(reaction, "$.emoji").alias("value"),
-        v.flag(reaction, "$.isRemove", False).alias("removed"),
-        v.text(data, "$.message").alias("text"),
-        mentions(v.part(data, "$.mentions"), source).alias("mentions"),
-        attachments(v.part(data, "$.attachments"), source).alias("attachments"),
-        F.coalesce(~v.kind(v.part(data, "$.message")).isin("STRING", "VOID"), F.lit(False)).alias("_odd_text"),
-        reply(data, hashed("chat", group, source), source).alias("quote"),
+        is_edit(env).alias("_is_edit"),
+        (is_edit(env) & edit.isNull()).alias("_no_target"),
+        reaction.isNotNull().alias("_is_reaction"),
+        v.integer(data["remoteDelete"]["timestamp"]).alias("_deleted_ms"),
+        data["remoteDelete"].isNotNull().alias("_is_delete"),
+        hashed("person", v.first_text(reaction["targetAuthorUuid"], reaction["targetAuthorNumber"], reaction["targetAuthor"]), source).alias("_target"),
+        v.integer(reaction["targetSentTimestamp"]).alias("_target_ms"),
+        v.text(reaction["emoji"]).alias("value"),
+        v.flag(reaction["isRemove"], False).alias("removed"),
+        v.text(data["message"]).alias("text"),
+        F.coalesce(~v.kind(data["message"]).isin("STRING", "VOID"), F.lit(False)).alias("_odd_text"),
+        mentions(data["mentions"], source).alias("mentions"),
+        attachments(data["attachments"], source).alias("attachments"),
+        data["quote"].alias("_quote"),
     )
-    e = e if events.isStreaming else materialized(e)
+    e = fenced(e, hashed("chat", F.col("_group"), source).alias("chat_id"))
+    e = fenced(e, reply(F.col("_quote"), F.col("chat_id"), source).alias("quote"))
     wanted = F.col("_found") & F.coalesce(F.col("_group").isin(list(chats)), F.lit(False))
     empty = F.col("text").isNull() & (F.size("attachments") == 0)
     bare = ~F.col("_is_reaction") & ~F.col("_is_delete")
@@ -177,9 +193,9 @@ def parse_events(events: DataFrame, chats: list[str], source: str = "signal") ->
         .when(F.col("_odd_text"), "text is not text")
         .otherwise(F.coalesce(mention_error(F.col("text"), F.col("mentions")), F.when(~empty, wrong_quote)))
     )
-    e = e.withColumn("error", error)
+    e = fenced(e, error.alias("error"))
     kind = F.when(F.col("error").isNotNull(), "invalid").when(~wanted | (bare & empty), "skipped").when(F.col("_is_reaction"), "reaction").when(F.col("_is_delete"), "delete").when(F.col("_is_edit"), "edit").otherwise("message")
-    e = e.withColumn("kind", kind)
+    e = fenced(e, kind.alias("kind"))
     whole = F.col("kind").isin("message", "edit")
     person = F.when(F.col("kind") == "reaction", F.col("_target")).otherwise(F.col("author_id"))
     ms = F.when(F.col("kind") == "reaction", F.col("_target_ms")).when(F.col("kind") == "delete", F.col("_deleted_ms")).otherwise(F.col("_sent_ms"))

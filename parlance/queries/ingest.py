@@ -9,6 +9,7 @@ from parlance.functions import variants as v
 from parlance.operators import parsing as p
 from parlance.operators import revisions as rv
 from parlance.plans.durable import fresh_path, materialized
+from parlance.plans.fence import fenced
 from parlance.queries.registry import query, table
 from parlance.sources import events as src
 from parlance.streaming import ingest as st
@@ -65,8 +66,8 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``id, payload, seq`` as a source would give them."""
-    lines = envelopes(spark, sf_dir)
+    """``id, payload, seq`` as a source would give them, in as many splits as there are cores."""
+    lines = envelopes(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
     line = F.trim("value")
     return lines.select(F.concat(F.lit("signal:"), F.sha2(line, 256)).alias("id"), line.alias("payload"), "seq")
 
@@ -76,7 +77,8 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return envelopes(spark, sf_dir).withColumn("r", p.unwrap_rpc(F.try_parse_json("value"))).withColumn("e", v.part(F.col("r"), "$.envelope"))
+    rows = fenced(envelopes(spark, sf_dir), p.read_root(p.unwrap_rpc(F.try_parse_json("value"))).alias("r")).withColumn("e", F.col("r.envelope"))
+    return fenced(rows, p.read_data(p.select_payload(F.col("e"))).alias("d"))
 
 
 @query(f"WITH {EXPECTED} SELECT event_id, kind, message_id, CASE WHEN kind <> 'skipped' THEN chat_id END AS chat_id, CASE WHEN kind <> 'skipped' THEN author_id END AS author_id, CASE WHEN kind <> 'skipped' THEN CASE WHEN kind = 'reaction' THEN ms ELSE sent_ms END END AS sent_ms FROM x")
@@ -114,19 +116,19 @@ def scan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, 'u' || user_id AS source FROM events")
 def unwrap_rpc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _root(spark, sf_dir).select(F.col("seq").alias("event_id"), v.text(F.col("e"), "$.source").alias("source"))
+    return _root(spark, sf_dir).select(F.col("seq").alias("event_id"), v.text(F.col("e.source")).alias("source"))
 
 
 @query("SELECT event_id, 'g' || (user_id % 10) AS group_id, event_type = 'purchase' AS is_edit, CASE WHEN event_type = 'purchase' THEN (epoch_us(ts) // 1000) - 60000 END AS target FROM events")
 def select_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _root(spark, sf_dir)
     t = p.edit_target(F.col("e"))
-    return r.select(F.col("seq").alias("event_id"), v.text(p.select_payload(F.col("e")), "$.groupInfo.groupId").alias("group_id"), t.isNotNull().alias("is_edit"), t.alias("target"))
+    return r.select(F.col("seq").alias("event_id"), v.text(F.col("d.groupInfo.groupId")).alias("group_id"), t.isNotNull().alias("is_edit"), t.alias("target"))
 
 
 @query(f"WITH {EXPECTED} SELECT event_id FROM x WHERE user_id % 10 < 8")
 def filter_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    group = v.text(p.select_payload(F.col("e")), "$.groupInfo.groupId")
+    group = v.text(F.col("d.groupInfo.groupId"))
     return _root(spark, sf_dir).where(group.isin(CHATS)).select(F.col("seq").alias("event_id"))
 
 

@@ -43,7 +43,7 @@ def list_groups(groups: DataFrame) -> DataFrame:
 
     A group is active if it is not left or blocked; membership is assumed where it isn't stated.
     """
-    g = F.try_parse_json("value")
-    active = v.flag(F.col("g"), "$.isMember", True) & ~v.flag(F.col("g"), "$.isBlocked", False)
-    rows = groups.select(g.alias("g"))
-    return rows.select(v.text(F.col("g"), "$.id").alias("id"), F.coalesce(v.text(F.col("g"), "$.name"), F.lit("")).alias("name"), active.alias("active"))
+    rows = groups.select(F.try_variant_get(F.try_parse_json("value"), "$", "struct<id:variant,name:variant,isMember:variant,isBlocked:variant>").alias("g"))
+    g = F.col("g")
+    active = v.flag(g["isMember"], True) & ~v.flag(g["isBlocked"], False)
+    return rows.select(v.text(g["id"]).alias("id"), F.coalesce(v.text(g["name"]), F.lit("")).alias("name"), active.alias("active"))
