@@ -27,7 +27,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from parlance.llm.common import column, stored
 
 #: Postings after which a shard is closed, bytes of text that are cut up at once, bytes of a stored piece.
-POSTINGS, PIECE, STORED = 1 << 21, 1 << 22, 1 << 20
+POSTINGS, PIECE, STORED = 1 << 20, 1 << 22, 1 << 20
 #: Nodes that a query opens at once.
 WAVE = 32
 #: Bytes of queries that are sent to the shards at once.
