@@ -25,7 +25,7 @@ STEPS = tuple(int(c * (1 << 32)) for c in POISSON)
 FACTOR = 0x45D9F3B
 SAMPLES = 10_000
 #: Numbers that a task holds in one matrix, arrays that one task merges, rows of a block of exact draws.
-CELLS, FAN_IN, BLOCK = 1 << 21, 32, 4096
+CELLS, FAN_IN, BLOCK = 1 << 21, 32, 1024
 #: Draws of a sample that is empty, at most.
 ATTEMPTS = 64
 
@@ -49,6 +49,12 @@ def poisson_weights(keys: np.ndarray, samples: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.array(STEPS, np.uint32), drawn, side="right").astype(np.float64)
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Dealt to all cores: few rows are much work here, so their bytes don't tell into how many tasks to cut them."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def _merge(names: list[str]):
     def run(table: pa.Table) -> pa.Table:
         out = {"g": table.column("g").slice(0, 1), "at": table.column("at").slice(0, 1)}
@@ -102,7 +108,7 @@ def bootstrap_interval(values: DataFrame, samples: int = SAMPLES, confidence: fl
     the ends are null.
     """
     rows = values.where("delta IS NOT NULL").select(hash_key(seed, "example", F.col("example_id")).alias("key"), F.col("delta").cast("double").alias("delta"))
-    sums = summed(rows.mapInArrow(_poisson_sums(samples), "g int, at long, w array<double>, wd array<double>"), ["w", "wd"])
+    sums = summed(spread(rows, "key").mapInArrow(_poisson_sums(samples), "g int, at long, w array<double>, wd array<double>"), ["w", "wd"])
     found = sums.select(F.zip_with("wd", "w", lambda d, w: F.when(w > 0, d / w).otherwise(0.0)).alias("s"))
     low, high = interval_ends(F.col("s"), confidence)
     whole = values.agg(F.avg("delta").alias("value"))
@@ -147,7 +153,7 @@ def drawn_interval(values: DataFrame, samples: int = SAMPLES, confidence: float
     """
     n = values.count()
     rows = values.select(F.col("idx").cast("long").alias("idx"), F.col("delta").cast("double").alias("delta")).withColumn("block", F.floor(F.col("idx") / block))
-    made = rows.groupBy("block").applyInArrow(_drawn_sums(n, samples, seed, block), "g int, at long, sum array<double>")
+    made = spread(rows, "block").groupBy("block").applyInArrow(_drawn_sums(n, samples, seed, block), "g int, at long, sum array<double>")
     found = summed(made, ["sum"]).select(F.transform("sum", lambda x: x / max(n, 1)).alias("s"))
     low, high = interval_ends(F.col("s"), confidence)
     return values.agg(F.avg("delta").alias("value")).join(found, F.lit(True), "left").select("value", low.alias("lower"), high.alias("upper"))
@@ -194,7 +200,7 @@ def cluster_interval(judgments: DataFrame, first: str, second: str, by: str, sam
     kind = cells.schema[by].dataType
     cells = materialized(cells)
     keyed = cells.where((F.col("n") > 0) & F.col(by).isNotNull()).select(F.col(by).cast("string").alias("g"), hash_key(seed, "example", F.col("example_id")).alias("example"), hash_key(seed, "rater", F.col("rater_id")).alias("rater"), "yes", "n")
-    keyed = materialized(keyed)
+    keyed = materialized(spread(keyed, "example"))
     schema = "g string, at long, yes array<double>, n array<double>"
     found = {r["g"]: (np.array(r["yes"]), np.array(r["n"])) for r in summed(keyed.mapInArrow(_cell_sums(samples, None), schema), ["yes", "n"]).collect()}
     for attempt in range(1, ATTEMPTS):

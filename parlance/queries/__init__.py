@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parlance.queries import artifacts, chat, dataset, evaluation, ingest, panel, store
+from parlance.queries import artifacts, chat, dataset, evaluation, ingest, panel, store, tokens
 from parlance.queries.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "artifacts", "chat", "dataset", "evaluation", "ingest", "panel", "store"]
+__all__ = ["ORACLE_SQL", "QUERIES", "artifacts", "chat", "dataset", "evaluation", "ingest", "panel", "store", "tokens"]
