@@ -1,8 +1,8 @@
 """Immutable results: rows in files, a manifest beside them, a name that commits to the content.
 
 Rows are written by Spark, several part files for a large table; manifests are small and written
-last, through Hadoop's file system, so an interrupted write leaves no artifact. Digests of rows are
-combined from digests of the rows in index order.
+last, through Hadoop's file system, so an interrupted write leaves no artifact. A digest of rows is
+the root of a tree of digests of blocks, which stay beside the rows: a difference names its blocks.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MANIFEST = "manifest.json"
+from parlance.plans.durable import materialized
+
+MANIFEST, BLOCKS = "manifest.json", ".blocks"
 
 
 def canonical(value: object) -> str:
@@ -25,17 +27,45 @@ def digest(value: object) -> str:
     return hashlib.sha256(canonical(value).encode()).hexdigest()
 
 
-def rows_digest(rows: DataFrame, body: str, index: str, block: int = 10_000) -> str:
-    """A digest of all rows in order: of blocks of consecutive rows, then of the blocks' digests.
+#: Rows of a block, and blocks of a block of the next level.
+BLOCK = 1000
+
+
+def _level(rows: DataFrame, block: int) -> DataFrame:
+    """``b, d`` of blocks of consecutive rows (i, d): each one's digest is that of its rows' digests in order."""
+    keyed = rows.select(F.floor(F.col("i") / block).alias("b"), "i", "d")
+    return keyed.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "d"))), lambda x: x["d"]), "\n"), 256).alias("d"))
+
+
+def digest_blocks(rows: DataFrame, body: str, index: str, block: int = BLOCK) -> DataFrame:
+    """``b, d``: the digests of all blocks of rows, the lowest level of the tree."""
+    return _level(rows.select(F.col(index).alias("i"), F.sha2(body, 256).alias("d")), block)
+
 
-    A block has a bounded number of rows, and the driver gets 64 characters for each block.
+def tree_root(blocks: DataFrame, block: int = BLOCK) -> str:
+    """The root over ``digest_blocks``: blocks of blocks, level by level, until only block 0 is left.
+
+    All levels are made by Spark, each as large as the one below divided by ``block``; the driver gets the root.
     """
-    keyed = rows.select(F.floor(F.col(index) / block).alias("b"), F.col(index).alias("i"), F.sha2(body, 256).alias("d"))
-    blocks = keyed.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "d"))), lambda x: x["d"]), "\n"), 256).alias("d"))
-    whole = hashlib.sha256()
-    for r in blocks.orderBy("b").toLocalIterator():
-        whole.update(r["d"].encode())
-    return whole.hexdigest()
+    while True:
+        blocks = materialized(blocks)
+        last = blocks.agg(F.max("b")).first()[0]
+        if last is None:
+            return hashlib.sha256().hexdigest()
+        if last == 0:
+            return blocks.first()["d"]
+        blocks = _level(blocks.select(F.col("b").alias("i"), "d"), block)
+
+
+def rows_digest(rows: DataFrame, body: str, index: str, block: int = BLOCK) -> str:
+    """A digest of all rows in order: the root of a tree of digests."""
+    return tree_root(digest_blocks(rows, body, index, block), block)
+
+
+def differing_blocks(blocks: DataFrame, others: DataFrame) -> DataFrame:
+    """``b``: the blocks (b, d) whose digests differ, or that one side lacks."""
+    theirs = others.select("b", F.col("d").alias("other"))
+    return blocks.join(theirs, "b", "full_outer").where(~F.col("d").eqNullSafe(F.col("other"))).select("b")
 
 
 def _files(spark: SparkSession, path: str):
@@ -68,7 +98,10 @@ def write_artifact(spark: SparkSession, root: str, parts: dict[str, DataFrame],
     files = {}
     for name, df in sorted(parts.items()):
         n = df.count()
-        files[name] = {"rows": n, "sha256": rows_digest(df, "value", "index") if n else None}
+        if n:
+            # the blocks stay with the rows, to tell where these differ from what was written
+            digest_blocks(df, "value", "index").write.parquet(f"{temporary}/{name}{BLOCKS}")
+        files[name] = {"rows": n, "sha256": tree_root(spark.read.parquet(f"{temporary}/{name}{BLOCKS}")) if n else None}
         if n:
             # file order is not to be relied on, so the index stays with its row
             df.select(F.to_json(F.struct("index", "value")).alias("value")).write.text(f"{temporary}/{name}")
@@ -102,12 +135,15 @@ def verify_artifact(spark: SparkSession, path: str) -> dict:
         raise ValueError(f"manifest does not match its name: {path}")
     fs, where = _files(spark, path)
     there = {s.getPath().getName() for s in fs.listStatus(where)} - {MANIFEST}
-    if there != {n for n, f in manifest["files"].items() if f["rows"]}:
+    names = {n for n, f in manifest["files"].items() if f["rows"]}
+    if there != names | {n + BLOCKS for n in names}:
         raise ValueError(f"files do not match the manifest: {path}")
-    for name in there:
+    for name in sorted(names):
         part = read_part(spark, path, name)
-        if part.count() != manifest["files"][name]["rows"] or rows_digest(part, "value", "index") != manifest["files"][name]["sha256"]:
-            raise ValueError(f"rows do not match the manifest: {path}/{name}")
+        blocks = materialized(digest_blocks(part, "value", "index"))
+        if part.count() != manifest["files"][name]["rows"] or tree_root(blocks) != manifest["files"][name]["sha256"]:
+            bad = differing_blocks(blocks, spark.read.parquet(f"{path}/{name}{BLOCKS}")).orderBy("b").limit(10).collect()
+            raise ValueError(f"rows do not match the manifest: {path}/{name}, blocks {[r['b'] for r in bad]}")
     return manifest
 
 

@@ -331,7 +331,7 @@ def canonical_json_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.sha2(body, 256).alias("digest"))
 
 
-@query("WITH k AS (SELECT event_id AS i, event_id // 10000 AS b, sha256('{\"id\":' || event_id || ',\"text\":' || to_json(props) || '}') AS d FROM events), bl AS (SELECT b, sha256(string_agg(d, chr(10) ORDER BY i)) AS d FROM k GROUP BY b) SELECT sha256(string_agg(d, '' ORDER BY b)) AS digest FROM bl")
+@query("WITH k AS (SELECT event_id AS i, event_id // 1000 AS b, sha256('{\"id\":' || event_id || ',\"text\":' || to_json(props) || '}') AS d FROM events), bl AS (SELECT b, sha256(string_agg(d, chr(10) ORDER BY i)) AS d FROM k GROUP BY b), top AS (SELECT b // 1000 AS b, sha256(string_agg(d, chr(10) ORDER BY b)) AS d  FROM bl GROUP BY b // 1000) SELECT CASE WHEN (SELECT max(b) FROM bl) = 0 THEN (SELECT d FROM bl WHERE b = 0) ELSE (SELECT d FROM top WHERE b = 0) END AS digest")
 def source_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = canonical_object({"id": value(F.col("event_id"), "number"), "text": value(F.col("props"), "string")})
     found = artifacts.rows_digest(table(spark, sf_dir, "events").withColumn("body", body), "body", "event_id")

@@ -142,6 +142,27 @@ def panel_config_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pn.config_differences(recorded, {"ballots_per_rater": 12, "ballot_seed": 42, "min_panel_raters": 3})
 
 
+#: Answers to the schedule: a side by a hash, and what stood on it. Some are forged: another choice, another example, or none at all.
+ANSWERS = f"""
+    {BALLOTS}, due AS (SELECT rater_id, ballot_id, example_id, matchup, d AS dimension, names[CASE WHEN swapped THEN 2 ELSE 1 END] AS a_identity, names[CASE WHEN swapped THEN 1 ELSE 2 END] AS b_identity,
+             md5(rater_id || ballot_id || d) AS h FROM s, (VALUES ('target_likeness'), ('voice'), ('context_fit')) v(d))
+"""
+
+
+@query(f"WITH {ANSWERS} SELECT rater_id, ballot_id, dimension, CASE WHEN h < '1' THEN 'missing' WHEN h < '2' THEN 'not its ballot''s' ELSE 'choice is not on that side' END AS problem FROM due WHERE h < '3'")
+def verify_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forged answers, each at one with itself, held against the schedule that is derived again."""
+    schedule = materialized(ballot_schedule(spark, sf_dir))
+    h = F.md5(F.concat("rater_id", "ballot_id", "dimension"))
+    left = F.substring(h, 2, 1) < "8"
+    answers = pn.ballot_dimensions(schedule).withColumn("h", h).withColumn("position", F.when(left, "a").otherwise("b"))
+    true = F.when(left, F.col("a_identity")).otherwise(F.col("b_identity"))
+    false = F.when(left, F.col("b_identity")).otherwise(F.col("a_identity"))
+    answers = answers.where("h >= '1'").withColumn("choice", F.when(F.col("h").between("2", "3"), false).otherwise(true))
+    forged = answers.withColumn("example_id", F.when(F.col("h") < "2", F.concat("example_id", F.lit("x"))).otherwise(F.col("example_id")))
+    return pn.off_schedule(forged.select("rater_id", "ballot_id", "example_id", "matchup", "dimension", "choice", "position"), schedule)
+
+
 SUMMARY = f"sm AS (SELECT dimension, {COUNTS.format('policy')}, {COUNTS.format('base')}, {COUNTS.format('tie')}, {COUNTS.format('neither')}, round(count(*) FILTER (WHERE choice = 'policy') / nullif(count(*) FILTER (WHERE choice IN ('policy', 'base')), 0), 9) AS decisive_rate FROM j GROUP BY dimension)"
 
 

@@ -6,13 +6,10 @@ written under its batch id, so one that is run again after a failure replaces it
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parlance.operators.parsing import parse_events
 from parlance.operators.revisions import current_messages, distinct_events
@@ -49,6 +46,48 @@ def append_events(events: DataFrame, path: str, number: int) -> None:
     _put(new, path, number)
 
 
+def ingest_counted(parsed: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Store the events of a stream of parsed events that have records and are new, and count what comes, in one pass.
+
+    The counts are observed while a batch is written, so nothing is parsed or read again for them. A batch leaves
+    its rows and its counts in folders of its own: one that runs again after a failure replaces both.
+    """
+    gone = F.col("kind").isin("skipped", "invalid")
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        came, kept = Observation(), Observation()
+        seen = batch.observe(came, F.count("*").alias("received"), F.count_if(gone).alias("skipped"))
+        new = seen.where(~gone).dropDuplicates(["id"])
+        if number and (known := _earlier(spark, f"{path}/events", number)) is not None:
+            new = new.join(known.select("id"), "id", "left_anti")
+        is_message = F.col("kind").isin("message", "edit", "delete")
+        _put(new.observe(kept, F.count("*").alias("stored"), F.count_if(is_message).alias("messages"), F.count_if(F.col("kind") == "reaction").alias("reactions")), f"{path}/events", number)
+        counts = came.get | kept.get
+        counts["duplicates"] = counts["received"] - counts["skipped"] - counts["stored"]
+        row = spark.range(1).select(*[F.lit(counts[c]).cast("long").alias(c) for c in COUNTS])
+        row.write.mode("overwrite").parquet(f"{path}/counts/batch_id={number}")
+
+    return parsed.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+COUNTS = ("received", "stored", "messages", "reactions", "skipped", "duplicates")
+
+
+def _earlier(spark: SparkSession, path: str, number: int) -> DataFrame | None:
+    """What batches before this one have stored; none if there is no such batch."""
+    try:
+        return spark.read.parquet(path).where(F.col("batch_id") < number)
+    except AnalysisException:
+        return None
+
+
+def counted(spark: SparkSession, path: str) -> DataFrame:
+    """One row: the counts of all batches of :func:`ingest_counted` together."""
+    rows = spark.read.parquet(f"{path}/counts")
+    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in COUNTS])
+
+
 def keep_latest(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """A small table of running figures: every batch writes all of it into a folder of its own."""
     writer = rows.writeStream.foreachBatch(lambda batch, number: _put(batch, path, number)).outputMode("complete")
@@ -79,27 +118,37 @@ REVISION = "key string, revision long, seq long, body string"
 def upserts(revisions: DataFrame) -> DataFrame:
     """Current revisions as a stream of updates. ``revisions``: key, revision, seq, body.
 
-    State is one row for each key: the newest (revision, seq). Older ones that come later change
-    nothing, and a deletion may come before what it deletes.
+    State is one row for each key: the newest (revision, seq), kept by an aggregate that combines a batch's rows
+    before they are shuffled. Older ones that come later change nothing (an update then repeats what holds), and a
+    deletion may come before what it deletes.
     """
-
-    def newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else None
-        changed = False
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            top = pdf.sort_values(["revision", "seq"]).iloc[-1]
-            row = (int(top["revision"]), int(top["seq"]), top["body"])
-            if best is None or row[:2] > tuple(best[:2]):
-                best, changed = row, True
-        if changed:
-            state.update(best)
-            yield pd.DataFrame({"key": [key[0]], "revision": [best[0]], "seq": [best[1]], "body": [best[2]]})
-
-    return revisions.groupBy("key").applyInPandasWithState(newest, REVISION, "revision long, seq long, body string", "update", GroupStateTimeout.NoTimeout)
+    best = F.max(F.struct("revision", "seq", "body")).alias("best")
+    return revisions.groupBy("key").agg(best).select("key", "best.revision", "best.seq", "best.body")
 
 
 def running_counts(parsed: DataFrame) -> DataFrame:
     """Events by kind so far."""
     return parsed.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def turn_sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
+    """Generations out of a stream of their events: one row for each once no event of it can come any more.
+
+    ``events``: turn_id, at, kind (``start``, ``token``, ``end`` or ``cancel``), place (of the event in its turn).
+    A turn's events are a session by event time: after ``gap`` without one it is over, by timeout if neither an end
+    nor a cancellation has come. Events that come twice count once; those later than ``late`` don't count. Columns:
+    turn_id, started_at, first_token_ms, tokens, seconds, rate (tokens a second, null without time), outcome.
+    """
+    once = events.withWatermark("at", late).dropDuplicatesWithinWatermark(["turn_id", "place"])
+    when = lambda kind, pick: pick(F.when(F.col("kind") == kind, F.col("at")))
+    per = once.groupBy("turn_id", F.session_window("at", gap).alias("w")).agg(
+        F.min("at").alias("started_at"),
+        F.max("at").alias("last_at"),
+        when("token", F.min).alias("first_at"),
+        F.count_if(F.col("kind") == "token").alias("tokens"),
+        F.max(F.when(F.col("kind") == "cancel", 2).when(F.col("kind") == "end", 1).otherwise(0)).alias("state"),
+    )
+    seconds = (F.unix_micros("last_at") - F.unix_micros("started_at")) / 1e6
+    outcome = F.when(F.col("state") == 2, "cancelled").when(F.col("state") == 1, "done").otherwise("timeout")
+    first = (F.unix_micros("first_at") - F.unix_micros("started_at")) / 1e3
+    return per.select("turn_id", "started_at", first.alias("first_token_ms"), "tokens", seconds.alias("seconds"), (F.col("tokens") / F.nullif(seconds, F.lit(0.0))).alias("rate"), outcome.alias("outcome"))
