@@ -4,8 +4,10 @@ A text becomes a vector of hashed letter uni-, bi- and trigrams: logarithmic cou
 document frequency, scaled to length one. Each language has several centroids, found by spherical
 k-means over a bounded sample of its labelled rows; a text gets the language of the centroid with
 the largest cosine. It is rejected if it is farther from every centroid, by a margin, than nearly all
-texts of similar length. Document frequencies and the cosines of texts by length cover all rows that
-may be learned from.
+texts of similar length, unless it is far from the second language as well: distance alone tells an unusual
+vocabulary, a gap tells a language. It is also rejected if fewer of its signs are letters than in nearly all
+texts. Document frequencies, the cosines of texts by length and the shares of letters cover all rows that may
+be learned from.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ UNKNOWN = "und"
 #: Cells of a histogram of cosines, and the rows that a length's floor is read from at least.
 CELLS = 1000
 ENOUGH = 100
+#: A text below the floor is kept if its cosine is this at least and that to the second language at most so much of
+#: it; more is asked of texts with more n-grams than SHORT, where noise comes as near to one language as that.
+DECIDED, GAP, LONG_GAP, SHORT = 0.11, 0.9, 0.75, 640
 
 _letters: np.ndarray | None = None
 
@@ -39,13 +44,17 @@ def _letter_table() -> np.ndarray:
     return _letters
 
 
-def _add_grams(text: str, into: np.ndarray) -> None:
-    """Add the n-gram counts of ``text``, in pieces that overlap by two characters."""
+def _add_grams(text: str, into: np.ndarray) -> float:
+    """Add the n-gram counts of ``text``, in pieces that overlap by two characters; the share of letters among what is no space."""
     letters = _letter_table()
+    found, signs = 0, 0
     text = text.lower()
     for at in range(0, len(text), PIECE):
         back = 2 if at else 0
         codes = np.frombuffer(text[at - back : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        fresh = codes[back:]
+        found += int(np.count_nonzero(letters[fresh]))
+        signs += len(fresh) - int(np.count_nonzero((fresh == 32) | (fresh - 9 < 5)))
         codes = np.where(letters[codes], codes, np.uint32(32))
         # one space for a run of others, and one at either end of the text
         codes = np.concatenate([np.uint32([32] * (not at)), codes, np.uint32([32] * (at + PIECE >= len(text)))])
@@ -57,24 +66,25 @@ def _add_grams(text: str, into: np.ndarray) -> None:
             new = h[max(0, back - order) :] if at else h
             slot = ((new * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(width)
             into += np.bincount(slot.astype(np.int64) + start, minlength=FEATURES)
+    return found / max(1, signs)
 
 
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
 
-def vectors(texts: list[str | None], idf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors (zero where there is no letter) and numbers of n-grams."""
-    counts = np.zeros((len(texts), FEATURES))
-    for row, text in zip(counts, texts, strict=True):
+def vectors(texts: list[str | None], idf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors (zero where there is no letter), numbers of n-grams, and shares of letters."""
+    counts, shares = np.zeros((len(texts), FEATURES)), np.zeros(len(texts))
+    for i, text in enumerate(texts):
         if has_letter(text):
-            _add_grams(text, row)
+            shares[i] = _add_grams(text, counts[i])
     sizes = counts.sum(axis=1)
     x = np.log1p(counts)
     if idf is not None:
         x *= idf
     norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(norm > 0, norm, 1), sizes
+    return x / np.where(norm > 0, norm, 1), sizes, shares
 
 
 def _blocks(texts: list):
@@ -86,7 +96,7 @@ def _document_frequencies(batches):
     df, n = np.zeros(FEATURES, np.int64), 0
     for batch in batches:
         for _, texts in _blocks(batch.column(0).to_pylist()):
-            x, sizes = vectors(texts)
+            x, sizes, _ = vectors(texts)
             df += (x > 0).sum(axis=0)
             n += int((sizes > 0).sum())
     some = np.flatnonzero(df)
@@ -95,7 +105,7 @@ def _document_frequencies(batches):
 
 def _sampled(batches):
     for batch in batches:
-        x, sizes = vectors(batch.column(0).to_pylist())
+        x, sizes, _ = vectors(batch.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sizes), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], names=["lang", "size", "x"])
 
 
@@ -106,14 +116,15 @@ class Model:
     centroids: np.ndarray
     owner: np.ndarray
     floor: np.ndarray  # least cosine by log2 of the number of n-grams
+    letters: float = 0.0  # least share of letters
 
     def plain(self) -> tuple:
         """Arrays and lists only, which executors without this package can read from a broadcast."""
-        return self.idf, self.names, self.centroids, self.owner, self.floor
+        return self.idf, self.names, self.centroids, self.owner, self.floor, self.letters
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, cosine to the nearest centroid, and whether the text is rejected."""
-        x, sizes = vectors(texts, self.idf)
+        x, sizes, shares = vectors(texts, self.idf)
         if not len(self.names):
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         cos = x @ self.centroids.T
@@ -121,7 +132,11 @@ class Model:
         near = np.clip(cos[np.arange(len(texts)), best], 0, 1)
         none = sizes == 0
         names = [UNKNOWN if e else self.names[self.owner[b]] for e, b in zip(none.tolist(), best.tolist(), strict=True)]
-        return names, np.where(none, 0.0, near), none | (near < self.floor[_bin(sizes)])
+        # the best cosine of another language; with one language only there is no gap to go by
+        other = np.where(self.owner[None, :] == self.owner[best][:, None], -1.0, cos).max(axis=1, initial=-1.0)
+        decided = (near >= DECIDED) & (other > -1) & (other <= np.where(sizes < SHORT, GAP, LONG_GAP) * near)
+        far = (near < self.floor[_bin(sizes)]) & ~decided
+        return names, np.where(none, 0.0, near), none | far | (shares < self.letters)
 
 
 def _bin(sizes: np.ndarray) -> np.ndarray:
@@ -166,8 +181,8 @@ def fit(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col: st
     equal texts count once, and each language is clustered in a task of its own, so only centroids
     (32 KB each) reach the driver. Document frequencies are summed over all learnable rows, and so
     are histograms of their cosines by length; ``margin`` times the low ``quantile`` of a length is
-    the floor below which texts are rejected. Without learnable rows the model knows no language
-    and rejects all.
+    the floor below which texts are rejected, as for their shares of letters. Without learnable rows the
+    model knows no language and rejects all.
     """
     text, lang = column(text_col), column(lang_col)
     rows = docs.where(learnable & text.isNotNull() & lang.isNotNull()).select(text.alias("text"), lang.alias("lang"))
@@ -194,10 +209,15 @@ def fit(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col: st
     model = Model(idf, names, centroids, owner, np.zeros(32))
     shared = docs.sparkSession.sparkContext.broadcast(model.plain())
     cells = rows.select("text").mapInArrow(_cosines(shared), "bin long, cell long, n long").groupBy("bin", "cell").agg(F.sum("n").alias("n"))
-    counted = np.zeros((32, CELLS), np.int64)
+    counted = np.zeros((33, CELLS), np.int64)
     for r in cells.collect():
         counted[r["bin"], r["cell"]] = r["n"]
-    return Model(idf, names, centroids, owner, _floors(counted, quantile) * margin)
+    return Model(idf, names, centroids, owner, _floors(counted[:32], quantile) * margin, _low(counted[32], quantile) * margin)
+
+
+def _low(row: np.ndarray, quantile: float) -> float:
+    """The low quantile of a histogram of CELLS cells over [0, 1]."""
+    return float(np.searchsorted(row.cumsum(), max(1, quantile * row.sum()))) / CELLS if row.any() else 0.0
 
 
 def _floors(counted: np.ndarray, quantile: float) -> np.ndarray:
@@ -205,7 +225,7 @@ def _floors(counted: np.ndarray, quantile: float) -> np.ndarray:
 
     The cosine of a short text grows as the root of its length, so a longer neighbour's floor is scaled down.
     """
-    low = lambda row: np.searchsorted(row.cumsum(), max(1, quantile * row.sum())) / CELLS
+    low = lambda row: _low(row, quantile)
     n = counted.sum(axis=1)
     known = {int(i): low(counted[i]) for i in np.flatnonzero(n >= ENOUGH)}
     if not known and n.sum():
@@ -218,14 +238,17 @@ def _floors(counted: np.ndarray, quantile: float) -> np.ndarray:
 
 
 def _cosines(model):
+    """Histograms of cosines by length, and in the last row that of the shares of letters."""
+
     def run(batches):
-        counted = np.zeros((32, CELLS), np.int64)
+        counted = np.zeros((33, CELLS), np.int64)
         idf, _, centroids, *_ = model.value
         for batch in batches:
             for _, texts in _blocks(batch.column(0).to_pylist()):
-                x, sizes = vectors(texts, idf)
+                x, sizes, shares = vectors(texts, idf)
                 near = np.clip((x @ centroids.T).max(axis=1), 0, 1)
                 some = sizes > 0
+                np.add.at(counted[32], np.minimum(shares[some] * CELLS, CELLS - 1).astype(int), 1)
                 np.add.at(counted, (_bin(sizes[some]), np.minimum(near[some] * CELLS, CELLS - 1).astype(int)), 1)
         bins, cells = np.nonzero(counted)
         yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(cells), pa.array(counted[bins, cells])], names=["bin", "cell", "n"])

@@ -122,9 +122,13 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
 def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the texts as Parquet, one folder per shard, in slot order; returns the assignment.
 
-    Assumes that ids are unique and not null, since texts meet their shards by id.
+    Rows are told apart by a number of their own, so null and repeated ids are kept as they come; of equal texts any
+    may come first.
     """
-    where = stored(assign_shards(docs, shards, id_col, text_col))
-    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(where, "doc_id")
-    whole.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return where
+    own = F.monotonically_increasing_id().alias("rid")
+    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), own))
+    placed = assign_shards(rows.select("rid", "text"), shards, "rid").withColumnRenamed("doc_id", "rid")
+    whole = stored(rows.withColumnRenamed("id", "doc_id").join(placed, "rid").drop("rid"))
+    out = whole.select("doc_id", "text", *[c for c in placed.columns if c != "rid"])
+    out.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return out.drop("text")

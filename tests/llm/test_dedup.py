@@ -245,6 +245,17 @@ def test_written_shards_hold_all_texts(spark, documents):
     assert back.join(documents.select("doc_id", F.col("text").alias("t")), "doc_id").where("NOT text <=> t").count() == 0
 
 
+def test_written_shards_keep_null_and_repeated_ids(spark, edges, tmp_path):
+    docs = edges()
+    where = sharding.write_shards(docs, str(tmp_path / "shards"), 3)
+    back = spark.read.parquet(str(tmp_path / "shards")).collect()
+    key = lambda r: (r["doc_id"] or -1, r["text"] or "")
+    assert sorted(map(key, back)) == sorted(map(key, docs.collect()))
+    slots = {(r["shard"], r["slot"]) for r in where.collect()}
+    assert len(slots) == len(back) == 12 and {(r["shard"], r["slot"]) for r in back} == slots
+    assert sharding.write_shards(docs.limit(0), str(tmp_path / "none")).count() == 0
+
+
 def brute_passages(texts, size):
     where = defaultdict(set)
     for d, t in enumerate(texts):

@@ -5,8 +5,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import random
 import re
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -19,8 +22,6 @@ from parlance.llm.queries import ORACLE_SQL, QUERIES
 
 @pytest.fixture(scope="module")
 def sf01(sf_dir):
-    from pathlib import Path
-
     larger = Path(sf_dir).parent / "sf0.01"
     return str(larger) if larger.is_dir() else sf_dir
 
@@ -54,6 +55,67 @@ def test_language_rejects_noise_and_keeps_clean_rows(spark, sf01):
         assert far.all(), (n, near, far)
 
 
+ARTICLES = {
+    "en": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood.",
+    "de": "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und sollen einander im Geist der Brüderlichkeit begegnen.",
+    "fr": "Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience et doivent agir les uns envers les autres dans un esprit de fraternité.",
+    "es": "Todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia, deben comportarse fraternalmente los unos con los otros.",
+}
+
+
+def test_language_keeps_real_sentences_and_rejects_digests(spark):
+    sf = Path("/root/testdata/sf0.1")
+    if not sf.is_dir():
+        pytest.skip(f"no tables at {sf}")
+    model = langid.fit(spark.read.parquet(f"{sf}/documents.parquet"), ~langid.held_out())
+    names, _, far = model.predict(list(ARTICLES.values()))
+    assert names == list(ARTICLES) and not far.any()
+    rng = random.Random(3)
+    digests = [" ".join(f"{rng.getrandbits(128):032x}" for _ in range(n)) for n in (2, 6, 20, 200)]
+    noise = [base64.b64encode(rng.randbytes(300)).decode(), " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(60))]
+    assert model.predict([*digests, *noise])[2].all()
+
+
+def test_language_predictions_against_plain_python(spark, sf_dir, documents):
+    """Every prediction worked out anew, n-gram by n-gram."""
+    model = langid.fit(documents, ~langid.held_out())
+
+    def plain(text):
+        if not text or not any(c.isalpha() for c in text):
+            return "und", 0.0, True
+        low = text.lower()
+        codes = [32]
+        for c in low:
+            if c.isalpha():
+                codes.append(ord(c))
+            elif codes[-1] != 32:
+                codes.append(32)
+        codes += [32] * (codes[-1] != 32)
+        counts = Counter()
+        for order, (start, width) in enumerate(langid.SPANS):
+            for i in range(len(codes) - order):
+                h = 0
+                for c in codes[i : i + order + 1]:
+                    h = (h * 0x9E3779B1 + c) % 2**64
+                counts[start + (h * 0x9E3779B97F4A7C15 % 2**64 >> 40) % width] += 1
+        x = {k: math.log1p(n) * model.idf[k] for k, n in counts.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        cos = [sum(v * c[k] for k, v in x.items()) / norm for c in model.centroids]
+        best = max(range(len(cos)), key=lambda j: (cos[j], -j))
+        n, near = sum(counts.values()), min(max(cos[best], 0), 1)
+        other = max(c for j, c in enumerate(cos) if model.owner[j] != model.owner[best])
+        decided = near >= langid.DECIDED and other <= (langid.GAP if n < langid.SHORT else langid.LONG_GAP) * near
+        letters = sum(c.isalpha() for c in low) / sum(c not in " \t\n\r\x0b\x0c" and not 9 <= ord(c) < 14 for c in low)
+        return model.names[model.owner[best]], near, (near < model.floor[min(int(math.log2(n)), 31)] and not decided) or letters < model.letters
+
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    got = {r["doc_id"]: r for r in langid.language_ids(documents).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        name, score, far = plain(text)
+        assert (got[i]["lang_pred"], got[i]["rejected"]) == (name, far) and got[i]["score"] == pytest.approx(score, abs=1e-9), i
+
+
 def test_floors_of_rare_lengths():
     counted = np.zeros((32, langid.CELLS), np.int64)
     counted[10, 300], counted[10, 700] = 20, 980
