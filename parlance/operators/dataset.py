@@ -69,7 +69,9 @@ def examples(messages: DataFrame, reactions: DataFrame, recipe: Recipe) -> DataF
     reacted = materialized(context_reactions(context, reactions, targets))
     people = sel.all_people(messages.select("author_id", F.transform("mentions", lambda m: m["person_id"]).alias("m"), F.col("quote.author_id").alias("q"), F.transform("quote.mentions", lambda m: m["person_id"]).alias("qm")), "author_id", "m", "q", "qm").union(sel.all_people(reactions, "author_id")).distinct()
     names = materialized(sel.pseudonyms(people, target).withColumnRenamed("pseudonym", "name").union(messages.sparkSession.range(1).select(target.alias("person"), rd.person_name(F.lit(recipe.target_name)).alias("name"))))
-    shown = materialized(_named(messages, names).select(F.col("message_id").alias("id"), "author_id", "author", "shown", "quote_author", "quote_shown", F.col("quote.reply_to").alias("reply_to"), "deleted_at", F.size(F.coalesce("attachments", F.array().cast(messages.schema["attachments"].dataType))).alias("n_att"), F.exists(F.coalesce("mentions", F.array().cast(messages.schema["mentions"].dataType)), lambda m: m["person_id"] == target).alias("to_target"), F.col("text").isNotNull().alias("has_text")))
+    # only what stands in some prompt is rendered; what a reaction is to stands there too
+    used = context.select(F.col("id").alias("message_id")).union(targets.select("target_id")).distinct()
+    shown = materialized(_named(messages.join(used, "message_id", "left_semi"), names).select(F.col("message_id").alias("id"), "author_id", "author", "shown", "quote_author", "quote_shown", F.col("quote.reply_to").alias("reply_to"), "deleted_at", F.size(F.coalesce("attachments", F.array().cast(messages.schema["attachments"].dataType))).alias("n_att"), F.exists(F.coalesce("mentions", F.array().cast(messages.schema["mentions"].dataType)), lambda m: m["person_id"] == target).alias("to_target"), F.col("text").isNotNull().alias("has_text")))
     # replies: the answered message counts only if it is in the same target's context
     inside = context.select("target_id", F.col("id").alias("reply_to")).join(shown.select(F.col("id").alias("reply_to"), F.col("author").alias("o_author"), F.col("shown").alias("o_shown")), "reply_to")
     own_targets = targets.select("target_id", F.col("target_id").alias("id"), F.lit(True).alias("is_target"))
