@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import column, stored
+from parlance.llm.hashing import broadcast_bitmap, hit
 
 CHUNK = 4096
 #: (modulus, base); products with a byte summed over a chunk stay below 2**63.
@@ -73,6 +74,17 @@ def _prints(bits):
     return run
 
 
+def _maybe_shared(bitmap):
+    """Rows whose fingerprint the bitmap of shared ones may hold."""
+
+    def run(batches):
+        for batch in batches:
+            fp = batch.column("fp").to_numpy()
+            yield batch.filter(pa.array(hit(bitmap.value, fp << 2)))
+
+    return run
+
+
 def _part_values(batches):
     for batch in batches:
         own = [values(t.as_buffer()) for t in batch.column("part")]
@@ -138,7 +150,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = stored(shared.where("size > 1"))
     # representatives are copied for every PER_COPY members, and members dealt out among the copies
     copies = F.ceil(F.col("size") / PER_COPY).cast("int")
-    wide = prints.join(shared, key).withColumn("salt", F.pmod(F.xxhash64("doc_id"), copies).cast("int"))
+    # texts that share no fingerprint are not to be shuffled; fingerprints have 62 bits, bitmaps go by the highest of 64
+    bitmap = broadcast_bitmap(shared.select(F.shiftleft("fp", 2).alias("high")), "high")
+    wide = prints.mapInArrow(_maybe_shared(bitmap), prints.schema).join(shared, key).withColumn("salt", F.pmod(F.xxhash64("doc_id"), copies).cast("int"))
     wide = stored(_parts(wide))
     best = wide.where(F.col("text_sha256") == F.col("first")).select(*key, "i", F.col("part").alias("other"), copies.alias("copies")).dropDuplicates([*key, "i"])
     best = stored(best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies"))
