@@ -29,4 +29,4 @@ def test_workers_without_the_package(sf_dir, tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", SCRIPT.format(repo=repo, sf=sf_dir)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
     assert done.returncode == 0, done.stderr[-3000:]
-    assert len([x for x in done.stdout.splitlines() if x.startswith(("op", "pipeline"))]) == 11
+    assert len([x for x in done.stdout.splitlines() if x.startswith(("op", "pipeline"))]) == 14
