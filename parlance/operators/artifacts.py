@@ -154,6 +154,23 @@ def list_artifacts(spark: SparkSession, root: str) -> list[str]:
     return [f"{root}/{n}" for n in sorted(names) if len(n) == 64 and not set(n) - set("0123456789abcdef")]
 
 
+def scan_artifacts(spark: SparkSession, root: str, files: str = "*/manifest.json/part-*") -> DataFrame:
+    """``name, kind, n_files, n_rows, error`` of all artifacts below ``root``, read by tasks: files as rows.
+
+    ``name`` is the folder's. A manifest that can't be read, or that is not of its folder, is a row with an error. The
+    driver lists folders, as Spark does for any path pattern, but opens none.
+    """
+    raw = spark.read.option("wholetext", True).text(f"{root}/{files}").select("value", F.col("_metadata.file_path").alias("path"))
+    at = F.element_at(F.split(F.substring_index("path", f"{root.rstrip('/').rsplit('/', 1)[-1]}/", -1), "/"), 1)
+    body = F.from_json("value", "files map<string,struct<rows:bigint,sha256:string>>, recipe struct<kind:string>, id string").alias("m")
+    rows = raw.select(F.regexp_replace(at, "^[^=]*=", "").alias("name"), body)
+    error = F.when(F.col("m.id").isNull() | F.col("m.files").isNull(), "unreadable manifest").when(F.col("m.id") != F.col("name"), "manifest of another artifact")
+    rows = rows.withColumn("error", error)
+    sound = lambda c: F.when(F.col("error").isNull(), c)
+    n_rows = F.aggregate(F.map_values("m.files"), F.lit(0).cast("long"), lambda a, f: a + F.coalesce(f["rows"], F.lit(0)))
+    return rows.select("name", sound(F.col("m.recipe.kind")).alias("kind"), sound(F.size("m.files")).alias("n_files"), sound(n_rows).alias("n_rows"), "error")
+
+
 def path_size(spark: SparkSession, path: str) -> int:
     """Bytes of all files below a path."""
     fs, where = _files(spark, path)

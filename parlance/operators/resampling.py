@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from parlance.plans.durable import materialized
+from parlance.plans.spread import spread
 
 # The distribution function of a Poisson number with mean 1.
 POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999898032318967)
@@ -49,12 +50,6 @@ def poisson_weights(keys: np.ndarray, samples: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.array(STEPS, np.uint32), drawn, side="right").astype(np.float64)
 
 
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """Dealt to all cores: few rows are much work here, so their bytes don't tell into how many tasks to cut them."""
-    spark = rows.sparkSession
-    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
-
-
 def _merge(names: list[str]):
     def run(table: pa.Table) -> pa.Table:
         out = {"g": table.column("g").slice(0, 1), "at": table.column("at").slice(0, 1)}

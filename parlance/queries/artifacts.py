@@ -99,3 +99,28 @@ def verify_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
         noticed = True
     out = table(spark, sf_dir, "region").where("r_regionkey = 0")
     return out.select(F.lit(ar.list_artifacts(spark, root) == [path]).alias("found"), F.lit(noticed).alias("tampering_found"), F.lit(ar.path_size(spark, path) > size > 0).alias("sized"))
+
+
+@query("SELECT DISTINCT event_id // 1000 AS b FROM events WHERE event_id % 2500 = 7")
+def verify_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of a stored split whose rows are no longer what was written: some texts are another's."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("index"), F.to_json(F.struct(F.col("props").alias("prompt"))).alias("value"))
+    root = fresh_path(spark, "verified")
+    path = f"{root}/{ar.write_artifact(spark, root, {'train.jsonl': rows}, {'kind': 'split'})}"
+    ar.verify_artifact(spark, path)
+    forged = ar.read_part(spark, path, "train.jsonl").withColumn("value", F.when(F.col("index") % 2500 == 7, F.concat("value", F.lit(" "))).otherwise(F.col("value")))
+    return ar.differing_blocks(ar.digest_blocks(forged, "value", "index"), spark.read.parquet(f"{path}/train.jsonl{ar.BLOCKS}"))
+
+
+@query("SELECT sha256(CAST(s_suppkey AS VARCHAR)) AS name, CASE WHEN s_suppkey % 10 > 1 THEN 'k' || s_nationkey END AS kind, CASE WHEN s_suppkey % 10 > 1 THEN 2 END AS n_files, CASE WHEN s_suppkey % 10 > 1 THEN s_suppkey + 5 END AS n_rows, CASE s_suppkey % 10 WHEN 0 THEN 'unreadable manifest' WHEN 1 THEN 'manifest of another artifact' END AS error FROM supplier")
+def scan_artifact_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder with a manifest for every supplier; some can't be read, some are of another folder."""
+    k = F.col("s_suppkey")
+    name = F.sha2(k.cast("string"), 256)
+    ident = F.when(k % 10 == 1, F.sha2(F.lit("other"), 256)).otherwise(name)
+    files = F.create_map(F.lit("a.jsonl"), F.struct(k.cast("long").alias("rows")), F.lit("b.jsonl"), F.struct(F.lit(5).cast("long").alias("rows")))
+    body = F.to_json(F.struct(files.alias("files"), F.struct(F.concat(F.lit("k"), "s_nationkey").alias("kind")).alias("recipe"), ident.alias("id")))
+    text = F.when(k % 10 == 0, F.substring(body, 1, 20)).otherwise(body)
+    root = fresh_path(spark, "folders")
+    table(spark, sf_dir, "supplier").select(name.alias("artifact"), text.alias("value")).write.partitionBy("artifact").text(root)
+    return ar.scan_artifacts(spark, root, "artifact=*/part-*")

@@ -10,6 +10,7 @@ from parlance.operators import evaluation as ev
 from parlance.operators import resampling as rs
 from parlance.operators import matching as mt
 from parlance.plans.durable import materialized
+from parlance.plans.spread import split_scan
 from parlance.queries.registry import query, table
 
 THRESHOLD = 50
@@ -125,7 +126,7 @@ FEATURE_SQL = f"""
 def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = tx.features(F.col("text"))
     ratios = ("punctuation_density", "uppercase_ratio")
-    return table(spark, sf_dir, "documents").select("doc_id", *[(F.round(f[n], 9) if n in ratios else f[n]).alias(n) for n in tx.FEATURES])
+    return split_scan(table(spark, sf_dir, "documents")).select("doc_id", *[(F.round(f[n], 9) if n in ratios else f[n]).alias(n) for n in tx.FEATURES])
 
 
 MEANS = ", ".join(f"round(avg({n}), 6) AS {n}" for n in tx.FEATURES)

@@ -10,6 +10,7 @@ from parlance.operators import parsing as p
 from parlance.operators import revisions as rv
 from parlance.plans.durable import fresh_path, materialized
 from parlance.plans.fence import fenced
+from parlance.plans.spread import split_scan
 from parlance.queries.registry import query, table
 from parlance.sources import events as src
 from parlance.streaming import ingest as st
@@ -67,7 +68,7 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, payload, seq`` as a source would give them, in as many splits as there are cores."""
-    lines = envelopes(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+    lines = split_scan(envelopes(spark, sf_dir))
     line = F.trim("value")
     return lines.select(F.concat(F.lit("signal:"), F.sha2(line, 256)).alias("id"), line.alias("payload"), "seq")
 
@@ -273,6 +274,38 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.latest(spark, f"{base}/out")
 
 
+@query(f"WITH {EXPECTED}, y AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS n FROM x) SELECT CAST(sum(n) AS BIGINT) AS received, count(*) FILTER (WHERE kind <> 'skipped') AS stored, count(*) FILTER (WHERE kind IN ('message', 'edit', 'delete')) AS messages, count(*) FILTER (WHERE kind = 'reaction') AS reactions, CAST(sum(n) FILTER (WHERE kind = 'skipped') AS BIGINT) AS skipped, CAST(coalesce(sum(n - 1) FILTER (WHERE kind <> 'skipped'), 0) AS BIGINT) AS duplicates FROM y")
+def stream_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and their repetitions come as a stream, before and after a restart; what comes is counted while it is stored."""
+    base = fresh_path(spark, "harvest")
+    raw = raw_events(spark, sf_dir)
+    for rows in (raw, raw.where("seq % 3 = 0")):
+        stream = p.parse_events(_stream_of(spark, rows, base), CHATS)
+        st.ingest_counted(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return st.counted(spark, f"{base}/out")
+
+
+@query("WITH e AS (SELECT CAST(event_id AS VARCHAR) AS turn_id, ts, event_id % 9 AS n, event_type = 'error' AS stopped, event_id % 4 = 0 AS lost FROM events) SELECT turn_id, CASE WHEN n > 0 THEN 500.0 END AS first_token_ms, n AS tokens, CASE WHEN stopped THEN 'cancelled' WHEN lost THEN 'timeout' ELSE 'done' END AS outcome FROM e")
+def stream_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A generation for every event: a start, tokens twice a second, some of which come twice, and an end, a cancellation or nothing."""
+    e = split_scan(table(spark, sf_dir, "events").select("event_id", "ts", "event_type"))
+    n = (F.col("event_id") % 9).cast("int")
+    last = F.when(F.col("event_type") == "error", "cancel").when(F.col("event_id") % 4 == 0, F.lit(None)).otherwise("end")
+    step = F.posexplode(F.concat(F.array(F.lit("start")), F.array_repeat(F.lit("token"), n), F.array_compact(F.array(last)))).alias("place", "kind")
+    steps = e.select(F.col("event_id").cast("string").alias("turn_id"), F.col("ts").cast("timestamp").alias("t"), step)
+    steps = steps.withColumn("at", F.timestamp_micros(F.unix_micros("t") + F.col("place") * 500_000)).select("turn_id", "at", "kind", "place")
+    base = fresh_path(spark, "turns")
+    steps.union(steps.where("place % 3 = 1")).write.parquet(f"{base}/in")
+    # long after all others: they let the windows before them close
+    end = lambda days: steps.agg(F.lit("end").alias("turn_id"), (F.max("at") + F.make_interval(days=F.lit(days))).alias("at"), F.lit("start").alias("kind"), F.lit(0).alias("place"))
+    stream = spark.readStream.schema(steps.schema).parquet(f"{base}/in")
+    for run in range(1, 4):
+        query_ = st.turn_sessions(stream, "60 seconds", "10 seconds").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        query_.awaitTermination()
+        end(run).write.mode("append").parquet(f"{base}/in")
+    return spark.read.parquet(f"{base}/out").where("turn_id <> 'end'").select("turn_id", F.col("first_token_ms"), "tokens", "outcome")
+
+
 @query("SELECT user_id % 50 AS id, 1 AS n FROM events GROUP BY user_id % 50")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every content comes once out of a stream that repeats it in all of its batches, before and after a restart."""
@@ -285,6 +318,17 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("id").agg(F.count("*").cast("int").alias("n"))
 
 
+@query("SELECT user_id % 50 AS id, 1 AS n FROM events GROUP BY user_id % 50")
+def stream_dedup_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with state that is given up ten years of event time after an id came first."""
+    base = fresh_path(spark, "dedup")
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("id"), F.col("ts").cast("timestamp").alias("arrived_at"), F.col("event_id").alias("seq"))
+    for part in (0, 1):
+        stream = _stream_of(spark, e.where(F.col("seq") % 2 == part), base)
+        st.ingest(st.deduplicated(stream, "3650 days"), f"{base}/events", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/events").groupBy("id").agg(F.count("*").cast("int").alias("n"))
+
+
 @query(f"WITH r AS ({REVISIONS}), k AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY revision_at DESC, seq DESC) AS n FROM r) SELECT CAST(message_id AS VARCHAR) AS key, seq, 0 AS late FROM k WHERE n = 1")
 def stream_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest revisions first, deletions among them; older ones, which come after a restart, change nothing.
