@@ -170,11 +170,11 @@ def format_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.format_violation(text).alias("bad"))
 
 
-@query("SELECT event_id, event_id % 3 = 1 AS unknown FROM events")
+@query("SELECT conv_id, turn, len(list_filter(regexp_extract_all(text || ' @' || role || ' and @eve.', '@[\\pL\\pN_.-]+'), lambda x: x NOT IN ('@user', '@eve.'))) > 0 AS unknown FROM conversations")
 def unknown_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("event_id") % 3
-    said = F.when(i == 0, "hi @ann and @bob.").when(i == 1, "hi @ann @eve").otherwise("nobody")
-    return table(spark, sf_dir, "events").select("event_id", tx.unknown_mention(said, F.lit("@ann: ask @bob. or @carl")).alias("unknown"))
+    """Turns that mention someone beside the two whom their prompt knows: an assistant's or a system's role, or who stands in the text."""
+    said = F.concat("text", F.lit(" @"), "role", F.lit(" and @eve."))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.unknown_mention(said, F.lit("@user: ask @eve.")).alias("unknown"))
 
 
 def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
