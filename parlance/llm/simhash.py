@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import column, components, kept_columns, pack, row_field, row_with, stored
+from parlance.llm.hashing import broadcast_bitmap, hit
 
 SEED = 42
 MAX_BITS = 3
@@ -217,16 +218,31 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(found, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _marked(bitmap, held: bool):
+    """Rows whose hash the bitmap holds, or those whose hash it does not."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(hit(bitmap.value, batch.column("h").to_numpy()) == held))
+
+    return run
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bucket: int = 4096) -> DataFrame:
     """The rows that stay, one of each component, with the caller's columns.
 
     The row with the smallest id stays (ids that are null come last); of rows that repeat an id
     and a fingerprint, any one. Null, empty and blank texts are one group, of which one row stays.
-    An empty table stays empty; columns may have any name. Each text is read once, and whole rows
-    are shuffled once, to meet the numbers of those that stay.
+    An empty table stays empty; columns may have any name. Rows whose number a bitmap of those that
+    go does not hold stay without a shuffle; the few others meet the exact numbers in a join.
     """
     whole = stored(with_fingerprints(docs, text_col).withColumn("rid", F.monotonically_increasing_id()))
     rows = whole.select(row_field(id_col).alias("doc_id"), "fp", "rid")
     keep = groups(rows, max_bucket).select(F.col("component_id").alias("k_id"), F.col("keep_fp").alias("k_fp")).distinct()
     kept = rows.join(keep, (rows.fp == keep.k_fp) & rows.doc_id.eqNullSafe(keep.k_id)).groupBy("fp", "doc_id").agg(F.min("rid").alias("rid"))
-    return kept_columns(whole.join(stored(kept.select("rid")), "rid", "left_semi"), docs)
+    gone = stored(rows.select("rid").join(kept.select("rid"), "rid", "left_anti"))
+    bitmap = broadcast_bitmap(gone.select(F.xxhash64("rid").alias("h")), "h")
+    marked = whole.select("row", "rid", F.xxhash64("rid").alias("h"))
+    sure = marked.mapInArrow(_marked(bitmap, False), marked.schema)
+    unsure = marked.mapInArrow(_marked(bitmap, True), marked.schema).join(gone, "rid", "left_anti")
+    return kept_columns(sure.select("row").union(unsure.select("row")), docs)
