@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,9 +31,11 @@ FEATURES = (
 )
 
 
-@F.pandas_udf(T.StringType())
-def _folded(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
+@F.arrow_udf(T.StringType())
+def _folded(texts: pa.Array) -> pa.Array:
+    # one text after another, so that a batch of long ones is not held as objects
+    each = (x.as_py() for x in texts)
+    return pa.array((None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()) for t in each), pa.string())
 
 
 def normalize_text(text: Column) -> Column:

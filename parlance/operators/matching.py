@@ -3,7 +3,8 @@
 Windows of ``threshold`` characters that both sides have are paired into windows twice as long, again
 and again; each candidate then looks for the longest string that starts and ends with its longest
 windows. All joins are semi-joins with distinct windows, so texts never meet pair by pair, however
-many share a passage, and no text travels with its windows.
+many share a passage, and no text travels with its windows. A candidate's window is a row only where a
+broadcast bitmap of the training windows may hold it, so that the rest of its text never leaves its task.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from parlance.functions.text import windows
+from parlance.plans.bitmaps import broadcast_bitmap, held
 from parlance.plans.durable import materialized
 
 SEED = 16
@@ -39,50 +42,75 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def window_hasher(size: int):
-    """A function that gives two 62-bit hashes of each window of ``size`` in an array of code points."""
+    """A function that gives two 62-bit hashes of windows of ``size`` in an array of code points.
+
+    It returns the places of the windows and their hashes; with a bitmap, of those only that it may hold.
+    """
     up = [powers(b, BLOCK + size) for b in BASES]
     down = [powers(pow(b, -1, PRIME), BLOCK + size) for b in BASES]
 
-    def hashes(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, found = len(chars) - size + 1, []
-        for u, d in zip(up, down):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(chars * u[: len(chars)] % PRIME)])
-            # the sum of a window counts its place as a power, which the inverse power takes out
-            found.append(((sums[size:] - sums[:-size]) % PRIME * d[:n] % PRIME).astype(np.int64))
-        return found[0] << 31 | found[1], found[2] << 31 | found[3]
+    def sums(chars: np.ndarray, i: int) -> np.ndarray:
+        out = np.zeros(len(chars) + 1, np.uint64)
+        np.cumsum(chars * up[i][: len(chars)] % PRIME, out=out[1:])
+        return out
+
+    def hashed(chars: np.ndarray, i: int) -> np.ndarray:
+        # the sum of a window counts its place as a power, which the inverse power takes out
+        total, n = sums(chars, i), len(chars) - size + 1
+        return ((total[size:] - total[:-size]) % PRIME * down[i][:n] % PRIME).astype(np.int64)
+
+    def some(chars: np.ndarray, at: np.ndarray, i: int) -> np.ndarray:
+        out = np.zeros(len(at), np.uint64)
+        for k in range(size):
+            out = (out + chars[at + k] * up[i][k]) % PRIME
+        return out.astype(np.int64)
+
+    def hashes(chars: np.ndarray, bitmap: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h1 = hashed(chars, 0) << 31 | hashed(chars, 1)
+        if bitmap is None:
+            return np.arange(len(h1)), h1, hashed(chars, 2) << 31 | hashed(chars, 3)
+        at = np.flatnonzero(held(bitmap, h1))
+        h2 = some(chars, at, 2) << 31 | some(chars, at, 3)
+        kept = held(bitmap, h2)
+        return at[kept], h1[at[kept]], h2[kept]
 
     return hashes
 
 
-def positioned(texts: DataFrame, ident: str, text: str, size: int, stride: int = 1) -> DataFrame:
-    """``ident, pos, h1, h2``: a 124-bit digest of the window at each (sampled) position from 0; null and short texts have none."""
+def positioned(texts: DataFrame, ident: str, text: str, size: int, stride: int = 1, bitmap: Broadcast | None = None) -> DataFrame:
+    """``ident, pos, h1, h2``: a 124-bit digest of the window at each (sampled) position from 0; null and short texts have none.
+
+    With a bitmap of digests only windows that it may hold.
+    """
     schema = StructType([texts.schema[ident], *[StructField(n, LongType()) for n in ("pos", "h1", "h2")]])
 
     def blocks(batches):
         hashes = window_hasher(size)
+        wanted = bitmap.value if bitmap else None
         for batch in batches:
             ids = batch.column(0)
             for i, value in enumerate(batch.column(1)):
                 chars = np.frombuffer((value.as_py() or "").encode("utf-32-le"), np.uint32)
                 for start in range(0, len(chars) - size + 1, BLOCK):
-                    h1, h2 = hashes(chars[start : start + BLOCK + size - 1].astype(np.uint64))
-                    pos = np.arange(start, start + len(h1))
+                    pos, h1, h2 = hashes(chars[start : start + BLOCK + size - 1].astype(np.uint64), wanted)
+                    pos = pos + start
                     kept = pos % stride == 0
-                    yield ids, np.full(kept.sum(), i), pos[kept], h1[kept], h2[kept]
+                    if kept.any():
+                        yield ids, np.full(kept.sum(), i), pos[kept], h1[kept], h2[kept]
 
     def each(batches):
-        held, rows, column = [], 0, None
+        waiting, rows, column = [], 0, None
         for ids, *arrays in blocks(batches):
-            if held and (rows >= ROWS or ids is not column):
-                yield packed(column, held)
-                held, rows = [], 0
+            if waiting and (rows >= ROWS or ids is not column):
+                yield packed(column, waiting)
+                waiting, rows = [], 0
             column, rows = ids, rows + len(arrays[0])
-            held.append(arrays)
-        if held:
-            yield packed(column, held)
+            waiting.append(arrays)
+        if waiting:
+            yield packed(column, waiting)
 
-    def packed(ids, held):
-        at, *columns = (np.concatenate(a) for a in zip(*held))
+    def packed(ids, arrays):
+        at, *columns = (np.concatenate(a) for a in zip(*arrays))
         return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *map(pa.array, columns)], names=schema.names)
 
     return texts.select(ident, text).mapInArrow(each, schema)
@@ -93,8 +121,9 @@ def seed_pairs(candidates: DataFrame, training: DataFrame, threshold: int) -> Da
     seed = min(threshold, SEED)
     t = training.where(F.length("norm") >= threshold)
     c = candidates.where(F.length("norm") >= threshold)
-    index = positioned(t, "train_id", "norm", seed, threshold - seed + 1).select("train_id", "h1", "h2").distinct()
-    probes = positioned(c, "cand_id", "norm", seed).select("cand_id", "h1", "h2").distinct()
+    index = materialized(positioned(t, "train_id", "norm", seed, threshold - seed + 1).select("train_id", "h1", "h2").distinct())
+    bitmap = broadcast_bitmap(index.select("h1", "h2").distinct(), "h1", "h2")
+    probes = positioned(c, "cand_id", "norm", seed, bitmap=bitmap).select("cand_id", "h1", "h2").distinct()
     return probes.join(index, ["h1", "h2"]).select("cand_id", "train_id").distinct()
 
 
@@ -131,7 +160,9 @@ def longest_matches(candidates: DataFrame, training: DataFrame, threshold: int)
     and false beyond, so ``d`` is found by bisection for all candidates at once. The first ``d`` tried is the
     length of the longest run of windows, mostly the answer. Null and short texts match nothing.
     """
-    c, t = (positioned(x, i, "norm", threshold).withColumnRenamed(i, "id") for x, i in ((candidates, "cand_id"), (training, "train_id")))
+    t = materialized(positioned(training, "train_id", "norm", threshold).withColumnRenamed("train_id", "id"))
+    bitmap = broadcast_bitmap(t.select("h1", "h2").distinct(), "h1", "h2")
+    c = positioned(candidates, "cand_id", "norm", threshold, bitmap=bitmap).withColumnRenamed("cand_id", "id")
     c, t = (materialized(x) for x in shared_levels(c, t, threshold))
     line = Window.partitionBy("id").orderBy("pos")
     runs = c.withColumn("run", F.col("pos") - F.row_number().over(line)).groupBy("id", "size", "run").agg(F.count("*").alias("n"))

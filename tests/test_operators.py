@@ -23,6 +23,7 @@ from parlance.operators import panel as pn
 from parlance.operators import resampling as rs
 from parlance.operators import selection as sel
 from parlance.operators import transcripts as tr
+from parlance.plans.bitmaps import broadcast_bitmap
 from parlance.plans.durable import fresh_path
 from parlance.plans.ordering import global_rank
 
@@ -134,6 +135,25 @@ def test_longest_match_of_one_passage_in_all_texts_and_of_chance_runs(spark):
     assert mt.longest_matches(c, t.where("false"), 8).where("longest > 0").isEmpty() and mt.longest_matches(c.where("false"), t, 8).isEmpty()
 
 
+def test_windows_that_no_training_text_has_are_no_rows(spark):
+    """Of candidates' windows only those that the bitmap may hold leave their task; no pair that shares a seed is lost."""
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefgh é😀") for _ in range(n))
+    train = [noise(200) for _ in range(8)] + ["", None, "short"]
+    cand = [noise(300) + (rng.choice(train[:8])[20:90] if i % 3 == 0 else "") + noise(300) for i in range(30)] + ["", None]
+    c = spark.createDataFrame(list(enumerate(cand)), "cand_id int, norm string")
+    t = spark.createDataFrame(list(enumerate(train)), "train_id int, norm string")
+    seeds = {(j, y[k : k + 16]) for j, y in enumerate(train) if y and len(y) >= 50 for k in range(0, len(y) - 15, 35)}
+    pairs = {(i, j) for i, x in enumerate(cand) for j, w in seeds if x and w in x}
+    assert pairs and {tuple(r) for r in mt.seed_pairs(c, t, 50).collect()} == pairs
+    every = mt.positioned(t, "train_id", "norm", 50)
+    bitmap = broadcast_bitmap(every, "h1", "h2")
+    kept = {(r["cand_id"], r["pos"]) for r in mt.positioned(c, "cand_id", "norm", 50, bitmap=bitmap).collect()}
+    known = {y[k : k + 50] for y in train if y for k in range(len(y) - 49)}
+    shared = {(i, k) for i, x in enumerate(cand) if x for k in range(len(x) - 49) if x[k : k + 50] in known}
+    assert shared <= kept and len(kept) < len(shared) + 20 < mt.positioned(c, "cand_id", "norm", 50).count() // 10
+
+
 def test_normalize_text(spark):
     texts = ["Straße ﬁn", "ΑΣ", "  a\x1cB ", "", "İx", None]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
