@@ -343,8 +343,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from parlance.operators import revisions as rv
     from parlance.queries.ingest import parsed
 
-    rows = parsed(spark, sf_dir)
-    return materialized(rv.current_messages(rows, "seq")), materialized(rv.current_reactions(rows))
+    # parsed once for both
+    rows = materialized(parsed(spark, sf_dir).drop("payload"))
+    return materialized(rv.current_messages(rows, "seq")), rv.current_reactions(rows)
 
 
 def recipe(messages: DataFrame) -> ds.Recipe:
