@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def parts(spark: SparkSession) -> int:
+    """As many parts as there are cores, or as a shuffle has if these are more."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """Dealt to all cores: for few rows that are much work each, however few bytes they have."""
-    spark = rows.sparkSession
-    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    return rows.repartition(parts(rows.sparkSession), *keys)
 
 
 def split_scan(scan: DataFrame) -> DataFrame:

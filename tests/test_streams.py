@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 from test_parsing import SIX, envelope, group, parse
 
 from parlance.operators import revisions as rv
@@ -119,3 +120,25 @@ def test_upserts_give_only_what_a_batch_changes(spark, tmp_path):
     for r in spark.read.parquet(str(tmp_path / "out")).collect():
         got.setdefault(r["batch"], set()).add((r["key"], r["revision"], r["seq"], r["body"]))
     assert got == {0: {("a", 2, 1, "new"), ("b", 5, 1, "gone"), ("c", 1, 1, "x")}, 1: {("c", 1, 2, "y"), ("d", 1, 1, None)}, 2: {("a", 3, 1, "newer")}}
+
+
+def test_micro_batches_are_written_by_all_cores(spark, tmp_path):
+    """A stream made of a table comes in three batches, none of them in a file of its own."""
+    from parlance.plans.spread import parts
+    from parlance.queries import ingest
+
+    rows = spark.range(500).select(F.col("id").cast("string").alias("id"), F.col("id").alias("seq"))
+    stream = ingest._stream_of(spark, rows, str(tmp_path))
+    st.ingest(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert len(list((tmp_path / "in").glob("part-*"))) >= parts(spark) > 3
+    assert got.select("batch").distinct().count() == 3 and {r["seq"] for r in got.collect()} == set(range(500))
+
+
+def test_counts_and_corpus_parse_once(spark, sf_dir):
+    """What several tables are made of is parsed before, not again in each."""
+    from parlance.queries import QUERIES
+    from parlance.queries.dataset import corpus
+
+    for df in (QUERIES["store_stats"](spark, sf_dir), *corpus(spark, sf_dir)):
+        assert "parse_json" not in df._jdf.queryExecution().optimizedPlan().toString()
