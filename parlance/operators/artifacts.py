@@ -158,9 +158,10 @@ def scan_artifacts(spark: SparkSession, root: str, files: str = "*/manifest.json
     """``name, kind, n_files, n_rows, error`` of all artifacts below ``root``, read by tasks: files as rows.
 
     ``name`` is the folder's. A manifest that can't be read, or that is not of its folder, is a row with an error. The
-    driver lists folders, as Spark does for any path pattern, but opens none.
+    driver lists what ``files`` matches up to its last part; the files in these folders are listed by tasks.
     """
-    raw = spark.read.option("wholetext", True).text(f"{root}/{files}").select("value", F.col("_metadata.file_path").alias("path"))
+    folders, names = files.rsplit("/", 1)
+    raw = spark.read.option("wholetext", True).option("pathGlobFilter", names).text(f"{root}/{folders}").select("value", F.col("_metadata.file_path").alias("path"))
     at = F.element_at(F.split(F.substring_index("path", f"{root.rstrip('/').rsplit('/', 1)[-1]}/", -1), "/"), 1)
     body = F.from_json("value", "files map<string,struct<rows:bigint,sha256:string>>, recipe struct<kind:string>, id string").alias("m")
     rows = raw.select(F.regexp_replace(at, "^[^=]*=", "").alias("name"), body)

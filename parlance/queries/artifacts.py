@@ -10,6 +10,7 @@ from parlance.operators import artifacts as ar
 from parlance.operators import evaluation as ev
 from parlance.operators import panel as pn
 from parlance.plans.durable import fresh_path
+from parlance.plans.spread import spread
 from parlance.queries import panel as panel_queries
 from parlance.queries.evaluation import SCORES, predictions, rounded, scores
 from parlance.queries.registry import query, table
@@ -122,5 +123,7 @@ def scan_artifact_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.to_json(F.struct(files.alias("files"), F.struct(F.concat(F.lit("k"), "s_nationkey").alias("kind")).alias("recipe"), ident.alias("id")))
     text = F.when(k % 10 == 0, F.substring(body, 1, 20)).otherwise(body)
     root = fresh_path(spark, "folders")
-    table(spark, sf_dir, "supplier").select(name.alias("artifact"), text.alias("value")).write.partitionBy("artifact").text(root)
+    # a folder for each row: tasks put their files in place themselves, the driver does not move them one by one
+    rows = table(spark, sf_dir, "supplier").select(name.alias("artifact"), text.alias("value"))
+    spread(rows, "artifact").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("artifact").text(root)
     return ar.scan_artifacts(spark, root, "artifact=*/part-*")
