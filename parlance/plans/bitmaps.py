@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bits of a bitmap: as the number of keys asks for, between these (128 KB and 16 MB).
@@ -32,3 +33,18 @@ def broadcast_bitmap(keys: DataFrame, *columns: str) -> Broadcast:
     bitmap = np.zeros(1 << bits - 6, np.int64)
     bitmap[got["w"].to_numpy()] = got["b"].to_numpy()
     return keys.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8))
+
+
+def hash_place(key: str) -> Column:
+    """A hash of WIDTH bits of one column."""
+    return F.shiftrightunsigned(F.xxhash64(key), 64 - WIDTH)
+
+
+def may_hold(bitmap: Broadcast, key: str) -> Column:
+    """Whether a bitmap of ``hash_place`` may hold a row's key; only the hashes pass Python."""
+
+    @F.arrow_udf("boolean")
+    def there(h: pa.Array) -> pa.Array:
+        return pa.array(held(bitmap.value, h.to_numpy(zero_copy_only=False)))
+
+    return there(hash_place(key))

@@ -24,8 +24,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialized(df: DataFrame) -> DataFrame:
+def materialized(df: DataFrame, codec: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends, its rows can't change."""
     path = fresh_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

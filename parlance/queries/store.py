@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.operators import parsing as p
 from parlance.operators import revisions as rv
-from parlance.operators.store import MessageStore
+from parlance.operators.store import CODEC, MessageStore
 from parlance.plans.bucketed import bucketed
 from parlance.plans.durable import fresh_path, materialized
 from parlance.queries.ingest import CHATS, CURRENT, EXPECTED, REVISIONS, parsed, raw_events, revision_log
@@ -52,7 +52,7 @@ def _die() -> None:
 def filled(spark: SparkSession, sf_dir: str) -> MessageStore:
     """Three batches of events, the second sent again with some of the first; the third's first writer dies."""
     store = MessageStore(spark, fresh_path(spark, "store"), BUCKETS)
-    rows = materialized(parsed(spark, sf_dir))
+    rows = materialized(parsed(spark, sf_dir), CODEC)
     batches = [rows.where("seq % 3 = 0"), rows.where("seq % 3 = 1 OR seq % 6 = 0"), rows.where("seq % 3 = 2")]
     store.commit(batches[0], batch=0)
     store.commit(batches[1], batch=1)

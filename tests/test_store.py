@@ -94,3 +94,29 @@ def test_buckets_need_no_exchange(spark):
         assert "EqualTo(author_id,someone)" in plan(mine)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def shuffled(spark) -> int:
+    """Bytes that all stages so far have written for shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(spark._jvm.double, 0), None).iterator()
+    n = 0
+    while stages.hasNext():
+        n += stages.next().shuffleWriteBytes()
+    return n
+
+
+def test_whole_rows_are_shuffled_once(spark):
+    import random
+
+    store = MessageStore(spark, fresh_path(spark, "store"), 4)
+    draw = random.Random(1)
+    events = [envelope(f"u{i}", 1000 + i, dataMessage=group(draw.randbytes(1500).hex(), 1000 + i)) for i in range(200)]
+    rows = materialized(parse(spark, events))
+    size, start = 200 * 3000, shuffled(spark)
+    store.commit(rows.where("seq < 100"))
+    # some that are there already, and the rest
+    store.commit(rows.where("seq >= 90"))
+    committed = shuffled(spark)
+    assert store.events().count() == 200 and len(texts(store)) == 200 and committed - start < 1.5 * size
+    assert not any(store.reindex(lambda raw: p.parse_events(raw, ["g"])).values()) and shuffled(spark) - committed < size / 4
