@@ -80,3 +80,22 @@ def test_vocabulary_is_checked(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(bpe, "LARGEST", 3)
     with pytest.raises(ValueError, match="too large"):
         bpe.vocabulary(spark, str(tmp_path / "v"))
+
+
+def test_long_words_take_no_quadratic_time():
+    import random
+    import time
+
+    ranks = {bytes([i]): i for i in range(256)} | {bytes([a, b]): 256 + 26 * a + b for a in range(97, 123) for b in range(97, 123)}
+    word = bytes(random.Random(1).choices(range(97, 123), k=6000))
+    start = time.process_time()
+    got = bpe.merged(word, ranks)
+    # all pairs looked at anew for each merge took some seconds
+    assert time.process_time() - start < 1
+    assert b"".join({v: k for k, v in ranks.items()}[t] for t in got) == word and len(got) < 4500
+
+
+def test_a_text_is_encoded_word_by_word_once():
+    encoder = bpe.Encoder({bytes([i]): i for i in range(256)} | {b"ab": 256, b" ab": 300})
+    assert encoder.tokens("ab ab aab") == [256, 300, 32, 97, 256] and encoder.count("ab ab aab") == 5 and encoder.tokens("") == []
+    assert set(encoder.known) == {"ab", " ab", " aab"}
