@@ -105,12 +105,21 @@ def windows(text: Column, size: int, piece: int = 1024) -> Column:
     return F.when(n >= size, F.transform(pieces, inside)).otherwise(F.array().cast("array<array<string>>"))
 
 
+def beginning(text: Column, limit: int) -> Column:
+    """The text up to where it surely has more than ``limit`` columns, however its whitespace is shown; else all of it.
+
+    Each character that is neither whitespace nor a mark takes a column at least.
+    """
+    return F.regexp_extract(text, f"(?sU)^(?:[\\s\\p{{Mn}}]*+[^\\s\\p{{Mn}}]){{0,{limit + 1}}}+[\\s\\p{{Mn}}]*+", 0)
+
+
 def display_prefix(text: Column, limit: int) -> Column:
     """``text`` cut to ``limit`` columns with an ellipsis; wide characters take two, marks none."""
     # The blocks of wide characters that names and chats have.
     wide = "[\\x{1100}-\\x{115F}\\x{231A}\\x{231B}\\x{2E80}-\\x{303E}\\x{3041}-\\x{33FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{A000}-\\x{A4CF}\\x{AC00}-\\x{D7A3}\\x{F900}-\\x{FAFF}\\x{FE30}-\\x{FE6F}\\x{FF00}-\\x{FF60}\\x{FFE0}-\\x{FFE6}\\x{1F300}-\\x{1F64F}\\x{1F900}-\\x{1F9FF}\\x{20000}-\\x{3FFFD}]"
     width = lambda c: F.when(c.rlike("^\\p{Mn}$"), 0).when(c.rlike(f"^{wide}$"), 2).otherwise(1)
-    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    # what comes after more than ``limit`` columns changes nothing
+    chars = F.regexp_extract_all(beginning(text, limit), F.lit("(?s)."), F.lit(0))
     total = F.aggregate(chars, F.lit(0), lambda s, c: s + width(c))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("w"), F.lit(False).alias("full"))
 
@@ -124,9 +133,9 @@ def display_prefix(text: Column, limit: int) -> Column:
 
 def title(explicit: Column, first_user_text: Column) -> Column:
     """A chat's title: the given one (64 columns), else its first user text (48), else Chat."""
-    one_line = lambda x: F.trim(F.regexp_replace(x, "(?U)\\s+", " "))
-    found = F.coalesce(F.nullif(one_line(first_user_text), F.lit("")), F.lit("Chat"))
-    return F.when(explicit.isNotNull(), display_prefix(one_line(explicit), 64)).otherwise(display_prefix(found, 48))
+    one_line = lambda x, limit: F.trim(F.regexp_replace(beginning(x, limit), "(?U)\\s+", " "))
+    found = F.coalesce(F.nullif(one_line(first_user_text, 48), F.lit("")), F.lit("Chat"))
+    return F.when(explicit.isNotNull(), display_prefix(one_line(explicit, 64), 64)).otherwise(display_prefix(found, 48))
 
 
 def basename(path: Column) -> Column:

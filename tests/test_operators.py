@@ -370,3 +370,24 @@ def test_own_identity_is_one(spark):
     assert sel.self_identity(people.limit(1)).first()["person"] == "a"
     with pytest.raises(Exception, match="found 2"):
         sel.self_identity(people).collect()
+
+
+def test_titles_look_at_the_beginning_of_a_text_only(spark):
+    starts = ["word " * 3, " \n\t" * 40 + "a" * 47, "é" * 48, "é" * 49, "e" + "́" * 90 + "x" * 60, "名" * 24, "名 " * 30, " ́ " * 60 + "y" * 50, ""]
+    df = spark.createDataFrame([(s + end,) for s in starts for end in ("", " ", " tail" * 100, "́" * 50)], "t string")
+    one_line = F.trim(F.regexp_replace("t", "(?U)\\s+", " "))
+    rows = df.select("t", one_line.alias("line"), tx.title(F.lit(None).cast("string"), F.col("t")).alias("title"), tx.beginning(F.col("t"), 48).alias("start")).collect()
+
+    def width(c):
+        return 0 if c == "́" else 2 if c == "名" else 1
+
+    for r in rows:
+        out, used = "", 0
+        for c in r["line"]:
+            used += width(c)
+            if used > 47:
+                break
+            out += c
+        want = r["line"] if sum(map(width, r["line"])) <= 48 else out.rstrip() + "…"
+        assert r["title"] == (want or "Chat"), r["t"]
+        assert r["t"].startswith(r["start"]) and sum(c not in " \n\t́" for c in r["start"]) <= 49
