@@ -23,8 +23,8 @@ from parlance.plans.bitmaps import broadcast_bitmap, held
 from parlance.plans.durable import materialized
 
 SEED = 16
-#: Characters that a task hashes at once, windows that it hands on at once.
-BLOCK = 1 << 16
+#: Characters that a task hashes at once (few enough for a core's cache), windows that it hands on at once.
+BLOCK = 1 << 13
 ROWS = 1 << 17
 PRIME = (1 << 31) - 1
 BASES = (48271, 69621, 1000003, 16777619)
@@ -41,6 +41,17 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+def reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo PRIME, in place: what is above its 31 bits is worth as much as below, so no division is needed."""
+    prime, bits = np.uint64(PRIME), np.uint64(31)
+    for _ in range(2):
+        high = x >> bits
+        x &= prime
+        x += high
+    # without a sign, what is below PRIME becomes huge by taking it off
+    return np.minimum(x, x - prime, out=x)
+
+
 def window_hasher(size: int):
     """A function that gives two 62-bit hashes of windows of ``size`` in an array of code points.
 
@@ -51,25 +62,26 @@ def window_hasher(size: int):
 
     def sums(chars: np.ndarray, i: int) -> np.ndarray:
         out = np.zeros(len(chars) + 1, np.uint64)
-        np.cumsum(chars * up[i][: len(chars)] % PRIME, out=out[1:])
+        np.cumsum(reduced(chars * up[i][: len(chars)]), out=out[1:])
         return out
 
     def hashed(chars: np.ndarray, i: int) -> np.ndarray:
         # the sum of a window counts its place as a power, which the inverse power takes out
         total, n = sums(chars, i), len(chars) - size + 1
-        return ((total[size:] - total[:-size]) % PRIME * down[i][:n] % PRIME).astype(np.int64)
+        return reduced(reduced(total[size:] - total[:-size]) * down[i][:n]).view(np.int64)
 
     def some(chars: np.ndarray, at: np.ndarray, i: int) -> np.ndarray:
-        out = np.zeros(len(at), np.uint64)
-        for k in range(size):
-            out = (out + chars[at + k] * up[i][k]) % PRIME
-        return out.astype(np.int64)
+        # all characters of the windows at once: a step for each place in a window would cost more than the windows
+        products = reduced(chars[at[:, None] + np.arange(size)] * up[i][:size])
+        return reduced(products.sum(axis=1, dtype=np.uint64)).view(np.int64)
 
     def hashes(chars: np.ndarray, bitmap: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h1 = hashed(chars, 0) << 31 | hashed(chars, 1)
         if bitmap is None:
             return np.arange(len(h1)), h1, hashed(chars, 2) << 31 | hashed(chars, 3)
         at = np.flatnonzero(held(bitmap, h1))
+        if not len(at):
+            return at, h1[:0], h1[:0]
         h2 = some(chars, at, 2) << 31 | some(chars, at, 3)
         kept = held(bitmap, h2)
         return at[kept], h1[at[kept]], h2[kept]

@@ -27,6 +27,8 @@ FACTOR = 0x45D9F3B
 SAMPLES = 10_000
 #: Numbers that a task holds in one matrix, arrays that one task merges, rows of a block of exact draws.
 CELLS, FAN_IN, BLOCK = 1 << 21, 32, 1024
+#: Numbers that a core's cache holds.
+CACHED = 1 << 16
 #: Draws of a sample that is empty, at most.
 ATTEMPTS = 64
 
@@ -38,16 +40,38 @@ def hash_key(seed: int, name: str, x: Column) -> Column:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads 32 bits over 32 bits."""
-    x = x.astype(np.uint32)
-    for _ in range(2):
-        x = (x ^ x >> np.uint32(16)) * np.uint32(FACTOR)
-    return x ^ x >> np.uint32(16)
+    return _mixed(x.astype(np.uint32))
+
+
+def _mixed(x: np.ndarray, free: np.ndarray | None = None) -> np.ndarray:
+    """The same in place, with another array of its form to work in."""
+    free = np.empty_like(x) if free is None else free
+    for last in (False, False, True):
+        np.right_shift(x, np.uint32(16), out=free)
+        np.bitwise_xor(x, free, out=x)
+        if not last:
+            np.multiply(x, np.uint32(FACTOR), out=x)
+    return x
 
 
 def poisson_weights(keys: np.ndarray, samples: np.ndarray) -> np.ndarray:
     """How often each key's row is in each sample: keys x samples."""
-    drawn = mix(mix(keys.astype(np.uint32)[:, None] ^ mix(samples + 1)[None, :]) + keys.astype(np.uint32)[:, None])
-    return np.searchsorted(np.array(STEPS, np.uint32), drawn, side="right").astype(np.float64)
+    keys, names = keys.astype(np.uint32)[:, None], mix(samples + 1)[None, :]
+    out = np.empty((len(keys), names.shape[1]))
+    # a few rows at a time, so that they stay in a core's cache from one step to the next
+    step = max(1, CACHED // max(1, names.shape[1]))
+    for s in range(0, len(keys), step):
+        some = keys[s : s + step]
+        drawn = some ^ names
+        free = np.empty_like(drawn)
+        drawn = _mixed(drawn, free)
+        np.add(drawn, some, out=drawn)
+        drawn = _mixed(drawn, free)
+        n = (drawn >= np.uint32(STEPS[0])).view(np.uint8)
+        for c in STEPS[1:]:
+            n += (drawn >= np.uint32(c)).view(np.uint8)
+        out[s : s + step] = n
+    return out
 
 
 def _merge(names: list[str]):
@@ -88,8 +112,8 @@ def _poisson_sums(samples: int):
             step = max(1, CELLS // samples)
             for s in range(0, len(keys), step):
                 weights = poisson_weights(keys[s : s + step], places)
-                w += weights.sum(axis=0)
-                wd += delta[s : s + step] @ weights
+                both = np.stack([np.ones(len(weights)), delta[s : s + step]]) @ weights
+                w, wd = w + both[0], wd + both[1]
         if w.any():
             yield pa.RecordBatch.from_pydict({"g": pa.array([0], pa.int32()), "at": pa.array([TaskContext.get().partitionId()], pa.int64()), "w": pa.array([w], pa.list_(pa.float64())), "wd": pa.array([wd], pa.list_(pa.float64()))})
 

@@ -391,3 +391,49 @@ def test_titles_look_at_the_beginning_of_a_text_only(spark):
         want = r["line"] if sum(map(width, r["line"])) <= 48 else out.rstrip() + "…"
         assert r["title"] == (want or "Chat"), r["t"]
         assert r["t"].startswith(r["start"]) and sum(c not in " \n\t́" for c in r["start"]) <= 49
+
+
+def test_windows_that_nobody_asks_for_cost_no_second_hash():
+    import time
+
+    top = 2**64 - 1
+    some = np.array([0, 1, mt.PRIME - 1, mt.PRIME, mt.PRIME + 1, 2 * mt.PRIME, mt.PRIME**2, 2**62, top], np.uint64)
+    assert mt.reduced(some.copy()).tolist() == [int(x) % mt.PRIME for x in some]
+    hashes = mt.window_hasher(50)
+    chars = np.random.default_rng(1).integers(32, 127, 2000).astype(np.uint64)
+    nobody, everybody = np.zeros(1 << 17, np.uint8), np.full(1 << 17, 255, np.uint8)
+    assert all((a == b).all() for a, b in zip(hashes(chars, everybody), hashes(chars), strict=True))
+    assert [len(x) for x in hashes(chars, nobody)] == [0, 0, 0]
+
+    def seconds(*bitmap):
+        start = time.process_time()
+        for _ in range(200):
+            hashes(chars, *bitmap)
+        return time.process_time() - start
+
+    assert min(seconds(nobody) for _ in range(3)) < min(seconds() for _ in range(3))
+
+
+def test_weights_as_their_formula_and_faster():
+    import time
+
+    keys, samples = np.random.default_rng(2).integers(0, 1 << 32, 40), np.arange(10_000)
+
+    def mixed(x):
+        for _ in range(2):
+            x = (x ^ x >> np.uint32(16)) * np.uint32(rs.FACTOR)
+        return x ^ x >> np.uint32(16)
+
+    def plain():
+        k = keys.astype(np.uint32)[:, None]
+        drawn = mixed(mixed(k ^ mixed((samples + 1).astype(np.uint32))[None, :]) + k)
+        return np.searchsorted(np.array(rs.STEPS, np.uint32), drawn, side="right").astype(np.float64)
+
+    def seconds(f):
+        start = time.process_time()
+        for _ in range(5):
+            f()
+        return time.process_time() - start
+
+    assert (rs.poisson_weights(keys, samples) == plain()).all() and rs.poisson_weights(keys[:0], samples).shape == (0, 10_000)
+    assert min(seconds(lambda: rs.poisson_weights(keys, samples)) for _ in range(3)) < 0.8 * min(seconds(plain) for _ in range(3))
